@@ -66,6 +66,24 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: st
     return running_totals(df, keys, order, {name: F.lit(1).cast("long")})
 
 
+def running_max_before(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str
+) -> DataFrame:
+    """Add the largest ``value`` among the earlier rows of the group, NULL for the first row."""
+    keys = list(keys)
+    ranges = [F.col(k) for k in keys] + list(order)
+    placed = cut(df.repartitionByRange(*ranges).withColumns({"_range": F.spark_partition_id(), "_v": value}))
+    inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("_range", *keys).agg(F.max("_v").alias("_m"))
+        .select("_range", *keys, F.max("_m").over(earlier).alias("_before"))
+    )
+    local = placed.withColumn("_here", F.max("_v").over(inside))
+    joined = _join_null_safe(local, offsets, ["_range", *keys])
+    return joined.select(*[joined[c] for c in df.columns], F.greatest("_here", "_before").alias(name))
+
+
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float]
 ) -> DataFrame:
@@ -75,6 +93,9 @@ def exact_percentiles(
     memory: equal values are pre-aggregated and the rest is range partitioned.
     """
     keys = list(keys)
+    if not keys:
+        whole = exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, fractions)
+        return whole.drop("_all")
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
@@ -82,9 +103,7 @@ def exact_percentiles(
     )
     cumulative = running_totals(counts, keys, [F.col(value)], {"_upto": F.col("_n")})
     totals = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    rows = _join_null_safe(cumulative, totals, keys) if keys else cumulative.join(
-        cumulative.agg(F.max("_upto").alias("_total")), how="inner"
-    )
+    rows = _join_null_safe(cumulative, totals, keys)
     first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
     aggs = []
     for name, fraction in fractions.items():

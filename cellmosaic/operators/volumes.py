@@ -108,10 +108,10 @@ def seeded_sample(cases: DataFrame, n: int, *, seed: int = 0) -> DataFrame:
 def mean_template(cells: DataFrame, cases: DataFrame, *, n: int = 200, seed: int = 0, factor: int = 2) -> DataFrame:
     """Average half-resolution volume over a seeded sample of cases."""
     chosen = seeded_sample(cases.select("case_id").distinct(), n, seed=seed)
-    used = chosen.agg(F.count(F.lit(1)).alias("_used"))
+    used = max(1, chosen.count())
     small = downsample(clip_normalise(cells.join(chosen, "case_id", "left_semi")), factor=factor, how="mean")
     totals = small.groupBy(*CELL).agg(F.sum("v").alias("_v"))
-    return totals.join(used, how="inner").select(*CELL, (F.col("_v") / F.col("_used")).alias("v"))
+    return totals.select(*CELL, (F.col("_v") / used).alias("v"))
 
 
 def brain_mask(cells: DataFrame, grid: DataFrame, *, dense: float = 0.55, fraction: float = 0.25) -> DataFrame:
