@@ -16,10 +16,13 @@ RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
 
 
 def cases_by_entity(cases: DataFrame) -> DataFrame:
-    """Number of cases and first and last case of every entity, plus their sorted list."""
-    return cases.groupBy("entity_id").agg(
-        F.count(F.lit(1)).alias("n_cases"), F.sort_array(F.collect_list("case_id")).alias("case_ids")
-    )
+    """Cases of every entity in order: ``entity_id, position, case_id, n_cases``.
+
+    One row per case rather than one list per entity, so a frequent entity stays spread out.
+    """
+    placed = ranked(cases.select("entity_id", "case_id"), ["entity_id"], [F.col("case_id")], "position")
+    sizes = cases.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_cases"))
+    return placed.join(sizes, "entity_id").select("entity_id", "position", "case_id", "n_cases")
 
 
 def cross_entity_links(pairs: DataFrame) -> DataFrame:
@@ -88,7 +91,7 @@ def assign_splits(
         _quotas(histogram, ratios), "_size long, split string, _first long, _last long"
     )
     placed = ranked(sized, ["_size"], [seeded_key(seed, "group_id"), F.col("group_id")], "_pos")
-    chosen = placed.join(F.broadcast(quotas), "_size").where(F.col("_pos").between(F.col("_first"), F.col("_last")))
+    chosen = placed.join(quotas, "_size").where(F.col("_pos").between(F.col("_first"), F.col("_last")))
     return members.join(chosen.select("group_id", "split"), "group_id").select(
         "case_id", "entity_id", "group_id", "split", F.lit(seed).alias("seed")
     )
