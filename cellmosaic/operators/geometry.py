@@ -102,8 +102,8 @@ def nearest_squared(
     """Squared physical distance from each query cell to the nearest target cell.
 
     The Euclidean distance separates by axis, so the minimum is taken along k, then j,
-    then i, and only at coordinates some query needs.  No pair of cells is formed: a row
-    fans out by at most one grid edge.  ``spacing`` has ``case_id, si, sj, sk``.
+    then i, and only at coordinates some query needs.  No pair of cells is formed: a run of
+    target cells fans out by at most one grid edge.  ``spacing`` has ``case_id, si, sj, sk``.
     Returns ``keys, i, j, k, d2``; ``d2`` is NULL where the group has no target.
     """
     keys = list(keys)
@@ -111,16 +111,17 @@ def nearest_squared(
     t = targets.select(*keys, *CELL)
     gaps = spacing.select("case_id", "si", "sj", "sk")
     line = Window.partitionBy(*keys, "i", "j").orderBy("k")
-    ends = t.withColumns(
-        {"_b": F.col("k") - F.lag("k").over(line), "_a": F.lead("k").over(line) - F.col("k")}
-    ).where("_b is null or _b > 1 or _a is null or _a > 1").drop("_a", "_b")
+    runs = (
+        t.withColumn("_run", F.col("k") - F.row_number().over(line))
+        .groupBy(*keys, "i", "j", "_run").agg(F.min("k").alias("_from"), F.max("k").alias("_to"))
+    )
 
     wanted_k = q.groupBy(*keys).agg(F.collect_set("k").alias("_ks")).join(gaps.select("case_id", "sk"), "case_id")
     along_k = (
-        ends.withColumnRenamed("k", "_k0").join(wanted_k, keys)
-        .select(*keys, "i", "j", "_k0", "sk", F.explode("_ks").alias("k"))
+        runs.join(wanted_k, keys)
+        .select(*keys, "i", "j", "_from", "_to", "sk", F.explode("_ks").alias("k"))
         .groupBy(*keys, "i", "j", "k")
-        .agg(F.min(F.pow((F.col("k") - F.col("_k0")) * F.col("sk"), 2)).alias("_d"))
+        .agg(F.min(F.pow(F.greatest(F.col("_from") - F.col("k"), F.col("k") - F.col("_to"), F.lit(0)) * F.col("sk"), 2)).alias("_d"))
     )
     wanted_j = q.groupBy(*keys, "k").agg(F.collect_set("j").alias("_js")).join(gaps.select("case_id", "sj"), "case_id")
     along_j = (

@@ -77,6 +77,25 @@ def with_derived(regions: DataFrame) -> DataFrame:
     return regions.withColumns({n: forms[n](finite(s)) for n, s in _SOURCES.items() if s in regions.columns})
 
 
+def join_features(regions: DataFrame, extra: DataFrame, *, check: str = "n_voxels_check",
+                  keys: Sequence[str] = ("case_id", "class_name", "comp_id")) -> DataFrame:
+    """Attach image features by region key; a missing key or another cell count is an error."""
+    keys = list(keys)
+    joined = regions.join(extra, keys, "left")
+    name = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    missing = F.concat(F.lit("no image features for "), name)
+    differs = F.concat(
+        F.lit("image features disagree for "), name, F.lit(": "), F.col(check).cast("string"),
+        F.lit(" cells against "), F.col("n_cells").cast("string"),
+    )
+    checked = (
+        F.when(F.col(check).isNull(), F.raise_error(missing).cast("long"))
+        .when(F.col(check) != F.col("n_cells"), F.raise_error(differs).cast("long"))
+        .otherwise(F.col("n_cells"))
+    )
+    return joined.withColumn("n_cells", checked).drop(check)
+
+
 def require_present(regions: DataFrame, names: Sequence[str]) -> None:
     """Refuse to go on when a feature is missing in every row."""
     counts = regions.agg(*[F.count(finite(n)).alias(n) for n in names]).first()

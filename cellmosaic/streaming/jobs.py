@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.history import best_so_far
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, *, pattern: str = "*.parquet",
@@ -18,24 +16,33 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, *, pattern
     )
 
 
+def _earlier(spark: SparkSession, target: str, batch_id: int) -> DataFrame | None:
+    """Rows written by earlier batches; a replayed batch does not see its own output."""
+    try:
+        return spark.read.parquet(target).where(F.col("_batch") < batch_id)
+    except Exception as error:  # the table is created by the first batch
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        return None
+
+
+def _write_batch(rows: DataFrame, target: str, batch_id: int) -> None:
+    """Write one batch as its own partition, replacing what an earlier attempt left."""
+    (
+        rows.withColumn("_batch", F.lit(batch_id).cast("long"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(target)
+    )
+
+
 def intake(stream: DataFrame, key: str, target: str, checkpoint: str):
     """Append each key once to a Parquet table; a repeated batch or key adds nothing."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        try:
-            known = spark.read.parquet(target)
-        except Exception as error:  # the table is created by the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        else:
-            # A replayed batch must see the table without its own earlier output.
-            fresh = fresh.join(known.where(F.col("_batch") != batch_id).select(key).distinct(), key, "left_anti")
-        (
-            fresh.withColumn("_batch", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(target)
-        )
+        known = _earlier(batch.sparkSession, target, batch_id)
+        if known is not None:
+            fresh = fresh.join(known.select(key).distinct(), key, "left_anti")
+        _write_batch(fresh, target, batch_id)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
@@ -58,30 +65,27 @@ def windowed_rates(stream: DataFrame, *, label: str, by: str, ts: str = "ts", de
     )
 
 
-_BEST_STATE = "best double"
-
-
-def streaming_best(stream: DataFrame, *, run: str = "run", order: str = "epoch", value: str = "val_mean") -> DataFrame:
-    """Rows that beat every earlier row of their run, emitted as they arrive.
+def streaming_best(stream: DataFrame, target: str, checkpoint: str, *, run: str = "run", order: str = "epoch",
+                   value: str = "val_mean"):
+    """Append the rows that beat every earlier row of their run; batches arrive in ``order``.
 
-    The state is one number per run.  Rows are taken in ``order`` within a batch, and
-    batches are expected in that order too.
+    The table of improvements is itself the state: a batch is compared with the best of the
+    earlier batches, so a busy run is not gathered into one state row or task.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    schema = f"{run} {kinds[run]}, {order} {kinds[order]}, {value} double"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(list(frames)).dropna(subset=[value]).sort_values(order, kind="stable")
-        before = rows[value].cummax().shift(fill_value=float("-inf")).clip(lower=best)
-        out = rows[rows[value] > before]
-        if len(out):
-            state.update((float(out[value].iloc[-1]),))
-        yield out[[run, order, value]]
-
-    return stream.select(run, order, F.col(value).cast("double").alias(value)).groupBy(run).applyInPandasWithState(
-        step, schema, _BEST_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+
+    def improve(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        flagged = best_so_far(batch.select(run, order, value), run=run, order=[F.col(order)], value=value)
+        fresh = flagged.where("is_best").select(run, order, value)
+        known = _earlier(spark, target, batch_id)
+        if known is not None:
+            best = known.groupBy(run).agg(F.max(value).alias("_best"))
+            fresh = fresh.join(best, run, "left").where(
+                F.col("_best").isNull() | (F.col(value) > F.col("_best"))
+            ).drop("_best")
+        _write_batch(fresh, target, batch_id)
+
+    return stream.writeStream.foreachBatch(improve).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def running_occupancy(stream: DataFrame, cell: list[str], case: str, *, ts: str = "ts", delay: str = "1 day") -> DataFrame:
