@@ -115,16 +115,16 @@ def under_regions(lab: DataFrame, other: DataFrame, *, majority: float = 0.5) ->
     The leading class is the most frequent foreground value, the smallest on ties, or 0
     when less than ``majority`` of the region is foreground there.
     """
-    below = other.where("value > 0").select("case_id", *CELL, F.col("value").cast("int").alias("_v"))
+    below = other.where("value > 0").select("case_id", *CELL, F.col("value").cast("int").alias("_class"))
     region = list(CLASS_REGION)
-    votes = lab.join(below, ["case_id", *CELL]).groupBy(*region, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    votes = lab.join(below, ["case_id", *CELL]).groupBy(*region, "_class").agg(F.count(F.lit(1)).alias("_n"))
     best = votes.groupBy(*region).agg(
-        F.sum("_n").alias("_covered"), struct_max("_n", F.col("_v"), fields=["_v"]).alias("_b")
+        F.sum("_n").alias("_covered"), struct_max("_n", F.col("_class"), fields=["_class"]).alias("_b")
     )
     share = F.coalesce("_covered", F.lit(0)) / F.col("n_cells")
     return region_sizes(lab, ["case_id", "class_value"]).join(best, region, "left").select(
         *region, "n_cells", share.alias("covered_frac"),
-        F.when(share >= majority, F.col("_b._v")).otherwise(0).alias("covered_by"),
+        F.when(share >= majority, F.col("_b._class")).otherwise(0).alias("covered_by"),
     )
 
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import cell_queries  # noqa: F401
+from . import audit_queries, cell_queries, evaluation_queries, region_queries, stream_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
