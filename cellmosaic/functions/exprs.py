@@ -77,15 +77,6 @@ def cosine(a: ColumnLike, b: ColumnLike) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def centred_unit(vector: ColumnLike) -> Column:
-    """Subtract the vector's own mean and scale it to length one."""
-    v = F.transform(as_column(vector), lambda x: x.cast("double"))
-    mean = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / F.size(v)
-    centred = F.transform(v, lambda x: x - mean)
-    norm = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda acc, x: acc + x * x)) + F.lit(1e-8)
-    return F.transform(centred, lambda x: x / norm)
-
-
 def struct_max(value: ColumnLike, *tiebreak: Column, fields: Sequence[ColumnLike]) -> Column:
     """Aggregate: the fields of the row with the largest value, ties by ascending tiebreak."""
     entries = [as_column(value).alias("_v")]

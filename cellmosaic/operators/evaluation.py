@@ -419,7 +419,7 @@ def compare_runs(before: DataFrame, after: DataFrame, *, margin: float = 0.01) -
     """Cases better, worse or unchanged between two runs, and those newly fixed or newly failed."""
     b = case_mean(before).withColumnRenamed("mean_lesion_dice", "_b")
     a = case_mean(after).withColumnRenamed("mean_lesion_dice", "_a")
-    delta = F.col("_a") - F.col("_b")
+    delta = F.round(F.col("_a") - F.col("_b"), 12)  # a margin is not crossed by summation noise
     return b.join(a, "case_id").agg(
         F.count_if(delta > margin).alias("improved"),
         F.count_if(delta < -margin).alias("worse"),
@@ -431,7 +431,8 @@ def compare_runs(before: DataFrame, after: DataFrame, *, margin: float = 0.01) -
 
 def score_bands(scores: DataFrame, keys: Sequence[str] = ("run",), *, edges: Sequence[float] = (0.2, 0.5, 0.8, 0.9)) -> DataFrame:
     """Number of cases per score band and run."""
-    band = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col("mean_lesion_dice")))
+    value = F.round("mean_lesion_dice", 12)  # an edge is not crossed by summation noise
+    band = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= value))
     return scores.where(F.col("mean_lesion_dice").isNotNull()).groupBy(*keys).agg(
         *[F.count_if(band == n).alias(f"band_{n}") for n in range(len(edges) + 1)]
     )

@@ -33,6 +33,7 @@ def bursts(events: DataFrame, *, entity: str, ts: str, gap_seconds: int, order:
     The one-dimensional form of region labelling; entities with very many events stay spread.
     """
     tie = list(order)
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     last = running_max_before(events, [entity], [F.col(ts), *tie], F.col(ts), "_prev")
     micros = F.unix_micros(ts) - F.unix_micros("_prev")
     starts = last.withColumn(

@@ -99,15 +99,15 @@ def exact_percentiles(
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    cumulative = running_totals(counts, keys, [F.col(value)], {"_upto": F.col("_n")})
-    totals = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    cumulative = running_totals(counts, keys, [F.col(value)], {"_upto_rows": F.col("_rows")})
+    totals = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_all_rows"))
     rows = _join_null_safe(cumulative, totals, keys)
-    first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
+    first, last = F.col("_upto_rows") - F.col("_rows"), F.col("_upto_rows") - 1
     aggs = []
     for name, fraction in fractions.items():
-        position = F.lit(float(fraction)) * (F.col("_total") - 1)
+        position = F.lit(float(fraction)) * (F.col("_all_rows") - 1)
         low, high = F.floor(position), F.ceil(position)
         at_low = F.max(F.when((first <= low) & (low <= last), F.col(value)))
         at_high = F.max(F.when((first <= high) & (high <= last), F.col(value)))

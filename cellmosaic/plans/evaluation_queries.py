@@ -250,15 +250,16 @@ def _(spark, d):
 
 @query("compare_runs", with_views("scores") + """
 , m AS (SELECT case_id, avg(lesion_dice) FILTER (WHERE present) AS b, avg(lesion_after) FILTER (WHERE present) AS a FROM scores GROUP BY 1)
-SELECT COUNT(*) FILTER (WHERE a - b > 0.01) AS improved, COUNT(*) FILTER (WHERE a - b < -0.01) AS worse, COUNT(*) FILTER (WHERE abs(a - b) <= 0.01) AS unchanged,
+SELECT COUNT(*) FILTER (WHERE round(a - b, 12) > 0.01) AS improved, COUNT(*) FILTER (WHERE round(a - b, 12) < -0.01) AS worse,
+  COUNT(*) FILTER (WHERE round(abs(a - b), 12) <= 0.01) AS unchanged,
   COUNT(*) FILTER (WHERE b = 0 AND a > 0) AS newly_fixed, COUNT(*) FILTER (WHERE b > 0 AND a = 0) AS newly_failed FROM m""")
 def _(spark, d):
     return ev.compare_runs(scores_of(spark, d), scores_of(spark, d, after=True))
 
 
 @query("score_bands", with_views("scores") + """
-, m AS (SELECT 'before' AS run, case_id, avg(lesion_dice) FILTER (WHERE present) AS s FROM scores GROUP BY 2
-  UNION ALL SELECT 'after', case_id, avg(lesion_after) FILTER (WHERE present) FROM scores GROUP BY 2)
+, m AS (SELECT 'before' AS run, case_id, round(avg(lesion_dice) FILTER (WHERE present), 12) AS s FROM scores GROUP BY 2
+  UNION ALL SELECT 'after', case_id, round(avg(lesion_after) FILTER (WHERE present), 12) FROM scores GROUP BY 2)
 SELECT run, COUNT(*) FILTER (WHERE s < 0.2) AS band_0, COUNT(*) FILTER (WHERE s >= 0.2 AND s < 0.5) AS band_1, COUNT(*) FILTER (WHERE s >= 0.5 AND s < 0.8) AS band_2,
   COUNT(*) FILTER (WHERE s >= 0.8 AND s < 0.9) AS band_3, COUNT(*) FILTER (WHERE s >= 0.9) AS band_4 FROM m GROUP BY 1""")
 def _(spark, d):
