@@ -75,8 +75,10 @@ def _tile_labeller(boundary: Sequence[str], tile: int):
         cells = np.stack([table[c].to_numpy() for c in ("i", "j", "k")], axis=1).astype(np.int64)
         root = _label_tiles(np.cumsum(change), cells, tile)
         packed = (cells[:, 0] << 2 * _BITS) | (cells[:, 1] << _BITS) | cells[:, 2]
-        out = table.append_column("piece", pa.array(packed[root], pa.int64())).combine_chunks()
-        return out.to_batches()[0]
+        out = table.append_column("piece", pa.array(packed[root]))
+        out = out.append_column("n_cells", pa.array(np.bincount(root, minlength=root.size)[root]))
+        out = out.append_column("head", pa.array(root == np.arange(root.size)))
+        return out.combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -109,7 +111,7 @@ def _local_pieces(cells: DataFrame, keys: Sequence[str], tile: int) -> DataFrame
         *[F.floor(F.col(c) / tile).cast("int").alias(f"_t{c}") for c in ("i", "j", "k")],
     )
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in tiled.schema.fields])
-    schema = schema.add("piece", T.LongType())
+    schema = schema.add("piece", T.LongType()).add("n_cells", T.LongType()).add("head", T.BooleanType())
     placed = tiled.repartition(*boundary).sortWithinPartitions(*boundary, "i", "j", "k")
     return placed.mapInArrow(_tile_labeller(boundary, tile), schema)
 
@@ -198,26 +200,47 @@ def _fingerprint(edges: DataFrame, keys: Sequence[str]) -> tuple:
     return tuple(row)
 
 
-def label_regions(
+def label_pieces(
     cells: DataFrame, keys: Sequence[str] = ("case_id",), *, tile: int = DEFAULT_TILE
 ) -> DataFrame:
-    """Face-connected regions of the cells of every ``keys`` group.
+    """Face-connected regions identified by their packed first cell.
 
-    Cells must be distinct.  Returns ``keys, i, j, k, comp_id, n_cells``; ids run 1..n in
-    the C order of each region's first cell.
+    Cells must be distinct.  Returns ``keys, i, j, k, comp_id, n_cells, head``; ``head`` is
+    true on the first cell of each region, so the region table is a filter and not a shuffle.
     """
     keys = list(keys)
     pieces = cut(_local_pieces(cells, keys, tile)).drop("_ti", "_tj", "_tk")
     edges = cut(_face_edges(pieces, keys, tile))
     if not edges.isEmpty():
-        merged = contract(edges, keys).withColumnRenamed("node", "piece")
-        pieces = (
-            pieces.join(merged, [*keys, "piece"], "left")
-            .withColumn("piece", F.coalesce("root", "piece"))
-            .drop("root")
-        )
-    regions = _numbered(pieces.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("n_cells")), keys)
-    return pieces.join(regions, [*keys, "piece"]).select(*keys, "i", "j", "k", "comp_id", "n_cells")
+        pieces = _joined_pieces(pieces, contract(edges, keys), keys)
+    return pieces.withColumnRenamed("piece", "comp_id")
+
+
+def _joined_pieces(pieces: DataFrame, roots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Replace pieces that were merged across tiles by their root and the total size."""
+    merged = roots.withColumnRenamed("node", "piece")
+    sizes = pieces.where("head").select(*keys, "piece", "n_cells").join(merged, [*keys, "piece"])
+    totals = sizes.groupBy(*keys, "root").agg(F.sum("n_cells").alias("_total"))
+    known = cut(merged.join(totals, [*keys, "root"]))
+    return pieces.join(known, [*keys, "piece"], "left").select(
+        *keys, "i", "j", "k",
+        F.coalesce("root", "piece").alias("piece"),
+        F.coalesce("_total", "n_cells").alias("n_cells"),
+        (F.col("head") & (F.col("root").isNull() | (F.col("root") == F.col("piece")))).alias("head"),
+    )
+
+
+def label_regions(
+    cells: DataFrame, keys: Sequence[str] = ("case_id",), *, tile: int = DEFAULT_TILE
+) -> DataFrame:
+    """Face-connected regions numbered 1..n in the C order of each region's first cell.
+
+    Returns ``keys, i, j, k, comp_id, n_cells, head`` for the distinct ``cells``.
+    """
+    keys = list(keys)
+    pieces = label_pieces(cells, keys, tile=tile).withColumnRenamed("comp_id", "piece")
+    ids = _numbered(pieces.where("head").select(*keys, "piece"), keys)
+    return pieces.join(ids, [*keys, "piece"]).select(*keys, "i", "j", "k", "comp_id", "n_cells", "head")
 
 
 def _numbered(regions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -235,10 +258,10 @@ def _numbered(regions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (
         rows.withColumn("_r", F.row_number().over(within))
         .join(planes, [*keys, "_plane"])
-        .select(*keys, "piece", "n_cells", (F.col("_r") + F.col("_before")).cast("int").alias("comp_id"))
+        .select(*keys, "piece", (F.col("_r") + F.col("_before")).cast("int").alias("comp_id"))
     )
 
 
 def region_sizes(labelled: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
     """One row per region: ``keys, comp_id, n_cells``."""
-    return labelled.groupBy(*keys, "comp_id").agg(F.count(F.lit(1)).alias("n_cells"))
+    return labelled.where("head").select(*keys, "comp_id", "n_cells")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.exprs import MIN_CELLS, default_targets, dice, targets_of
 from ..functions.runtime import cut
-from .labelling import label_regions, region_sizes
+from .labelling import label_pieces, label_regions, region_sizes
 
 CELL = ("i", "j", "k")
 
@@ -24,13 +24,13 @@ class Matching:
 
 
 def overlap_table(pred_lab: DataFrame, ref_lab: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Number of shared cells for every (predicted region, reference region) that touch."""
-    ref = ref_lab.select(*keys, *CELL, F.col("comp_id").alias("ref_id"))
+    """Shared cells and both sizes for every (predicted region, reference region) that touch."""
+    ref = ref_lab.select(*keys, *CELL, F.col("comp_id").alias("ref_id"), F.col("n_cells").alias("ref_cells"))
     return (
-        pred_lab.select(*keys, *CELL, "comp_id")
+        pred_lab.select(*keys, *CELL, "comp_id", "n_cells")
         .join(ref, [*keys, *CELL])
         .groupBy(*keys, "comp_id", "ref_id")
-        .agg(F.count(F.lit(1)).alias("shared"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.max("n_cells").alias("n_cells"), F.max("ref_cells").alias("ref_cells"))
     )
 
 
@@ -56,11 +56,8 @@ def match_regions(
     ref_sizes = region_sizes(ref_lab, keys).select(
         *keys, F.col("comp_id").alias("ref_id"), F.col("n_cells").alias("ref_cells")
     )
-    overlap = (
-        overlap_table(pred_lab, ref_lab, keys)
-        .join(comp_sizes, [*keys, "comp_id"])
-        .join(ref_sizes, [*keys, "ref_id"])
-    )
+    overlap = overlap_table(pred_lab, ref_lab, keys)
+    id_list = f"array<{pred_lab.schema['comp_id'].dataType.simpleString()}>"
     scored = F.col("ref_cells") >= min_cells
     by_comp = overlap.where(scored).groupBy(*keys, "comp_id").agg(
         F.sum("shared").alias("_shared"),
@@ -70,7 +67,7 @@ def match_regions(
     comps = comp_sizes.join(by_comp, [*keys, "comp_id"], "left").select(
         *keys, "comp_id", "n_cells",
         F.col("_ids").isNotNull().alias("matched"),
-        F.coalesce("_ids", F.array().cast("array<int>")).alias("matched_ref_ids"),
+        F.coalesce("_ids", F.array().cast(id_list)).alias("matched_ref_ids"),
         F.coalesce(2.0 * F.col("_shared") / (F.col("n_cells") + F.col("_other")), F.lit(0.0)).alias("dice_with_matched"),
         (F.col("_ids").isNull() & (F.col("n_cells") >= min_cells)).alias("false_positive"),
     )
@@ -85,7 +82,7 @@ def match_regions(
         scored.alias("scored"),
         F.col("_ids").isNotNull().alias("detected"),
         F.when(scored, F.coalesce(entry, F.lit(0.0))).otherwise(0.0).alias("dice"),
-        F.coalesce("_ids", F.array().cast("array<int>")).alias("matched_comp_ids"),
+        F.coalesce("_ids", F.array().cast(id_list)).alias("matched_comp_ids"),
     )
     return Matching(comps, refs, overlap)
 
@@ -146,12 +143,19 @@ def case_target_grid(cases: DataFrame, targets: Iterable[str], keys: Sequence[st
     return cases.select(*keys).distinct().select(*keys, F.explode(names).alias("target"))
 
 
-def label_both(pred: DataFrame, ref: DataFrame, keys: Sequence[str], **options) -> tuple[DataFrame, DataFrame]:
-    """Label both masks in one job; returns the two labelled tables."""
+def label_both(
+    pred: DataFrame, ref: DataFrame, keys: Sequence[str], *, numbered: bool = True, **options
+) -> tuple[DataFrame, DataFrame]:
+    """Label both masks in one job; returns the two labelled tables.
+
+    ``numbered=False`` keeps the packed first cell as region id, which scoring does not need
+    to turn into 1..n.
+    """
     sides = pred.select(*keys, *CELL, F.lit("pred").alias("side")).unionByName(
         ref.select(*keys, *CELL, F.lit("ref").alias("side"))
     )
-    lab = cut(label_regions(sides, ["side", *keys], **options))
+    full = ["side", *keys]
+    lab = cut(label_regions(sides, full, **options)) if numbered else label_pieces(sides, full, **options)
     return lab.where("side = 'pred'").drop("side"), lab.where("side = 'ref'").drop("side")
 
 
@@ -167,7 +171,9 @@ def score_cases(
     """
     targets = targets or default_targets()
     full = [*keys, "target"]
-    pred_lab, ref_lab = label_both(explode_targets(pred, targets), explode_targets(ref, targets), full, **options)
+    pred_lab, ref_lab = label_both(
+        explode_targets(pred, targets), explode_targets(ref, targets), full, numbered=False, **options
+    )
     matching = match_regions(pred_lab, ref_lab, full, min_cells=min_cells)
     return score_matching(matching, case_target_grid(cases, targets, keys), full)
 

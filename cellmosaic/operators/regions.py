@@ -54,7 +54,7 @@ def region_statistics(context: DataFrame, class_values: Sequence[int]) -> DataFr
     own = probability(F.col("class_value"))
     rows = context.withColumn("_own", own)
     small = F.col("n_cells") <= PERCENTILE_BUFFER
-    stats = rows.groupBy(*REGION).agg(
+    stats = cut(rows.groupBy(*REGION).agg(
         F.count(F.lit(1)).alias("n_cells"),
         *[F.avg(c).alias(f"centroid_{c}") for c in CELL],
         F.avg("_own").alias("mean_prob"),
@@ -62,8 +62,8 @@ def region_statistics(context: DataFrame, class_values: Sequence[int]) -> DataFr
         F.percentile(F.when(small, F.col("_own")), 0.9).alias("p90_prob"),
         *[F.avg(probability(v)).alias(f"prob_c{v}") for v in class_values],
         *[F.count_if(F.col("ref_value") == v).alias(f"_under{v}") for v in class_values if v != 0],
-    )
-    if stats.where(F.col("n_cells") > PERCENTILE_BUFFER).limit(1).count():
+    ))
+    if not stats.where(F.col("n_cells") > PERCENTILE_BUFFER).isEmpty():
         large = exact_percentiles(rows.where(~small), REGION, "_own", {"_p90": 0.9})
         stats = stats.join(large, list(REGION), "left").withColumn(
             "p90_prob", F.coalesce("p90_prob", "_p90")

@@ -57,7 +57,8 @@ def _(spark, d):
 SELECT case_id, target AS class_value, comp_id, ref_id, shared FROM touch""")
 def _(spark, d):
     pred_lab, ref_lab = (cut(fl.label_classes(m)) for m in masks(spark, d))
-    return mt.overlap_table(pred_lab, ref_lab, ["case_id", "class_value"])
+    keys = ["case_id", "class_value"]
+    return mt.overlap_table(pred_lab, ref_lab, keys).select(*keys, "comp_id", "ref_id", "shared")
 
 
 @query("touched_sets", _MATCH_CLASS + """
