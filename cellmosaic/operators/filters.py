@@ -10,7 +10,7 @@ from ..functions.exprs import CLASS_NAMES, MIN_CELLS, struct_max
 from ..functions.runtime import cut
 from .geometry import CELL
 from .labelling import label_regions, region_sizes
-from .matching import Matching, match_regions
+from .matching import Matching, label_both, match_regions
 
 CLASS_REGION = ("case_id", "class_value", "comp_id")
 
@@ -161,7 +161,8 @@ def oracle_masks(pred: DataFrame, pred_lab: DataFrame, origin: DataFrame) -> Dat
 
 def match_classes(pred: DataFrame, ref: DataFrame, *, min_cells: int = MIN_CELLS, **options):
     """Label both masks class by class and match them: ``(pred_lab, ref_lab, matching)``."""
-    pred_lab, ref_lab = (cut(label_classes(d, **options)) for d in (pred, ref))
+    sides = [d.where("value > 0").withColumn("class_value", F.col("value").cast("int")) for d in (pred, ref)]
+    pred_lab, ref_lab = label_both(*sides, ["case_id", "class_value"], **options)
     return pred_lab, ref_lab, match_regions(pred_lab, ref_lab, ["case_id", "class_value"], min_cells=min_cells)
 
 

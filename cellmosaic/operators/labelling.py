@@ -73,11 +73,16 @@ def _tile_labeller(boundary: Sequence[str], tile: int):
                     zero_copy_only=False
                 ).astype(np.int64)
         cells = np.stack([table[c].to_numpy() for c in ("i", "j", "k")], axis=1).astype(np.int64)
-        root = _label_tiles(np.cumsum(change), cells, tile)
+        group = np.cumsum(change)
+        root = _label_tiles(group, cells, tile)
+        head = root == np.arange(root.size)
+        seen = np.cumsum(head)
+        first = np.concatenate([[0], np.nonzero(change)[0]])
         packed = (cells[:, 0] << 2 * _BITS) | (cells[:, 1] << _BITS) | cells[:, 2]
         out = table.append_column("piece", pa.array(packed[root]))
         out = out.append_column("n_cells", pa.array(np.bincount(root, minlength=root.size)[root]))
-        out = out.append_column("head", pa.array(root == np.arange(root.size)))
+        out = out.append_column("head", pa.array(head))
+        out = out.append_column("tile_id", pa.array((seen[root] - seen[first][group] + 1).astype(np.int32)))
         return out.combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +116,8 @@ def _local_pieces(cells: DataFrame, keys: Sequence[str], tile: int) -> DataFrame
         *[F.floor(F.col(c) / tile).cast("int").alias(f"_t{c}") for c in ("i", "j", "k")],
     )
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in tiled.schema.fields])
-    schema = schema.add("piece", T.LongType()).add("n_cells", T.LongType()).add("head", T.BooleanType())
+    schema = schema.add("piece", T.LongType()).add("n_cells", T.LongType())
+    schema = schema.add("head", T.BooleanType()).add("tile_id", T.IntegerType())
     placed = tiled.repartition(*boundary).sortWithinPartitions(*boundary, "i", "j", "k")
     return placed.mapInArrow(_tile_labeller(boundary, tile), schema)
 
@@ -209,11 +215,13 @@ def label_pieces(
     true on the first cell of each region, so the region table is a filter and not a shuffle.
     """
     keys = list(keys)
-    pieces = cut(_local_pieces(cells, keys, tile)).drop("_ti", "_tj", "_tk")
+    pieces = _stitched(cut(_local_pieces(cells, keys, tile)), keys, tile)
+    return pieces.select(*keys, "i", "j", "k", F.col("piece").alias("comp_id"), "n_cells", "head")
+
+
+def _stitched(pieces: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
     edges = cut(_face_edges(pieces, keys, tile))
-    if not edges.isEmpty():
-        pieces = _joined_pieces(pieces, contract(edges, keys), keys)
-    return pieces.withColumnRenamed("piece", "comp_id")
+    return pieces if edges.isEmpty() else _joined_pieces(pieces, contract(edges, keys), keys)
 
 
 def _joined_pieces(pieces: DataFrame, roots: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -238,9 +246,14 @@ def label_regions(
     Returns ``keys, i, j, k, comp_id, n_cells, head`` for the distinct ``cells``.
     """
     keys = list(keys)
-    pieces = label_pieces(cells, keys, tile=tile).withColumnRenamed("comp_id", "piece")
+    local = cut(_local_pieces(cells, keys, tile))
+    columns = [*keys, "i", "j", "k", "comp_id", "n_cells", "head"]
+    if local.where("_ti > 0 or _tj > 0 or _tk > 0").isEmpty():
+        # Every volume lies in its first tile, whose numbering is then the final one.
+        return local.withColumnRenamed("tile_id", "comp_id").select(*columns)
+    pieces = _stitched(local, keys, tile)
     ids = _numbered(pieces.where("head").select(*keys, "piece"), keys)
-    return pieces.join(ids, [*keys, "piece"]).select(*keys, "i", "j", "k", "comp_id", "n_cells", "head")
+    return pieces.join(ids, [*keys, "piece"]).select(*columns)
 
 
 def _numbered(regions: DataFrame, keys: Sequence[str]) -> DataFrame:
