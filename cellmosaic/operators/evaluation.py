@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.exprs import MIN_CELLS, break_even, finite, struct_max
 from ..functions.runtime import cut
 from .filters import apply_decisions, drop_small
-from .matching import case_target_grid, explode_targets, label_both, match_regions, score_cases, score_matching
+from .matching import score_cases
 from .ranking import exact_percentiles, ranked
 
 # Fixed grids of the reports.

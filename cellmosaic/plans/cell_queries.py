@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import geometry as geo, volumes as vol
-from ..operators.labelling import pack_cell
 from ..operators.matching import explode_targets, volumetric_dice
 from .registry import big, query, r6
 from .views import GRID_EDGE, TARGET_CODES, TARGETS, view, with_views

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import default_targets
 from ..functions.runtime import cut
-from ..operators import evaluation as ev, filters as fl, geometry as geo, matching as mt, regions as rg
-from ..operators.labelling import label_regions
-from .cell_queries import CLASSES, EDGE, grid_of
+from ..operators import evaluation as ev, filters as fl, matching as mt, regions as rg
+from .cell_queries import CLASSES, grid_of
 from .jobs import attribute_errors
 from .registry import big, query, r6
 from .views import (
