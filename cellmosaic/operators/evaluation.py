@@ -6,11 +6,11 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import MIN_CELLS, break_even, finite, struct_max
+from ..functions.exprs import MIN_CELLS, break_even, dice, finite, struct_max
 from ..functions.runtime import cut
-from .filters import apply_decisions, drop_small
+from .filters import apply_decisions, drop_small, label_classes
 from .matching import score_cases
-from .ranking import exact_percentiles, ranked
+from .ranking import exact_percentiles, ranked, running_totals
 
 # Fixed grids of the reports.
 SIZE_GRID = (0, 25, 50, 100, 200, 400, 800, 1600)
@@ -89,8 +89,6 @@ def estimate_stakes(regions: DataFrame, refs: DataFrame) -> DataFrame:
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Mann-Whitney AUC with ties counted half; non-finite scores dropped, NULL if a class is empty."""
-    from .ranking import running_totals
-
     keys = list(by)
     counts = (
         df.select(*keys, finite(score).alias("_s"), F.col(label).cast("boolean").alias("_y"))
@@ -293,8 +291,6 @@ def sweep_sizes(
     The prediction is labelled once by class; each threshold keeps the cells of the regions
     that reach it.  Composite targets change shape with the threshold and are labelled again.
     """
-    from .filters import label_classes
-
     lab = cut(label_classes(pred, **options))
     levels = F.array(*[F.lit(int(g)) for g in grid])
     filtered = lab.select(
@@ -440,8 +436,6 @@ def score_bands(scores: DataFrame, keys: Sequence[str] = ("run",), *, edges: Seq
 
 def class_epoch_dice(counts: DataFrame) -> DataFrame:
     """Mean Dice per epoch and class from per-case cell counts."""
-    from ..functions.exprs import dice
-
     return counts.withColumn("_d", dice("n_pred", "n_ref", "n_shared")).groupBy("epoch", "class_name").agg(
         F.avg("_d").alias("mean_dice")
     )

@@ -49,7 +49,8 @@ def match_regions(
     Reference regions under ``min_cells`` are not scored and cannot rescue a prediction.
     One shared cell is a match.  Each scored reference region is compared with the union
     of all predicted regions that touch it, and each predicted region with the union of
-    the scored reference regions it touches.
+    the scored reference regions it touches.  The id lists are pruned from the plan where
+    only scores are asked for.
     """
     keys = list(keys)
     comp_sizes = region_sizes(pred_lab, keys)
@@ -66,10 +67,10 @@ def match_regions(
     )
     comps = comp_sizes.join(by_comp, [*keys, "comp_id"], "left").select(
         *keys, "comp_id", "n_cells",
-        F.col("_ids").isNotNull().alias("matched"),
+        F.col("_shared").isNotNull().alias("matched"),
         F.coalesce("_ids", F.array().cast(id_list)).alias("matched_ref_ids"),
         F.coalesce(2.0 * F.col("_shared") / (F.col("n_cells") + F.col("_other")), F.lit(0.0)).alias("dice_with_matched"),
-        (F.col("_ids").isNull() & (F.col("n_cells") >= min_cells)).alias("false_positive"),
+        (F.col("_shared").isNull() & (F.col("n_cells") >= min_cells)).alias("false_positive"),
     )
     by_ref = overlap.groupBy(*keys, "ref_id").agg(
         F.sum("shared").alias("_shared"),
@@ -80,7 +81,7 @@ def match_regions(
     refs = ref_sizes.join(by_ref, [*keys, "ref_id"], "left").select(
         *keys, "ref_id", F.col("ref_cells").alias("n_cells"),
         scored.alias("scored"),
-        F.col("_ids").isNotNull().alias("detected"),
+        F.col("_shared").isNotNull().alias("detected"),
         F.when(scored, F.coalesce(entry, F.lit(0.0))).otherwise(0.0).alias("dice"),
         F.coalesce("_ids", F.array().cast(id_list)).alias("matched_comp_ids"),
     )

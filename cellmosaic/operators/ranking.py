@@ -66,6 +66,15 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: st
     return running_totals(df, keys, order, {name: F.lit(1).cast("long")})
 
 
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the ascending rank of each row within ``keys``; equal values share their mean rank."""
+    keys = list(keys)
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
+    placed = running_totals(counts, keys, [F.col(value)], {"_last": F.col("_ties")})
+    ranks = placed.select(*keys, value, (F.col("_last") - (F.col("_ties") - 1) / 2.0).alias(name))
+    return _join_null_safe(df, ranks, [*keys, value])
+
+
 def running_max_before(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str
 ) -> DataFrame:

@@ -166,17 +166,18 @@ def fingerprint(cells: DataFrame, grid: DataFrame, *, edge: int = 16) -> DataFra
 
 
 def content_hash(cells: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
-    """Hash of the decoded values, in two levels so that a large volume is not gathered in one row."""
-    entry = F.concat_ws(":", "j", "k", F.col("v").cast("string"))
-    rows = cells.where("v != 0").groupBy(*keys, "i", "j").agg(
-        F.md5(F.concat_ws(",", F.transform(
-            F.array_sort(F.collect_list(F.struct("k", entry.alias("e")))), lambda x: x["e"]
-        ))).alias("_h")
-    )
-    return rows.groupBy(*keys).agg(F.md5(F.concat_ws(",", F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "j", "_h"))),
-        lambda x: F.concat_ws(":", x["i"].cast("string"), x["j"].cast("string"), x["_h"]),
-    ))).alias("content_md5"))
+    """Hash of the decoded non-zero values, line by line, plane by plane and then per volume.
+
+    No step gathers more than one grid edge into a row.
+    """
+    level = cells.where("v != 0").select(*keys, *CELL, F.col("v").cast("string").alias("_h"))
+    for axis in reversed(CELL):
+        rest = [c for c in CELL if c in level.columns and c != axis]
+        parts = F.transform(
+            F.array_sort(F.collect_list(F.struct(axis, "_h"))), lambda x: F.concat_ws(":", x[axis].cast("string"), x["_h"])
+        )
+        level = level.groupBy(*keys, *rest).agg(F.md5(F.concat_ws(",", parts)).alias("_h"))
+    return level.withColumnRenamed("_h", "content_md5")
 
 
 def pass_variance(passes: DataFrame) -> DataFrame:

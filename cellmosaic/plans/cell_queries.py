@@ -349,9 +349,9 @@ def _(spark, d):
 
 
 @query("content_hash", with_views("volume") + """
-, slabs AS (SELECT case_id, i, j, md5(string_agg(concat_ws(':', CAST(j AS VARCHAR), CAST(k AS VARCHAR), CAST(v AS VARCHAR)), ',' ORDER BY k)) AS h
-  FROM volume WHERE v <> 0 GROUP BY 1, 2, 3)
-SELECT case_id, md5(string_agg(concat_ws(':', CAST(i AS VARCHAR), CAST(j AS VARCHAR), h), ',' ORDER BY i, j)) AS content_md5 FROM slabs GROUP BY 1""")
+, lines AS (SELECT case_id, i, j, md5(string_agg(concat_ws(':', CAST(k AS VARCHAR), CAST(v AS VARCHAR)), ',' ORDER BY k)) AS h FROM volume WHERE v <> 0 GROUP BY 1, 2, 3),
+planes AS (SELECT case_id, i, md5(string_agg(concat_ws(':', CAST(j AS VARCHAR), h), ',' ORDER BY j)) AS h FROM lines GROUP BY 1, 2)
+SELECT case_id, md5(string_agg(concat_ws(':', CAST(i AS VARCHAR), h), ',' ORDER BY i)) AS content_md5 FROM planes GROUP BY 1""")
 def _(spark, d):
     return vol.content_hash(view(spark, d, "volume"))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import entity_of
+from ..functions.exprs import break_even, entity_of
 from ..functions.runtime import cut
 from ..operators import evaluation as ev, history as hist, modelling as ml
 from ..operators.groups import assign_folds
+from ..operators.ranking import average_ranks, exact_percentiles
 from .registry import big, query, r6
 from .views import table, view, with_views
 
@@ -348,8 +349,6 @@ def _(spark, d):
 SELECT 'mean_prob' AS feature, median(mean_prob) AS median FROM regions UNION ALL SELECT 'dist_to_dominant_mm', median(dist_to_dominant_mm) FROM regions
 UNION ALL SELECT 'posterior', median(posterior) FROM regions""")
 def _(spark, d):
-    from ..operators.ranking import exact_percentiles
-
     long = ev.long_features(regions_of(spark, d), ["mean_prob", "dist_to_dominant_mm", "posterior"])
     return exact_percentiles(long, ["feature"], "value", {"median": 0.5})
 
@@ -373,8 +372,6 @@ def _(spark, d):
 
 @query("break_even_threshold", _REGIONS + "SELECT class_name, round(avg(dice) / (avg(dice) + 0.5e0), 6) AS p_star FROM refs GROUP BY 1")
 def _(spark, d):
-    from ..functions.exprs import break_even
-
     means = view(spark, d, "refs").groupBy("class_name").agg(F.avg("dice").alias("l"))
     return means.select("class_name", r6(break_even("l", F.lit(0.5)), "p_star"))
 
@@ -386,6 +383,41 @@ def _fit_rows(spark, d):
 _FIT = ("log_n_voxels", "mean_prob", "log1p_dist")
 
 
+@query("tie_averaged_ranks", with_views("regions") + """
+SELECT class_name, comp_id, rank() OVER w + (COUNT(*) OVER (PARTITION BY class_name, n_cells) - 1) / 2e0 AS size_rank FROM regions WINDOW w AS (PARTITION BY class_name ORDER BY n_cells)""")
+def _(spark, d):
+    rows = regions_of(spark, d).select("class_name", "comp_id", "n_cells")
+    return average_ranks(rows, ["class_name"], "n_cells", "size_rank").drop("n_cells")
+
+
+# Newton steps for one standardised feature and an intercept, by fold; fold -1 holds nobody out.
+_NEWTON = with_views("regions").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, fold AS (SELECT case_id, (row_number() OVER (ORDER BY md5(concat(CAST(case_id AS VARCHAR), ':0')), case_id) - 1) % 5 AS fold
+  FROM (SELECT DISTINCT case_id FROM regions WHERE n_cells >= 50) t),
+base AS MATERIALIZED (SELECT r.case_id, comp_id, mean_prob AS x0, CASE WHEN matched THEN 1e0 ELSE 0e0 END AS y, fold FROM regions r JOIN fold USING (case_id) WHERE n_cells >= 50),
+st AS MATERIALIZED (SELECT f, avg(x0) AS mu, stddev_pop(x0) AS sd FROM base, (SELECT unnest(generate_series(-1, 4)) AS f) g WHERE fold <> f GROUP BY f),
+tr AS MATERIALIZED (SELECT f, (x0 - mu) / sd AS x, y FROM base JOIN st ON fold <> f),
+nw(f, n, b0, b1) AS (SELECT f, 0, 0e0, 0e0 FROM st UNION ALL
+  SELECT f, n + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT nw.f, n, b0, b1, SUM(p - y) AS g0, SUM((p - y) * x) + b1 AS g1, SUM(p * (1 - p)) AS h00, SUM(p * (1 - p) * x) AS h01, SUM(p * (1 - p) * x * x) + 1 AS h11
+    FROM nw JOIN (SELECT * FROM tr) t ON t.f = nw.f, LATERAL (SELECT 1 / (1 + exp(-(b0 + b1 * x))) AS p) q WHERE n < 25 GROUP BY nw.f, n, b0, b1) s)"""
+
+
+@query("fit_one_feature", _NEWTON + " SELECT round(b1, 4) AS coefficient, round(b0, 4) AS intercept FROM nw WHERE n = 25 AND f = -1")
+def _(spark, d):
+    model = ml.fit_selector(_fit_rows(spark, d), ["mean_prob"], classes=[])
+    return spark.range(1).select(
+        F.round(F.lit(model.coef[0]), 4).alias("coefficient"), F.round(F.lit(model.intercept), 4).alias("intercept")
+    )
+
+
+@query("out_of_fold_one_feature", _NEWTON + """
+SELECT comp_id, round(1 / (1 + exp(-(b0 + b1 * (x0 - mu) / sd))), 4) AS posterior FROM base JOIN nw ON nw.f = fold AND n = 25 JOIN st ON st.f = fold""")
+def _(spark, d):
+    rows = _fit_rows(spark, d).withColumn("class_name", F.lit("one"))
+    return ml.out_of_fold(rows, ["mean_prob"]).select("comp_id", F.round("posterior", 4).alias("posterior"))
+
+
 @query("fit_selector")
 def _(spark, d):
     model = ml.fit_selector(_fit_rows(spark, d), _FIT)
