@@ -361,12 +361,11 @@ def evaluate_masks(
 
 def gate(summary_a: DataFrame, summary_b: DataFrame) -> DataFrame:
     """Whether run A's mean where present is strictly above run B's; targets without a value are skipped."""
-    a = summary_a.agg(F.avg("lesion_where_present").alias("mean_a"))
-    b = summary_b.agg(F.avg("lesion_where_present").alias("mean_b"))
-    one = F.lit(1).alias("_k")
-    return a.select("*", one).join(b.select("*", one), "_k").select(
-        "mean_a", "mean_b", (F.col("mean_a") > F.col("mean_b")).alias("proceed")
+    both = summary_a.select(F.lit("a").alias("run"), "lesion_where_present").unionByName(
+        summary_b.select(F.lit("b").alias("run"), "lesion_where_present")
     )
+    means = [F.avg(F.when(F.col("run") == r, F.col("lesion_where_present"))).alias(f"mean_{r}") for r in ("a", "b")]
+    return both.agg(*means).withColumn("proceed", F.col("mean_a") > F.col("mean_b"))
 
 
 def separation_histograms(regions: DataFrame, names: Sequence[str], *, bins: int = 35, label: str = "matched") -> DataFrame:

@@ -159,11 +159,10 @@ def contract(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     keys = list(keys)
     current = cut(_canonical(edges, keys))
-    while True:
-        starred = cut(_small_star(_large_star(current, keys), keys))
-        if _fingerprint(starred, keys) == _fingerprint(current, keys):
-            break
-        current = starred
+    before, after = None, _fingerprint(current, keys)
+    while before != after:
+        current = cut(_small_star(_large_star(current, keys), keys))
+        before, after = after, _fingerprint(current, keys)
     node = current.select(*keys, F.col("a").alias("node"), F.col("b").alias("root"))
     roots = current.select(*keys, F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return node.unionByName(roots)

@@ -277,9 +277,9 @@ def rename_diagnostics(scored: DataFrame, *, threshold: float = 0.5) -> DataFram
         F.count_if(F.col("_r") & F.col("matched")).alias("renames_of_matched"),
         F.count_if(F.col("_r") & F.col("_y") & ~F.col("matched")).alias("false_positives_caught"),
     )
-    one = F.lit(1).alias("_k")
-    score = auc(rows, "posterior", "_y").select(F.col("auc").alias("out_of_fold_auc"), one)
-    return counts.select("*", one).join(score, "_k", "left").drop("_k")
+    score = auc(rows, "posterior", "_y").select(F.col("auc").alias("out_of_fold_auc"))
+    parts = counts.unionByName(score, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
 def rename_decisions(regions: DataFrame, renamer: Renamer, *, out_of_fold: bool = False, threshold: float = 0.5,

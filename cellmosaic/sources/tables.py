@@ -65,11 +65,16 @@ def load_model(spark: SparkSession, path: str) -> Model:
     return Model(**json.loads(spark.read.text(path).first().value))
 
 
-def guarded_write(df: DataFrame, path: str, *, limit: int = 0, mode: str = "overwrite") -> bool:
-    """Write a Parquet result, unless the run was limited: a smoke run never replaces full results."""
+def guarded_write(
+    df: DataFrame, path: str, *, limit: int = 0, mode: str = "overwrite", partition_by: Sequence[str] = ()
+) -> bool:
+    """Write a Parquet result, unless the run was limited: a smoke run never replaces full results.
+
+    Partitioning large tables by data set and split lets later reads skip the other splits.
+    """
     if limit:
         return False
-    df.write.mode(mode).parquet(path)
+    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
     return True
 
 
