@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, slices
 
+#: Up to so many hosts (of 253 characters, with paths of some 2,000) the winning paths go to every executor, beyond it the join shuffles.
+BROADCAST_HOSTS = 10_000
 #: A host's own consensus counts from this many voting pages on.
 MIN_VOTES = 3
 
@@ -236,6 +238,8 @@ def main_text(pages: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
     winners = cut(consensus(votes(pages), min_votes))
     general = [r.path for r in winners.where("host = '*'").collect()]
     own = winners.where("host <> '*'")
+    if own.count() <= BROADCAST_HOSTS:
+        own = F.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,6 +27,8 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 #: Labelled rows and features that the fit uses at most.
 MAX_SAMPLE, MAX_FEATURES = 20_000, 4_000
+#: Lengths of word beginnings that are features beside the whole word.
+BEGINNINGS = (3, 4, 5, 6, 7)
 #: Toxic sample documents that must share a feature.
 MIN_SUPPORT = 3
 #: Tokens whose restored form a task remembers; only speed depends on it.
@@ -153,7 +155,7 @@ def words_of(text: str, model: np.ndarray, memory: dict[str, str]) -> set[str]:
 
 def marks_of(word: str) -> list[str]:
     """Features of a word: itself and its beginnings."""
-    return [f"={word}"] + [f"^{word[:n]}" for n in (4, 5) if len(word) >= n]
+    return [f"={word}"] + [f"^{word[:n]}" for n in BEGINNINGS if len(word) >= n]
 
 
 @dataclass
