@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_extraction, quality_classifier, quality_rules, simhash, toxicity
-from .common import table
+from . import decontamination, html_extraction, line_dedup, quality_classifier, quality_rules, simhash, toxicity
+from .common import SPACE, table
 from .registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -41,3 +41,14 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs)
+    return out.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"),
+        F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))).cast("long").alias("n_lines"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
