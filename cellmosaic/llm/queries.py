@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_extraction, line_dedup, quality_classifier, quality_rules, simhash, toxicity
+from . import decontamination, html_extraction, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, toxicity
 from .common import SPACE, table
 from .registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
 
+#: Public vocabulary files; the folder is a parameter of the queries.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
 
 @query("op7_simhash_near_dedup")
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,3 +57,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))).cast("long").alias("n_lines"),
         F.sha2("text", 256).alias("text_sha256"),
     )
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    vocabulary = sentencepiece_codec.load(f"{tokenizers}/piece_bpe_32k.model")
+    out = sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary)
+    return out.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), F.col("same").alias("round_trip"))
