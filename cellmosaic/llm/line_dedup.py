@@ -2,7 +2,8 @@
 
 A line goes when an earlier line of the corpus (in the order of doc_id and line number) is
 equal to it, or is within ``max_edits`` edits of it while both have at least ``min_chars``
-characters.  Equal lines are folded first, so copies cost nothing further.
+characters.  Equal lines, told by their 128-bit digest, are folded first, so copies cost
+nothing further.
 
 Of two lines within ``t`` edits the shorter one, cut into ``t + 1`` segments, has a segment
 that the longer one contains unchanged near its place.  Segments are indexed under (length,
@@ -10,6 +11,10 @@ segment number, hash); a line probes, for every possible shorter length, only th
 whose place the multi-match-aware bounds allow.  Candidates are filtered by letter counts
 (an edit changes at most two of them by one) and verified by a bit-parallel edit distance on
 the band of 2t + 1 diagonals.  DataFrame functions only.
+
+Texts are shuffled once, by doc_id; every later step joins small tables to that exchange.
+Index rows carry a 64-bit hash of the line, which only looks lines up: what is verified and
+removed are the lines themselves.
 """
 
 from __future__ import annotations
@@ -23,24 +28,56 @@ MAX_EDITS, MIN_CHARS = 2, 24
 _COUNTED = "etanisor"
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, line_no, line`` of every line with a word; lines end at a line feed, numbers start at 0.
+def dealt(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, row`` dealt by doc_id.  ``row`` is a hash of the text and tells rows with one doc_id apart.
 
-    ``row`` is a hash of the text and tells rows with the same doc_id apart.  Rows without an
-    id have no place in the order and give no lines.
+    Rows without an id or a text have no place in the order and are left out.
     """
-    text = F.col("text").cast("string")
     rows = docs.where("text is not null and doc_id is not null").select(
-        F.col("doc_id").cast("long"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    return rows.where(F.col("line").rlike(f"[^{SPACE}]"))
+    return rows.repartition("doc_id").withColumn("row", F.xxhash64("text"))
+
 
+def first_places(texts: DataFrame) -> DataFrame:
+    """``doc_id, row, firsts``: numbers of the lines with a word that occur in no earlier place of the corpus.
 
-def first_lines(docs: DataFrame) -> DataFrame:
-    """``at, line, len, letters``: every distinct line with the place of its first occurrence."""
+    Lines end at a line feed; numbers start at 0.
+    """
+    lines = texts.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(
+        F.col("line").rlike(f"[^{SPACE}]")
+    )
     place = F.struct("doc_id", "row", "line_no")
-    folded = lines_of(docs).groupBy("line").agg(F.min(place).alias("at"))
-    return folded.select("at", "line", F.length("line").alias("len"), _letters(F.col("line")).alias("letters"))
+    folded = lines.groupBy(F.unhex(F.md5("line")).alias("digest")).agg(F.min(place).alias("at"))
+    return _per_document(folded.select("at.*"), "firsts")
+
+
+def _per_document(places: DataFrame, name: str) -> DataFrame:
+    """Line numbers of ``doc_id, row, line_no`` as a sorted list per document, dealt by doc_id."""
+    return places.repartition("doc_id").groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("line_no")).alias(name))
+
+
+def _at_home(texts: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """Join per-document lists to the texts where they lie.
+
+    The rows of one doc_id are told apart by a condition that is not a join key, so the
+    exchange by doc_id serves as it is.
+    """
+    right = small.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), *[c for c in small.columns if c not in ("doc_id", "row")])
+    same = (F.col("doc_id") == F.col("_d")) & (F.col("row") - F.col("_r") == 0)
+    return texts.join(right.hint("shuffle_hash"), same, how).drop("_d", "_r")
+
+
+def _picked(texts: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """``doc_id, row, line_no, line, lid`` of the lines whose numbers ``places`` lists."""
+    split = _at_home(texts, places).select("doc_id", "row", F.split("text", "\n", -1).alias("_all"), name)
+    lines = F.col("_all")
+    pick = F.transform(
+        F.filter(name, lambda i: i < F.size(lines)), lambda i: F.struct(i.alias("line_no"), F.get(lines, i).alias("line"))
+    )
+    return split.select("doc_id", "row", F.explode(pick).alias("_p")).select("doc_id", "row", "_p.*").withColumn(
+        "lid", F.xxhash64("line")
+    )
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -61,7 +98,7 @@ def index_entries(lines: DataFrame, max_edits: int) -> DataFrame:
     for i in range(max_edits + 1):
         start, size = _segment(F.col("len"), i, max_edits + 1)
         keys.append(_key(F.col("len"), i, F.substring(F.col("line"), start, size)))
-    return lines.select("at", "len", "letters", F.explode(F.array(*keys)).alias("key"))
+    return lines.select("lid", "letters", F.explode(F.array(*keys)).alias("key"))
 
 
 def probe_entries(lines: DataFrame, max_edits: int) -> DataFrame:
@@ -77,7 +114,7 @@ def probe_entries(lines: DataFrame, max_edits: int) -> DataFrame:
                 at = start + move
                 inside = (at >= 1) & (at + size - 1 <= F.col("len")) & (size > 0)
                 keys.append(F.when(inside, _key(length, i, F.substring(F.col("line"), at, size))))
-    entries = lines.select("at", "len", "letters", F.explode(F.array(*keys)).alias("key"))
+    entries = lines.select("lid", "letters", F.explode(F.array(*keys)).alias("key"))
     return entries.where("key is not null")
 
 
@@ -134,40 +171,32 @@ def _advance(s: Column, equal: Column, t: int, full: Column) -> Column:
     return F.array(*rows)
 
 
-def near_pairs(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``a, b``: places of two different lines, each of ``min_chars`` or more, within ``max_edits`` edits; ``a`` is no longer."""
+def near_pairs(
+    texts: DataFrame, firsts: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS
+) -> DataFrame:
+    """``a, b``: places of two different first lines, each of ``min_chars`` or more, within ``max_edits`` edits."""
     if max_edits < 1 or min_chars <= 2 * max_edits:
         raise ValueError("max_edits of 1 or more and lines of more than twice as many characters are needed")
-    long_enough = lines.where(F.col("len") >= min_chars)
-    index = index_entries(long_enough, max_edits).select(
-        "key", F.col("at").alias("a"), F.col("len").alias("la"), F.col("letters").alias("ca")
-    )
-    probe = probe_entries(long_enough, max_edits).select(
-        F.col("key").alias("_k"), F.col("at").alias("b"), F.col("len").alias("lb"), F.col("letters").alias("cb")
-    )
-    once = (F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))
+    lines = _picked(texts, firsts, "firsts").withColumn("len", F.length("line")).where(F.col("len") >= min_chars)
+    sketched = lines.withColumn("letters", _letters(F.col("line")))
+    index = index_entries(sketched, max_edits).select("key", F.col("lid").alias("a"), F.col("letters").alias("ca"))
+    probe = probe_entries(sketched, max_edits).select(F.col("key").alias("_k"), F.col("lid").alias("b"), F.col("letters").alias("cb"))
     candidates = index.join(
         probe,
-        (F.col("key") == F.col("_k")) & once & (F.col("lb") - F.col("la") <= max_edits)
-        & (_letter_gap(F.col("ca"), F.col("cb")) <= 2 * max_edits),
-    ).select("a", "b").distinct()
+        (F.col("key") == F.col("_k")) & (F.col("a") != F.col("b")) & (_letter_gap(F.col("ca"), F.col("cb")) <= 2 * max_edits),
+    ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    places = lines.select("lid", "doc_id", "row", "line_no").join(wanted, "lid").select("doc_id", "row", "line_no")
     chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    texts = long_enough.select("at", "line")
-    spelled = (
-        candidates.join(texts.select(F.col("at").alias("a"), F.col("line").alias("_la")), "a")
-        .join(texts.select(F.col("at").alias("b"), F.col("line").alias("_lb")), "b")
-        .select("a", "b", chars("_la").alias("xa"), chars("_lb").alias("xb"))
+    spelled = _picked(texts, _per_document(places, "wanted"), "wanted").select(
+        "lid", F.struct("doc_id", "row", "line_no").alias("at"), chars(F.col("line")).alias("x")
     )
-    return spelled.where(within_edits(F.col("xa"), F.col("xb"), max_edits)).select("a", "b")
-
-
-def kept_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, row, kept``: the sorted numbers of the lines that stay, for documents that keep any."""
-    first = first_lines(docs)
-    later = near_pairs(first, max_edits, min_chars).select(F.greatest("a", "b").alias("at")).distinct()
-    stay = first.select("at").join(later, "at", "left_anti")
-    return stay.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row")).agg(
-        F.sort_array(F.collect_list("at.line_no")).alias("kept")
+    both = candidates.join(
+        spelled.select(F.col("lid").alias("a"), F.col("at").alias("at_a"), F.col("x").alias("xa")), "a"
+    ).join(spelled.select(F.col("lid").alias("b"), F.col("at").alias("at_b"), F.col("x").alias("xb")), "b")
+    fitting = F.abs(F.size("xa") - F.size("xb")) <= max_edits
+    return both.where(fitting & within_edits(F.col("xa"), F.col("xb"), max_edits)).select(
+        F.col("at_a").alias("a"), F.col("at_b").alias("b")
     )
 
 
@@ -176,21 +205,24 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
 
     A document may end up with an empty text.  NULL texts and rows without a doc_id are left
     as they are.  Repeated rows (same id and text) get the same result; rows with the same id
-    and different texts are ordered by a hash of the text.
+    and different texts are ordered by a hash of the text.  Other columns pass through.
     """
-    kept = kept_lines(docs, max_edits, min_chars).select(
-        F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("kept").alias("_kept")
-    )
-    rows = docs.withColumns({
-        "_lines": F.split(F.col("text").cast("string"), "\n", -1), "_hash": F.xxhash64(F.col("text").cast("string")),
-    })
-    joined = rows.join(kept, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left")
-    blank = F.filter(
-        F.transform("_lines", lambda x, i: F.when(~x.rlike(f"[^{SPACE}]"), i)), lambda i: i.isNotNull()
+    texts = dealt(docs)
+    firsts = first_places(texts)
+    later = near_pairs(texts, firsts, max_edits, min_chars).select(F.greatest("a", "b").alias("at")).distinct()
+    gone = _per_document(later.select("at.*"), "gone")
+    kept = _at_home(firsts, gone, "left").select(
+        "doc_id", "row", F.array_except("firsts", F.coalesce("gone", F.array().cast("array<int>"))).alias("kept")
     )
-    places = F.sort_array(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blank))
-    placed = joined.withColumn("_places", places)
-    lines = F.col("_lines")
-    text = F.array_join(F.transform("_places", lambda i: F.get(lines, i)), "\n")
-    changed = F.when(F.col("text").isNull() | F.col("doc_id").isNull(), F.col("text").cast("string")).otherwise(text)
-    return placed.withColumn("text", changed).select(*docs.columns)
+    split = _at_home(texts, kept, "left").select("doc_id", "row", F.split("text", "\n", -1).alias("_all"), "kept")
+    lines = F.col("_all")
+    blank = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(f"[^{SPACE}]"), i)), lambda i: i.isNotNull())
+    placed = split.withColumn("_at", F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), blank)))
+    text = F.array_join(F.transform("_at", lambda i: F.get(lines, i)), "\n")
+    made = placed.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.when(F.size(lines) > 0, text).alias("_new"))
+    made = made.dropDuplicates(["_d", "_r"])
+    others = docs.where("text is not null and doc_id is not null").withColumn("_h", F.xxhash64(F.col("text").cast("string"))).drop("text")
+    joined = others.join(made, (F.col("doc_id").cast("long") == F.col("_d")) & (F.col("_h") - F.col("_r") == 0))
+    changed = joined.withColumn("text", F.col("_new")).select(*docs.columns)
+    as_is = docs.where("text is null or doc_id is null").withColumn("text", F.col("text").cast("string"))
+    return changed.unionByName(as_is)
