@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.runtime import cut
+from ..functions.runtime import _ensure_checkpoint_dir, cut
 
-__all__ = ["cut", "table", "crc_fold", "batches_of", "SPACE", "slices"]
+__all__ = ["cut", "written", "table", "crc_fold", "batches_of", "SPACE", "slices"]
 
 # Fixed value of the word contracts: ASCII white space, as a character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -42,3 +43,12 @@ def batches_of(
                 yield per_slice(part)
 
     return df.mapInArrow(run, schema)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the session's checkpoint folder and read it back."""
+    spark = df.sparkSession
+    _ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
