@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_extraction, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, toxicity
+from . import decontamination, html_extraction, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from .common import SPACE, table
 from .registry import QUERIES, SQL, query
 
@@ -64,3 +64,9 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENI
     vocabulary = sentencepiece_codec.load(f"{tokenizers}/piece_bpe_32k.model")
     out = sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary)
     return out.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), F.col("same").alias("round_trip"))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_repeated", F.size("spans").cast("long").alias("n_spans"), F.to_json("spans").alias("spans"))
