@@ -68,21 +68,33 @@ def counted(docs: DataFrame) -> DataFrame:
 def with_repeated_words(rows: DataFrame, width: int = 3) -> DataFrame:
     """Add ``n_repeat_words``: words in ``width``-word windows found twice or more, the first included.
 
-    The windows of a row are sorted with their places; equal neighbours are the repeats.
+    Windows are told by a 64-bit hash within their row.  A row whose hashes are all distinct
+    has no repeat; in the others the hashes are sorted with their places, and neighbours whose
+    words are equal too are the repeats.
     """
-    words = F.col("words")
-    windows = F.transform(
+    words, h = F.col("words"), F.col("_h")
+    hashes = F.transform(
         F.slice(words, 1, F.greatest(F.size(words) - (width - 1), F.lit(0))),
-        lambda x, i: F.struct(F.concat_ws(" ", x, *[F.get(words, i + k) for k in range(1, width)]).alias("w"), i.alias("p")),
+        lambda x, i: F.xxhash64(x, *[F.get(words, i + k) for k in range(1, width)]),
     )
-    ordered = rows.withColumn("_g", F.sort_array(windows))
+    hashed = rows.withColumn("_h", hashes)
+    none = F.array().cast("array<struct<h:bigint,p:int>>")
+    placed = F.when(F.size(F.array_distinct(h)) < F.size(h), F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))).otherwise(none)
+    ordered = hashed.withColumn("_g", F.sort_array(placed)).drop("_h")
     g = F.col("_g")
-    twice = F.filter(g, lambda x, i: (x["w"] == F.get(g, i - 1)["w"]) | (x["w"] == F.get(g, i + 1)["w"]))
-    placed = ordered.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["p"]))).drop("_g")
+
+    def equal(x: Column, y: Column) -> Column:
+        out = x["h"] == y["h"]
+        for k in range(width):
+            out = out & (F.get(words, x["p"] + k) == F.get(words, y["p"] + k))
+        return out
+
+    twice = F.filter(g, lambda x, i: equal(x, F.get(g, i + 1)) | equal(x, F.get(g, i - 1)))
+    found = ordered.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["p"]))).drop("_g")
     p = F.col("_p")
     steps = F.transform(p, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(p, i + 1) - x, F.lit(width))))
     covered = F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
-    return placed.withColumn("n_repeat_words", covered).drop("_p")
+    return found.withColumn("n_repeat_words", covered).drop("_p")
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -91,24 +103,25 @@ def references(docs: DataFrame) -> DataFrame:
     ``classes`` are shares of the character classes; ``common`` are the most frequent words
     (lower case, ties in word order) and ``shares`` their shares of all words, the rest last.
     """
-    rows = counted(docs).select(F.coalesce("lang", F.lit(POOLED)).alias("ref"), "c", "n_words", F.lower("text").alias("text"))
+    rows = counted(docs).select(F.coalesce("lang", F.lit(POOLED)).alias("ref"), "c", "n_words")
     n = len(CLASSES) + 1
-    sums = rows.groupBy("ref").agg(
+    totals = [F.sum(c).alias(c) for c in ("n", *[f"c{i}" for i in range(n)])]
+    own = cut(rows.groupBy("ref").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n"), *[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(n)]
-    )
+    ))
     kept = [
-        r.ref for r in sums.where(F.col("ref") != POOLED)
+        r.ref for r in own.where(F.col("ref") != POOLED)
         .orderBy(F.desc("n_docs"), "ref").limit(MAX_LANGUAGES).select("ref").collect()
     ]
+    # Each count goes to its language, if that is kept, and to the pooled reference.
+    both = F.array_distinct(F.array(F.when(F.col("ref").isin(kept), F.col("ref")).otherwise(F.lit(POOLED)), F.lit(POOLED)))
+    sums = own.withColumn("ref", F.explode(both)).groupBy("ref").agg(*totals)
+    lower = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(POOLED)).alias("ref"), F.lower(F.col("text").cast("string")).alias("text"))
     words = (
-        rows.select("ref", F.explode(F.split("text", f"[{SPACE}]+", -1)).alias("word")).where("word <> ''")
+        lower.select("ref", F.explode(F.split("text", f"[{SPACE}]+", -1)).alias("word")).where("word <> ''")
         .groupBy("ref", "word").agg(F.count(F.lit(1)).alias("k")).where("length(word) <= 32")
+        .withColumn("ref", F.explode(both)).groupBy("ref", "word").agg(F.sum("k").alias("k"))
     )
-    both = lambda df, keys, aggs: df.where(F.col("ref").isin(kept)).unionByName(
-        df.withColumn("ref", F.lit(POOLED)).groupBy(*keys).agg(*aggs)
-    )
-    sums = both(sums.drop("n_docs"), ["ref"], [F.sum(c).alias(c) for c in ("n", *[f"c{i}" for i in range(n)])])
-    words = both(words, ["ref", "word"], [F.sum("k").alias("k")])
     rank = F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("k"), "word"))
     top = words.withColumn("r", rank).where(F.col("r") <= COMMON_WORDS).groupBy("ref").agg(
         F.sort_array(F.collect_list(F.struct("r", "word", "k"))).alias("top")

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_extraction, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from . import decontamination, html_extraction, line_dedup, oracles, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from .common import SPACE, table
 from .registry import QUERIES, SQL, query
 
@@ -22,13 +22,13 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op9_benchmark_decontamination")
+@query("op9_benchmark_decontamination", oracles.DECONTAMINATION)
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontamination.contamination(docs, items).drop("spans")
+    return decontamination.contamination(docs, items).drop("spans", "n_near_items")
 
 
-@query("op1_quality_rules")
+@query("op1_quality_rules", oracles.QUALITY_RULES)
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
