@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_extraction, line_dedup, oracles, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from . import decontamination, html_extraction, language_id, line_dedup, oracles, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from .common import SPACE, table
 from .registry import QUERIES, SQL, query
 
@@ -70,3 +70,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENI
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_repeated", F.size("spans").cast("long").alias("n_spans"), F.to_json("spans").alias("spans"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
