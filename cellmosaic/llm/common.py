@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.runtime import _ensure_checkpoint_dir, cut
 
-__all__ = ["cut", "written", "table", "crc_fold", "batches_of", "SPACE", "slices"]
+__all__ = ["cut", "written", "table", "crc_fold", "packed", "without_ids", "batches_of", "SPACE", "slices"]
 
 # Fixed value of the word contracts: ASCII white space, as a character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -52,3 +52,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """Whole rows in one column ``_all`` with ``_id``, so that no name of a column can clash; unpack with ``_all.*``."""
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_all")
+    return docs.select(whole, docs["doc_id"].cast("long").alias("_id"), *more)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in the one column of ``ids``; rows without an id stay."""
+    gone = ids.toDF("_gone").where("_gone is not null").distinct()
+    return packed(docs).join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_all.*")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, slices
+from .common import cut, slices, without_ids
 
 WIDTH = 10
 #: Words of test items in one block at most (a single longer item is a block of its own).
@@ -241,7 +241,4 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Where rows share a doc_id and one of them is hit, all of them go.
     """
-    hit = contamination(docs, items, width).where("contaminated and doc_id is not null").select(
-        F.col("doc_id").alias("_hit")
-    ).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long") == F.col("_hit"), "left_anti")
+    return without_ids(docs, contamination(docs, items, width).where("contaminated").select("doc_id"))

@@ -221,8 +221,11 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     text = F.array_join(F.transform("_at", lambda i: F.get(lines, i)), "\n")
     made = placed.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.when(F.size(lines) > 0, text).alias("_new"))
     made = made.dropDuplicates(["_d", "_r"])
-    others = docs.where("text is not null and doc_id is not null").withColumn("_h", F.xxhash64(F.col("text").cast("string"))).drop("text")
-    joined = others.join(made, (F.col("doc_id").cast("long") == F.col("_d")) & (F.col("_h") - F.col("_r") == 0))
-    changed = joined.withColumn("text", F.col("_new")).select(*docs.columns)
+    named = [c for c in docs.columns if c != "text"]
+    others = docs.where("text is not null and doc_id is not null").select(
+        F.struct(*named).alias("_all"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h")
+    )
+    joined = others.join(made, (F.col("_id") == F.col("_d")) & (F.col("_h") - F.col("_r") == 0))
+    changed = joined.select(*[F.col("_all")[c].alias(c) for c in named], F.col("_new").alias("text")).select(*docs.columns)
     as_is = docs.where("text is null or doc_id is null").withColumn("text", F.col("text").cast("string"))
     return changed.unionByName(as_is)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_fold, cut, slices
+from .common import crc_fold, cut, slices, without_ids
 
 #: Rows of each kind, trusted positives and unlabelled, that the fit uses at most.
 MAX_SAMPLE = 20_000
@@ -203,7 +203,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows that share an id stay or go together (all are kept if one is good); rows without an id stay.
     """
-    bad = score(docs, labels).where("doc_id is not null").groupBy(F.col("doc_id").alias("_bad")).agg(
-        F.max("predicted").alias("_p")
-    ).where("_p = 0").select("_bad")
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    bad = score(docs, labels).where("doc_id is not null").groupBy("doc_id").agg(F.max("predicted").alias("p")).where("p = 0")
+    return without_ids(docs, bad.select("doc_id"))

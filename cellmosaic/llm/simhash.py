@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.labelling import contract
-from .common import batches_of, cut
+from .common import batches_of, cut, packed, without_ids
 
 BITS, SHINGLE, SEED = 64, 3, 42
 MAX_BITS, BLOCKS, PIVOTS = 3, 6, 8
@@ -139,7 +139,6 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Rows without an id cannot be named as duplicates and stay.
     """
     found = near_duplicates(docs, max_bits)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    with_id = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.where("doc_id is null"))
+    kept = packed(without_ids(docs, found.where("doc_id <> component_id").select("doc_id")))
+    with_id = kept.where("_id is not null").dropDuplicates(["_id"])
+    return with_id.unionByName(kept.where("_id is null")).select("_all.*")
