@@ -12,9 +12,9 @@ whose place the multi-match-aware bounds allow.  Candidates are filtered by lett
 (an edit changes at most two of them by one) and verified by a bit-parallel edit distance on
 the band of 2t + 1 diagonals.  DataFrame functions only.
 
-Texts are shuffled once, by doc_id; every later step joins small tables to that exchange.
-Index rows carry a 64-bit hash of the line, which only looks lines up: what is verified and
-removed are the lines themselves.
+Texts are shuffled once, by a hash of the row; every later step joins small tables to that
+exchange.  Index rows name a line by that hash and its number, which only looks lines up:
+what is verified and removed are the lines themselves.
 """
 
 from __future__ import annotations
@@ -25,18 +25,23 @@ from .common import SPACE
 
 MAX_EDITS, MIN_CHARS = 2, 24
 # Letters whose counts filter candidates: frequent in many languages.
-_COUNTED = "etanisor"
+_COUNTED = "etaoinsrhldcumg"
+_PLACE_BITS, _ROW_BITS = 28, 35
 
 
 def dealt(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, row`` dealt by doc_id.  ``row`` is a hash of the text and tells rows with one doc_id apart.
+    """``doc_id, text, row`` dealt by ``row``, a hash of both that tells rows with one doc_id apart.
 
     Rows without an id or a text have no place in the order and are left out.
     """
     rows = docs.where("text is not null and doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    return rows.repartition("doc_id").withColumn("row", F.xxhash64("text"))
+    return rows.withColumn("row", _row_hash(F.col("doc_id"), F.col("text"))).repartition("row")
+
+
+def _row_hash(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
 
 
 def first_places(texts: DataFrame) -> DataFrame:
@@ -47,91 +52,84 @@ def first_places(texts: DataFrame) -> DataFrame:
     lines = texts.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(
         F.col("line").rlike(f"[^{SPACE}]")
     )
-    place = F.struct("doc_id", "row", "line_no")
-    folded = lines.groupBy(F.unhex(F.md5("line")).alias("digest")).agg(F.min(place).alias("at"))
+    digest = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
+    folded = lines.groupBy(*digest).agg(F.min(F.struct("doc_id", "row", "line_no")).alias("at"))
     return _per_document(folded.select("at.*"), "firsts")
 
 
 def _per_document(places: DataFrame, name: str) -> DataFrame:
-    """Line numbers of ``doc_id, row, line_no`` as a sorted list per document, dealt by doc_id."""
-    return places.repartition("doc_id").groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("line_no")).alias(name))
+    """Line numbers of ``doc_id, row, line_no`` as a sorted list per document, dealt by ``row``."""
+    return places.repartition("row").groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("line_no")).alias(name))
 
 
 def _at_home(texts: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
     """Join per-document lists to the texts where they lie.
 
-    The rows of one doc_id are told apart by a condition that is not a join key, so the
-    exchange by doc_id serves as it is.
+    The doc_id, if ``small`` has it, is compared by a condition that is not a join key, so the
+    exchange by ``row`` serves as it is.
     """
-    right = small.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), *[c for c in small.columns if c not in ("doc_id", "row")])
-    same = (F.col("doc_id") == F.col("_d")) & (F.col("row") - F.col("_r") == 0)
+    right = small.withColumnRenamed("row", "_r")
+    same = F.col("row") == F.col("_r")
+    if "doc_id" in small.columns:
+        right = right.withColumnRenamed("doc_id", "_d")
+        same = same & (F.col("doc_id") - F.col("_d") == 0)
     return texts.join(right.hint("shuffle_hash"), same, how).drop("_d", "_r")
 
 
 def _picked(texts: DataFrame, places: DataFrame, name: str) -> DataFrame:
-    """``doc_id, row, line_no, line, lid`` of the lines whose numbers ``places`` lists."""
+    """``doc_id, row, line_no, line, place`` of the lines whose numbers ``places`` lists.
+
+    ``place`` packs the row hash and the line number.
+    """
     split = _at_home(texts, places).select("doc_id", "row", F.split("text", "\n", -1).alias("_all"), name)
     lines = F.col("_all")
     pick = F.transform(
         F.filter(name, lambda i: i < F.size(lines)), lambda i: F.struct(i.alias("line_no"), F.get(lines, i).alias("line"))
     )
-    return split.select("doc_id", "row", F.explode(pick).alias("_p")).select("doc_id", "row", "_p.*").withColumn(
-        "lid", F.xxhash64("line")
-    )
-
-
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """1-based start and size of segment ``i`` (from 0) of a line of ``length``; the later ones are the longer ones."""
-    short, longer = F.floor(length / parts), length % parts
-    first_long = F.lit(parts) - longer
-    start = F.lit(i) * short + F.greatest(F.lit(0), F.lit(i) - first_long) + 1
-    return start.cast("int"), (short + (F.lit(i) >= first_long).cast("int")).cast("int")
+    place = F.shiftleft("row", _PLACE_BITS).bitwiseOR(F.col("line_no").cast("long"))
+    return split.select("doc_id", "row", F.explode(pick).alias("_p")).select("doc_id", "row", "_p.*").withColumn("place", place)
 
 
-def _key(length: Column, i: int, piece: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), piece)
+def entries(lines: DataFrame, max_edits: int) -> DataFrame:
+    """``key, place, sketch`` of every segment of a line and of every substring that may equal one of another line.
 
-
-def index_entries(lines: DataFrame, max_edits: int) -> DataFrame:
-    """``key`` of every segment of every line."""
-    keys = []
-    for i in range(max_edits + 1):
-        start, size = _segment(F.col("len"), i, max_edits + 1)
-        keys.append(_key(F.col("len"), i, F.substring(F.col("line"), start, size)))
-    return lines.select("lid", "letters", F.explode(F.array(*keys)).alias("key"))
-
-
-def probe_entries(lines: DataFrame, max_edits: int) -> DataFrame:
-    """``key`` of every substring that may equal a segment of an equally long or shorter line."""
-    keys = []
-    for shorter in range(max_edits + 1):
-        length = (F.col("len") - shorter).cast("int")
-        for i in range(max_edits + 1):
-            start, size = _segment(length, i, max_edits + 1)
-            low = max(-i, shorter - (max_edits - i))
-            high = min(i, shorter + (max_edits - i))
-            for move in range(low, high + 1):
-                at = start + move
-                inside = (at >= 1) & (at + size - 1 <= F.col("len")) & (size > 0)
-                keys.append(F.when(inside, _key(length, i, F.substring(F.col("line"), at, size))))
-    entries = lines.select("lid", "letters", F.explode(F.array(*keys)).alias("key"))
-    return entries.where("key is not null")
+    Bit 60 of ``sketch`` tells probes (1) from segments (0).
+    """
+    parts, moves = max_edits + 1, []
+    for i in range(parts):
+        moves.append((0, 0, i, 0))
+        for shorter in range(parts):
+            low, high = max(-i, shorter - (max_edits - i)), min(i, shorter + (max_edits - i))
+            moves += [(1, shorter, i, move) for move in range(low, high + 1)]
+    kinds = ("probe", "shorter", "i", "move")
+    spread = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(kinds, m)]) for m in moves]))
+    rows = lines.select("place", "line", "len", "sketch", spread.alias("m")).select("place", "line", "len", "sketch", "m.*")
+    # Of the parts + 1 segments of an indexed line the last ``l % parts`` are one character longer.
+    sized = rows.withColumn("l", F.col("len") - F.col("shorter")).withColumns({
+        "short": F.expr(f"cast(l div {parts} as int)"), "extra": F.col("i") - (F.lit(parts) - F.col("l") % parts),
+    })
+    start = F.col("i") * F.col("short") + F.greatest(F.lit(0), F.col("extra")) + 1 + F.col("move")
+    size = F.col("short") + (F.col("extra") >= 0).cast("int")
+    cut_out = sized.withColumns({"start": start, "size": size}).where("start >= 1 and start + size - 1 <= len and size > 0")
+    return cut_out.select(
+        F.xxhash64("l", "i", F.substring(F.col("line"), F.col("start"), F.col("size"))).alias("key"), "place",
+        F.col("sketch").bitwiseOR(F.shiftleft(F.col("probe").cast("long"), 60)).alias("sketch"),
+    )
 
 
-def _letters(line: Column) -> Column:
-    """Counts of eight letters, up to 127 each, packed in a long."""
+def _sketch(line: Column) -> Column:
+    """Counts of the letters modulo 16, packed in a long."""
     packed = F.lit(0).cast("long")
     for k, c in enumerate(_COUNTED):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        packed = packed.bitwiseOR(F.shiftleft(F.least(n, F.lit(127)).cast("long"), 8 * k))
+        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)).cast("long"), 4 * k))
     return packed
 
 
 def _letter_gap(a: Column, b: Column) -> Column:
-    return sum(
-        F.abs(F.shiftright(a, 8 * k).bitwiseAND(F.lit(127)) - F.shiftright(b, 8 * k).bitwiseAND(F.lit(127)))
-        for k in range(len(_COUNTED))
-    )
+    """A lower bound of the sum of differences of the letter counts: an edit adds at most two."""
+    one = lambda k: F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15))
+    return sum(F.least(F.abs(one(k)), F.lit(16) - F.abs(one(k))) for k in range(len(_COUNTED)))
 
 
 def within_edits(a: Column, b: Column, max_edits: int) -> Column:
@@ -178,22 +176,26 @@ def near_pairs(
     if max_edits < 1 or min_chars <= 2 * max_edits:
         raise ValueError("max_edits of 1 or more and lines of more than twice as many characters are needed")
     lines = _picked(texts, firsts, "firsts").withColumn("len", F.length("line")).where(F.col("len") >= min_chars)
-    sketched = lines.withColumn("letters", _letters(F.col("line")))
-    index = index_entries(sketched, max_edits).select("key", F.col("lid").alias("a"), F.col("letters").alias("ca"))
-    probe = probe_entries(sketched, max_edits).select(F.col("key").alias("_k"), F.col("lid").alias("b"), F.col("letters").alias("cb"))
-    candidates = index.join(
+    dealt_out = entries(lines.withColumn("sketch", _sketch(F.col("line"))), max_edits).repartition("key")
+    # Both sides read one exchange: a segment comes before a probe in bit 60, the only one above the counts.
+    segment = dealt_out.select("key", F.col("place").alias("a"), F.col("sketch").alias("ca"))
+    probe = dealt_out.select(F.col("key").alias("_k"), F.col("place").alias("b"), F.col("sketch").alias("cb"))
+    candidates = segment.join(
         probe,
-        (F.col("key") == F.col("_k")) & (F.col("a") != F.col("b")) & (_letter_gap(F.col("ca"), F.col("cb")) <= 2 * max_edits),
+        (F.col("key") == F.col("_k")) & (F.shiftright("ca", 60) < F.shiftright("cb", 60)) & (F.col("a") != F.col("b"))
+        & (_letter_gap(F.col("ca"), F.col("cb")) <= 2 * max_edits),
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    places = lines.select("lid", "doc_id", "row", "line_no").join(wanted, "lid").select("doc_id", "row", "line_no")
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("place")).distinct().select(
+        F.shiftrightunsigned("place", _PLACE_BITS).alias("row"), F.col("place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int").alias("line_no")
+    )
+    per_row = wanted.repartition("row").groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("wanted"))
     chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    spelled = _picked(texts, _per_document(places, "wanted"), "wanted").select(
-        "lid", F.struct("doc_id", "row", "line_no").alias("at"), chars(F.col("line")).alias("x")
+    spelled = _picked(texts, per_row, "wanted").select(
+        "place", F.struct("doc_id", "row", "line_no").alias("at"), chars(F.col("line")).alias("x")
     )
     both = candidates.join(
-        spelled.select(F.col("lid").alias("a"), F.col("at").alias("at_a"), F.col("x").alias("xa")), "a"
-    ).join(spelled.select(F.col("lid").alias("b"), F.col("at").alias("at_b"), F.col("x").alias("xb")), "b")
+        spelled.select(F.col("place").alias("a"), F.col("at").alias("at_a"), F.col("x").alias("xa")), "a"
+    ).join(spelled.select(F.col("place").alias("b"), F.col("at").alias("at_b"), F.col("x").alias("xb")), "b")
     fitting = F.abs(F.size("xa") - F.size("xb")) <= max_edits
     return both.where(fitting & within_edits(F.col("xa"), F.col("xb"), max_edits)).select(
         F.col("at_a").alias("a"), F.col("at_b").alias("b")
@@ -223,9 +225,10 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     made = made.dropDuplicates(["_d", "_r"])
     named = [c for c in docs.columns if c != "text"]
     others = docs.where("text is not null and doc_id is not null").select(
-        F.struct(*named).alias("_all"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h")
+        F.struct(*named).alias("_all"), F.col("doc_id").cast("long").alias("_id"),
+        _row_hash(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_h"),
     )
-    joined = others.join(made, (F.col("_id") == F.col("_d")) & (F.col("_h") - F.col("_r") == 0))
+    joined = others.join(made, (F.col("_h") == F.col("_r")) & (F.col("_id") - F.col("_d") == 0))
     changed = joined.select(*[F.col("_all")[c].alias(c) for c in named], F.col("_new").alias("text")).select(*docs.columns)
     as_is = docs.where("text is null or doc_id is null").withColumn("text", F.col("text").cast("string"))
     return changed.unionByName(as_is)
