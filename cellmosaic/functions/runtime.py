@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,8 +13,22 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
+    sc.setCheckpointDir(_shared_folder(spark) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names; empty in local mode without one, refused on a cluster without one."""
+    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if not configured and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return configured
+
+
+def scratch(spark: SparkSession, prefix: str) -> str:
+    """A new folder for intermediate output: in the shared folder, or a private one in local mode without it."""
+    shared = _shared_folder(spark)
+    return f"{shared.rstrip('/')}/{prefix}{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=prefix)
 
 
 def cut(df: DataFrame) -> DataFrame:

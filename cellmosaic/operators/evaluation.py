@@ -202,10 +202,11 @@ def detection_summary(
     scope = F.explode(F.array(F.lit("all"), F.col("class_name"))).alias("scope")
     keys = ["scope", *region_keys]
     both = [d.select("*", scope) for d in (regions, refs)]
-    curve = detection_curve(
-        *both, n_cases, [0.0, p_star], probability=probability, floor=floor, by=["scope"], region_keys=keys
-    )
-    return curve.withColumn("stage", F.when(F.col("threshold") == 0.0, "before").otherwise("after"))
+    stages = [
+        detection_curve(*both, n_cases, [at], probability=probability, floor=floor, by=["scope"], region_keys=keys)
+        .withColumn("stage", F.lit(stage)) for stage, at in (("before", 0.0), ("after", p_star))
+    ]
+    return stages[0].unionByName(stages[1])
 
 
 def distance_tradeoff(

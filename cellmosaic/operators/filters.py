@@ -90,7 +90,7 @@ def fill_empty(pred: DataFrame, probs: DataFrame, *, fraction: float = 0.5, **op
     """
     busy = pred.where("value > 0").select("case_id").distinct()
     fg = 1.0 - F.get(F.col("p"), F.lit(0))
-    classes = F.slice("p", 2, 64)
+    classes = F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))
     best_class = F.array_position(classes, F.array_max(classes)).cast("int")
     empty = probs.join(busy, "case_id", "left_anti").select("case_id", *CELL, fg.alias("_fg"), best_class.alias("_c"))
     peak = (

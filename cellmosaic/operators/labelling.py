@@ -73,6 +73,10 @@ def _tile_labeller(boundary: Sequence[str], tile: int):
                     zero_copy_only=False
                 ).astype(np.int64)
         cells = np.stack([table[c].to_numpy() for c in ("i", "j", "k")], axis=1).astype(np.int64)
+        fresh = np.ones(table.num_rows, dtype=bool)
+        fresh[1:] = change[1:].astype(bool) | (cells[1:] != cells[:-1]).any(axis=1)
+        if not fresh.all():  # a repeated cell counts once
+            table, cells, change = table.filter(pa.array(fresh)), cells[fresh], change[fresh]
         group = np.cumsum(change)
         root = _label_tiles(group, cells, tile)
         head = root == np.arange(root.size)
@@ -109,10 +113,15 @@ def _tile_labeller(boundary: Sequence[str], tile: int):
 
 
 def _local_pieces(cells: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+    """Pieces inside each tile; a repeated cell counts once, a cell that cannot be packed is refused."""
     boundary = [*keys, "_ti", "_tj", "_tk"]
-    tiled = cells.select(
-        *keys,
-        *[F.col(c).cast("int").alias(c) for c in ("i", "j", "k")],
+
+    def checked(c: str) -> Column:
+        message = F.concat(F.lit(f"cell coordinate {c} outside 0..{(1 << _BITS) - 1}: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL")))
+        return F.when(F.col(c).between(0, (1 << _BITS) - 1), F.col(c)).otherwise(F.raise_error(message)).cast("int")
+
+    tiled = cells.select(*keys, *[checked(c).alias(c) for c in ("i", "j", "k")]).select(
+        *keys, "i", "j", "k",
         *[F.floor(F.col(c) / tile).cast("int").alias(f"_t{c}") for c in ("i", "j", "k")],
     )
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in tiled.schema.fields])
@@ -210,7 +219,7 @@ def label_pieces(
 ) -> DataFrame:
     """Face-connected regions identified by their packed first cell.
 
-    Cells must be distinct.  Returns ``keys, i, j, k, comp_id, n_cells, head``; ``head`` is
+    Repeated cells count once.  Returns ``keys, i, j, k, comp_id, n_cells, head``; ``head`` is
     true on the first cell of each region, so the region table is a filter and not a shuffle.
     """
     keys = list(keys)
@@ -247,9 +256,6 @@ def label_regions(
     keys = list(keys)
     local = cut(_local_pieces(cells, keys, tile))
     columns = [*keys, "i", "j", "k", "comp_id", "n_cells", "head"]
-    if local.where("_ti > 0 or _tj > 0 or _tk > 0").isEmpty():
-        # Every volume lies in its first tile, whose numbering is then the final one.
-        return local.withColumnRenamed("tile_id", "comp_id").select(*columns)
     pieces = _stitched(local, keys, tile)
     ids = _numbered(pieces.where("head").select(*keys, "piece"), keys)
     return pieces.join(ids, [*keys, "piece"]).select(*columns)

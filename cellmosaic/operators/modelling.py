@@ -305,12 +305,12 @@ def optimism(regions: DataFrame, refs: DataFrame, in_sample: DataFrame, held_out
         full = regions.join(source.select(*key, F.col("posterior").alias("_p")), key, "left").withColumn(
             "_p", F.coalesce("_p", F.lit(1.0))
         )
-        curve = detection_curve(full, refs, n_cases, [0.0, p_star], probability="_p", floor=floor)
-        stage = F.when(F.col("threshold") == 0.0, "before").otherwise(label)
-        rows = curve.withColumn("stage", stage)
-        if label == "out_of_fold":
-            rows = rows.where("stage <> 'before'")
-        out = rows if out is None else out.unionByName(rows)
+        for stage, at in (("before", 0.0), (label, p_star)):
+            if stage == "before" and out is not None:
+                continue
+            curve = detection_curve(full, refs, n_cases, [at], probability="_p", floor=floor)
+            rows = curve.withColumn("stage", F.lit(stage))
+            out = rows if out is None else out.unionByName(rows)
     return out.select("stage", "sensitivity", "fp_per_case", "n_detected", "n_fp")
 
 

@@ -14,8 +14,6 @@ from .matching import Matching, label_both, match_regions
 from .ranking import exact_percentiles, ranked
 
 REGION = ("case_id", "class_value", "comp_id")
-# Above this size a region's percentile is taken from running counts instead of one buffer.
-PERCENTILE_BUFFER = 1_000_000
 
 
 def probability(class_value: Column | int) -> Column:
@@ -53,22 +51,16 @@ def region_statistics(context: DataFrame, class_values: Sequence[int]) -> DataFr
     """Size, centroid, own-class confidence, class means and what the reference has there."""
     own = probability(F.col("class_value"))
     rows = context.withColumn("_own", own)
-    small = F.col("n_cells") <= PERCENTILE_BUFFER
-    stats = cut(rows.groupBy(*REGION).agg(
+    stats = rows.groupBy(*REGION).agg(
         F.count(F.lit(1)).alias("n_cells"),
         *[F.avg(c).alias(f"centroid_{c}") for c in CELL],
         F.avg("_own").alias("mean_prob"),
         F.max("_own").alias("max_prob"),
-        F.percentile(F.when(small, F.col("_own")), 0.9).alias("p90_prob"),
         *[F.avg(probability(v)).alias(f"prob_c{v}") for v in class_values],
         *[F.count_if(F.col("ref_value") == v).alias(f"_under{v}") for v in class_values if v != 0],
-    ))
-    if not stats.where(F.col("n_cells") > PERCENTILE_BUFFER).isEmpty():
-        large = exact_percentiles(rows.where(~small), REGION, "_own", {"_p90": 0.9})
-        stats = stats.join(large, list(REGION), "left").withColumn(
-            "p90_prob", F.coalesce("p90_prob", "_p90")
-        ).drop("_p90")
-    return stats
+    )
+    # From running counts at every size: no region is held in one buffer.
+    return stats.join(exact_percentiles(rows, REGION, "_own", {"p90_prob": 0.9}), list(REGION), "left")
 
 
 def runner_up(stats: DataFrame, class_values: Sequence[int]) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators.filters import (
 )
 from ..operators.modelling import Model, with_derived, with_posterior
 from ..operators.regions import region_table
-from ..sources.ledger import record_application
+from ..sources.ledger import record_application, refuse_second
 
 
 @dataclass(frozen=True)
@@ -36,9 +36,10 @@ def apply_job(
     force: bool = False, min_cells: int = MIN_CELLS, class_names: Mapping[int, str] | None = None,
     variance: DataFrame | None = None,
 ) -> Applied:
-    """Score a held-out split once with a fitted selector."""
+    """Score a held-out split once with a fitted selector; the ledger notes it when the scores exist."""
     spark = pred.sparkSession
-    record_application(spark, ledger, run, split, model, force=force)
+    if not force:
+        refuse_second(spark, ledger, run, split, model)
     options = {} if class_names is None else {"class_names": class_names}
     regions, refs = region_table(pred, ref, probs, grid, variance=variance, min_cells=min_cells, **options)
     regions, refs = cut(with_posterior(with_derived(regions), model)), cut(refs)
@@ -49,6 +50,7 @@ def apply_job(
     before, after = (
         scores.where(F.col("variant") == v).drop("variant") for v in ("none", "selector")
     )
+    record_application(spark, ledger, run, split, model, force=force)
     return Applied(
         decided,
         scores,

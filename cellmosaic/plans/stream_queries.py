@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..functions.runtime import scratch
 from ..streaming import jobs
 from .registry import query, r6
 from .views import table
@@ -17,14 +16,8 @@ def _stream(spark, d):
 
 
 def _places(spark):
-    """Output and checkpoint folders: in the shared checkpoint folder where the cluster names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or None
-    if shared is None:
-        base = tempfile.mkdtemp(prefix="spark-stream-")
-    else:
-        import uuid
-
-        base = f"{shared.rstrip('/')}/stream-{uuid.uuid4()}"
+    """Output and checkpoint folders in the shared folder that the cluster names."""
+    base = scratch(spark, "spark-stream-")
     return f"{base}/out", f"{base}/state"
 
 

@@ -70,27 +70,29 @@ def require_complete(cases: DataFrame, required: Sequence[str]) -> DataFrame:
 
 
 def prefer_source(cases: DataFrame, order: Sequence[str], *, source: str = "source") -> DataFrame:
-    """One record per case id: the copy from the earliest source in ``order``."""
-    rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col(source))
-    w = Window.partitionBy("dataset", "case_id").orderBy(rank)
-    return (
-        cases.where(F.col(source).isin(list(order))).withColumn("_n", F.row_number().over(w))
-        .where("_n = 1").drop("_n")
-    )
+    """One record per case id: the copy from the earliest source in ``order``.
+
+    Sources that are not listed come last, in the order of their names; no case is lost.
+    """
+    place = F.array_position(F.array(*[F.lit(s) for s in order]).cast("array<string>"), F.col(source))
+    rank = F.when(place > 0, place).otherwise(F.lit(len(order) + 1))
+    ties = [F.col(c) for c in ("subset", "label") if c in cases.columns]
+    w = Window.partitionBy("dataset", "case_id").orderBy(rank, F.col(source), *ties)
+    return cases.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def load_cases(
     spark: SparkSession, roots: Mapping[str, tuple[str, Layout, str]], *,
     prefer: Sequence[str] | None = None, subsets: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Cases of several sources ``{name: (root, layout, subset)}``; the preferred copy wins."""
+    """Cases of several sources ``{name: (root, layout, subset)}``; the preferred copy in the wanted subsets wins."""
     out = None
     for name, (root, layout, subset) in roots.items():
         found = require_complete(cases_from_files(list_files(spark, root), layout, subset), layout.required)
         rows = found.withColumn("source", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
-    chosen = prefer_source(out, list(prefer or roots))
-    return chosen if subsets is None else chosen.where(F.col("subset").isin(list(subsets)))
+    wanted = out if subsets is None else out.where(F.col("subset").isin(list(subsets)))
+    return prefer_source(wanted, list(prefer or roots))
 
 
 def file_hash(spark: SparkSession, root: str, *, pattern: str = "*") -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.schema import LEDGER
@@ -32,27 +33,41 @@ def model_hash(model: Model) -> str:
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.schema(LEDGER).parquet(path)
+        return spark.read.schema(LEDGER).option("recursiveFileLookup", True).parquet(path)
     except Exception as error:  # the ledger is created by the first entry
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], LEDGER)
 
 
+def refuse_second(spark: SparkSession, path: str, run: str, split: str, model: Model) -> None:
+    """Raise if ``model`` of ``run`` has been applied to ``split`` before."""
+    seen = _read(spark, path).where(
+        (F.col("run") == run) & (F.col("split") == split) & (F.col("model_hash") == model_hash(model))
+    )
+    if not seen.isEmpty():
+        raise AlreadyAppliedError(f"{split} has already been scored with this model of {run}")
+
+
 def record_application(
     spark: SparkSession, path: str, run: str, split: str, model: Model, *, force: bool = False
 ) -> None:
-    """Note that ``model`` is applied to ``split``; a second time is refused.
+    """Note that ``model`` has been applied to ``split``; a second time is refused.
 
-    A refitted model has another hash, so earlier entries of the run do not bind it.
+    A refitted model has another hash, so earlier entries of the run do not bind it.  An entry
+    has a folder of its own that only one writer can make, so of two runs at once one fails.
     """
+    if not force:
+        refuse_second(spark, path, run, split, model)
     digest = model_hash(model)
-    seen = _read(spark, path).where(
-        (F.col("run") == run) & (F.col("split") == split) & (F.col("model_hash") == digest)
-    )
-    if not force and not seen.isEmpty():
-        raise AlreadyAppliedError(f"{split} has already been scored with this model of {run}")
-    spark.range(1).select(
+    entry = hashlib.md5(json.dumps([run, split, digest]).encode()).hexdigest()
+    row = spark.range(1).select(
         F.lit(run).alias("run"), F.lit(split).alias("split"), F.lit(digest).alias("model_hash"),
         F.current_timestamp().alias("applied_at"),
-    ).write.mode("append").parquet(path)
+    )
+    try:
+        row.write.mode("append" if force else "errorifexists").parquet(f"{path}/entry={entry}")
+    except AnalysisException as error:
+        if "ALREADY_EXISTS" not in str(error):
+            raise
+        raise AlreadyAppliedError(f"{split} is being scored with this model of {run}") from error

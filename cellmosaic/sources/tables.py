@@ -14,20 +14,25 @@ from ..operators.modelling import Model
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, *, clean: bool = True) -> DataFrame:
-    """CSV with a declared schema; empty is NULL, ``nan`` is read and then turned into NULL."""
-    plain = T.StructType([
-        T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.ArrayType) else f.dataType)
-        for f in schema.fields
-    ])
-    df = spark.read.schema(plain).csv(path, header=True, nullValue="", nanValue="nan", mode="FAILFAST")
+    """CSV with a declared schema; empty is NULL, ``nan`` is read and then turned into NULL.
+
+    Columns are found by their names in the header; a missing one, or files whose headers
+    differ, are an error, and so is a value that does not fit its type.
+    """
+    df = spark.read.csv(path, header=True, nullValue="", enforceSchema=False, mode="FAILFAST")
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
     columns = []
     for f in schema.fields:
         column = F.col(f.name)
         if isinstance(f.dataType, T.ArrayType):
             words = F.filter(F.split(F.coalesce(column, F.lit("")), " +"), lambda w: w != "")
             column = words.cast(f.dataType)
-        elif clean and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            column = finite(column)
+        else:
+            column = column.cast(f.dataType)
+            if clean and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+                column = finite(column)
         columns.append(column.alias(f.name))
     return df.select(*columns)
 

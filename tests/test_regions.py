@@ -79,8 +79,7 @@ def test_ranks_and_percentiles_with_one_hot_key(spark):
     assert [r.m for r in best[1:]] == list(np.maximum.accumulate(x)[:-1])
 
 
-def test_large_region_percentile_takes_the_exact_path(spark, monkeypatch):
-    monkeypatch.setattr(rg, "PERCENTILE_BUFFER", 10)
+def test_region_percentile_is_exact(spark):
     lab = label_regions(mask(spark, [(1, box((0, 4)))]).withColumn("class_value", F.lit(1)), ["case_id", "class_value"])
     context = lab.withColumns({"p": F.array(F.lit(0.0), F.col("i") * 0.1 + F.col("j") * 0.01), "ref_value": F.lit(0)})
     row = rg.region_statistics(context, [0, 1]).first()
