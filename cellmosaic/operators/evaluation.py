@@ -299,9 +299,10 @@ def sweep_sizes(
         F.explode(F.filter(levels, lambda t: t <= F.col("n_cells"))).alias("threshold"),
     )
     keys = ["threshold", "case_id"]
-    both = ref.select("*", F.explode(levels).alias("threshold"))
     grid_cases = cases.select("case_id").distinct().select("case_id", F.explode(levels).alias("threshold"))
-    return score_cases(filtered, both, grid_cases, targets, min_cells=min_cells, keys=keys, **options)
+    return score_cases(
+        filtered, ref, grid_cases, targets, min_cells=min_cells, keys=keys, variants=("threshold", levels), **options
+    )
 
 
 def sweep_summary(sweep: DataFrame) -> DataFrame:
@@ -341,9 +342,8 @@ def compare_variants(
     names = F.array(*[F.lit(n) for n in masks])
     keys = ["variant", "case_id"]
     return score_cases(
-        tagged, ref.select("*", F.explode(names).alias("variant")),
-        cases.select("case_id").distinct().select("case_id", F.explode(names).alias("variant")),
-        targets, min_cells=min_cells, keys=keys, **options,
+        tagged, ref, cases.select("case_id").distinct().select("case_id", F.explode(names).alias("variant")),
+        targets, min_cells=min_cells, keys=keys, variants=("variant", names), **options,
     )
 
 
@@ -354,9 +354,8 @@ def evaluate_masks(
     """Scores of several masks of the same cases held in one table under ``variant``."""
     names = F.array(*[F.lit(n) for n in variants])
     return score_cases(
-        masks, ref.select("*", F.explode(names).alias("variant")),
-        cases.select("case_id").distinct().select("case_id", F.explode(names).alias("variant")),
-        targets, min_cells=min_cells, keys=["variant", "case_id"], **options,
+        masks, ref, cases.select("case_id").distinct().select("case_id", F.explode(names).alias("variant")),
+        targets, min_cells=min_cells, keys=["variant", "case_id"], variants=("variant", names), **options,
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import MIN_CELLS, default_targets, dice, targets_of
 from ..functions.runtime import cut
@@ -163,18 +163,24 @@ def label_both(
 def score_cases(
     pred: DataFrame, ref: DataFrame, cases: DataFrame,
     targets: Mapping[str, Iterable[int]] | None = None, *,
-    min_cells: int = MIN_CELLS, keys: Sequence[str] = ("case_id",), **options,
+    min_cells: int = MIN_CELLS, keys: Sequence[str] = ("case_id",), variants: tuple[str, Column] | None = None, **options,
 ) -> DataFrame:
     """Volumetric and region scores for every case and target.
 
     A composite target is labelled on the union of its classes, not put together from
-    the class regions.  ``keys`` may hold more columns, such as a variant name.
+    the class regions.  ``keys`` may hold more columns, such as a variant name.  With
+    ``variants``, a key and the list of its values, ``ref`` comes without that key: it is the
+    same for all of them and is labelled once.
     """
     targets = targets or default_targets()
     full = [*keys, "target"]
+    if variants is not None:
+        ref = ref.withColumn(variants[0], F.get(variants[1], F.lit(0)))
     pred_lab, ref_lab = label_both(
         explode_targets(pred, targets), explode_targets(ref, targets), full, numbered=False, **options
     )
+    if variants is not None:
+        ref_lab = ref_lab.withColumn(variants[0], F.explode(variants[1]))
     matching = match_regions(pred_lab, ref_lab, full, min_cells=min_cells)
     return score_matching(matching, case_target_grid(cases, targets, keys), full)
 
