@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import slices
 
 MARK = "▁"
-#: Words whose ids, and pairs whose admissibility, a task remembers.
-MEMORY = 300_000
+#: Words whose ids, and pairs whose admissibility, a task remembers; those of the generation before stay at hand.
+MEMORY = 250_000
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 BPE = 2
@@ -41,7 +41,6 @@ class Vocabulary:
     kinds: list[int]
     merged: bool
     prefix: bool
-    memory: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
         return {k: getattr(self, k) for k in ("pieces", "scores", "kinds", "merged", "prefix")}
@@ -63,7 +62,8 @@ class Vocabulary:
             bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() if k in (NORMAL, USER) else b"" if k != UNKNOWN else " ⁇ ".encode()
             for p, k in zip(self.pieces, self.kinds)
         ]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs, self.memory, self.older = {}, {}, {}
+        self.split: list[tuple[int, int] | None] = [None] * len(self.pieces)
         self._automaton()
 
     def _automaton(self) -> None:
@@ -92,53 +92,89 @@ class Vocabulary:
                 self.fail[nxt] = back if back != nxt else 0
                 self.link[nxt] = self.fail[nxt] if self.ends[self.fail[nxt]] >= 0 else self.link[self.fail[nxt]]
                 queue.append(nxt)
-
-    def merge(self, text: str) -> list[str]:
-        """Merge the best-scored neighbours of a short text until none joins to a piece."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.id_of.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        # What the output links of a state lead to, written out on first use.
+        self.outputs: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.goto)
+
+    def _output(self, state: int) -> tuple[tuple[int, int], ...]:
+        """Pieces that end in a state with their lengths, longest first."""
+        found, out = [], state if self.ends[state] >= 0 else self.link[state]
+        while out:
+            found.append((self.ends[out], self.depth[out]))
+            out = self.link[out]
+        self.outputs[state] = tuple(found)
+        return self.outputs[state]
+
+    def halves(self, piece: int) -> tuple[int, int]:
+        """The two pieces whose merge makes ``piece`` when its text stands alone: (-1, -1) for a single
+        character, (-2, -2) for a piece that merging never makes."""
+        known = self.split[piece]
+        if known is None:
+            parts, known = list(self.pieces[piece]), (-1, -1)
+            while len(parts) > 1:
+                best, at = None, -1
+                for k in range(len(parts) - 1):
+                    i = self.id_of.get(parts[k] + parts[k + 1])
+                    if i is not None and (best is None or self.scores[i] > best):
+                        best, at = self.scores[i], k
+                if best is None:
+                    known = (-2, -2)
+                    break
+                known = tuple(self.id_of.get(x, -1) for x in parts[at : at + 2])
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.split[piece] = known
+        return known
 
     def admissible(self, before: int, piece: int) -> bool:
-        """Whether two neighbours (``before`` is -1 at the start or after a character without a piece) may stand."""
-        known = self.pairs.get((before, piece))
-        if known is None:
-            if len(self.pairs) >= MEMORY:
-                self.pairs.clear()
-            right = self.pieces[piece]
-            if before < 0:
-                known = self.merge(right) == [right]
-            else:
-                left = self.pieces[before]
-                known = self.merge(left + right) == [left, right]
-            self.pairs[before, piece] = known
+        """Whether two neighbours (``before`` is -1 at the start or after a character without a piece) may stand.
+
+        The merges of both are undone, the latest first.  Each time, the two parts that touch
+        stood side by side until the merge that was undone; had their own merge come first
+        (a better score, or the same further left), the two pieces would not have come about.
+        """
+        if len(self.pairs) >= 4 * MEMORY:
+            self.pairs.clear()
+        known = self.halves(piece)[0] != -2
+        if known and before >= 0:
+            a, b, scores, id_of, pieces = before, piece, self.scores, self.id_of, self.pieces
+            bound, or_equal = float("-inf"), False
+            while True:
+                joined = id_of.get(pieces[a] + pieces[b])
+                if joined is not None and (scores[joined] > bound or or_equal and scores[joined] == bound):
+                    known = False
+                    break
+                left, right = self.halves(a)[1], self.halves(b)[0]
+                if left >= 0 and (right < 0 or scores[a] < scores[b]):
+                    bound, or_equal, a = scores[a], False, left
+                elif right >= 0:
+                    bound, or_equal, b = scores[b], True, right
+                else:
+                    break
+        self.pairs[before << 32 | piece] = known
         return known
 
     def viterbi(self, word: str) -> tuple[int, ...]:
         """Ids of one word in a single pass."""
         low = float("-inf")
         best, last, start = [0.0] + [low] * len(word), [-1] * (len(word) + 1), [0] * (len(word) + 1)
-        goto, fail, ends, link, depth, scores, merged = self.goto, self.fail, self.ends, self.link, self.depth, self.scores, self.merged
+        goto, fail, outputs, scores, merged, pairs = self.goto, self.fail, self.outputs, self.scores, self.merged, self.pairs
         state = 0
         for at, c in enumerate(word, 1):
-            while state and c not in goto[state]:
+            nxt = goto[state].get(c)
+            while nxt is None and state:
                 state = fail[state]
-            state = goto[state].get(c, 0)
-            out = state if ends[state] >= 0 else link[state]
-            while out:
-                piece, begin = ends[out], at - depth[out]
-                score = best[begin] + scores[piece]
-                if score > best[at] and (not merged or self.admissible(last[begin], piece)):
-                    best[at], last[at], start[at] = score, piece, begin
-                out = link[out]
+                nxt = goto[state].get(c)
+            state = nxt or 0
+            found = outputs[state]
+            for piece, size in self._output(state) if found is None else found:
+                begin = at - size
+                if merged:
+                    # One path at most is admissible, so the first piece that fits has the best score.
+                    known = pairs.get(last[begin] << 32 | piece)
+                    if known or known is None and self.admissible(last[begin], piece):
+                        best[at], last[at], start[at] = best[begin] + scores[piece], piece, begin
+                        break
+                elif best[begin] + scores[piece] > best[at]:
+                    best[at], last[at], start[at] = best[begin] + scores[piece], piece, begin
             if best[at] == low and c not in self.id_of:
                 best[at], last[at], start[at] = best[at - 1] - 1e6, -1, at - 1
         ids: list[int] = []
@@ -161,10 +197,11 @@ class Vocabulary:
         for word in self.words.findall(marked):
             known = memory.get(word)
             if known is None:
-                known = self.viterbi(word)
+                known = self.older.get(word) or self.viterbi(word)
                 if len(word) <= 40:
                     if len(memory) >= MEMORY:
-                        memory.clear()
+                        self.older, self.memory = memory, {}
+                        memory = self.memory
                     memory[word] = known
             ids += known
         return ids
