@@ -209,6 +209,28 @@ def detection_summary(
     return stages[0].unionByName(stages[1])
 
 
+def with_losses(refs: DataFrame, decisions: DataFrame, region_keys: Sequence[str]) -> DataFrame:
+    """Add ``_lost``: detected reference regions none of whose matching regions is kept."""
+    ids = [*region_keys, "ref_id"]
+    alive = (
+        refs.where("detected").select(*ids, F.explode("matched_comp_ids").alias("comp_id"))
+        .join(decisions.select(*region_keys, "comp_id", "keep"), [*region_keys, "comp_id"], "left")
+        .groupBy(*ids).agg(F.bool_or(F.coalesce("keep", F.lit(True))).alias("_alive"))
+    )
+    return refs.join(alive, ids, "left").withColumn(
+        "_lost", F.col("detected") & ~F.coalesce("_alive", F.lit(False))
+    ).drop("_alive")
+
+
+def tradeoff_totals(
+    refs: DataFrame, decisions: DataFrame, *, region_keys: Sequence[str] = ("case_id", "class_name")
+) -> DataFrame:
+    """Overall row of the trade-off: scored references, those detected before, and detections deleted."""
+    return with_losses(refs, decisions, region_keys).agg(
+        F.count(F.lit(1)).alias("n_refs"), F.count_if("detected").alias("n_detected"), F.count_if("_lost").alias("n_deleted")
+    )
+
+
 def distance_tradeoff(
     refs: DataFrame, decisions: DataFrame, before: DataFrame, after: DataFrame, *,
     bands: Sequence[float] = DISTANCES, region_keys: Sequence[str] = ("case_id", "class_name"),
@@ -217,16 +239,9 @@ def distance_tradeoff(
 
     ``decisions`` has the region key and ``keep``; a region that is not listed survives.
     """
-    ids = [*region_keys, "ref_id"]
-    alive = (
-        refs.where("detected").select(*ids, F.explode("matched_comp_ids").alias("comp_id"))
-        .join(decisions.select(*region_keys, "comp_id", "keep"), [*region_keys, "comp_id"], "left")
-        .groupBy(*ids).agg(F.bool_or(F.coalesce("keep", F.lit(True))).alias("_alive"))
-    )
     distance = finite("dist_to_dominant_mm")
     far = (
-        refs.join(alive, ids, "left")
-        .select(*ids, (F.col("detected") & ~F.coalesce("_alive", F.lit(False))).alias("_lost"), distance.alias("_d"))
+        with_losses(refs, decisions, region_keys).select(*region_keys, "ref_id", "_lost", distance.alias("_d"))
         .select("*", F.explode(F.array(*[F.lit(float(b)) for b in bands])).alias("band"))
         .where(F.col("_d") > F.col("band"))
     )

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.exprs import finite
 from ..functions.schema import HISTORY
@@ -37,8 +37,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, *, clean: b
     return df.select(*columns)
 
 
-def write_table(df: DataFrame, path: str, columns: Sequence[str], *, mode: str = "errorifexists") -> None:
-    """CSV with a declared column order; arrays are written as space-joined text."""
+def write_table(
+    df: DataFrame, path: str, columns: Sequence[str], *, order: Sequence[str | Column] = (), mode: str = "errorifexists"
+) -> None:
+    """CSV with a declared column order; arrays are written as space-joined text.
+
+    With ``order`` the rows are sorted over all files: read in the order of their names, the
+    part files hold the sorted table.
+    """
+    if order:
+        df = df.orderBy(*order)
     out = []
     for name in columns:
         kind = df.schema[name].dataType

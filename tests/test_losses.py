@@ -105,3 +105,20 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         runtime.scratch(Session(), "x-")
+
+
+def test_ordered_export_is_sorted_over_all_files(spark, tmp_path):
+    rows = [(int(n), f"x{n % 7}") for n in np.random.default_rng(1).permutation(500)]
+    path = str(tmp_path / "sorted")
+    tables.write_table(spark.createDataFrame(rows, "n int, x string").repartition(6), path, ["x", "n"], order=["x", F.desc("n")])
+    lines = [line for f in sorted((tmp_path / "sorted").glob("part-*.csv")) for line in f.read_text().splitlines()[1:]]
+    assert lines == [f"{x},{n}" for n, x in sorted(rows, key=lambda r: (r[1], -r[0]))]
+
+
+def test_totals_of_the_tradeoff(spark):
+    refs = spark.createDataFrame(
+        [("a", "x", 1, True, [1, 2]), ("a", "x", 2, True, [2]), ("a", "x", 3, False, []), ("b", "x", 1, True, [9])],
+        "case_id string, class_name string, ref_id int, detected boolean, matched_comp_ids array<int>",
+    )
+    decisions = spark.createDataFrame([("a", "x", 1, True), ("a", "x", 2, False)], "case_id string, class_name string, comp_id int, keep boolean")
+    assert tuple(evaluation.tradeoff_totals(refs, decisions).first()) == (4, 3, 1)
