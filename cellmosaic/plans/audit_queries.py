@@ -87,9 +87,9 @@ def _(spark, d):
     return gr.cross_entity_links(audit.describe_pairs(_pairs(spark, d), _vector_cases(spark, d)))
 
 
-_GROUPS = with_views("links") + """
-, edge AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-grp AS (SELECT c_custkey AS entity_id, least(c_custkey, COALESCE(min(b), c_custkey)) AS group_id FROM customer LEFT JOIN edge ON a = c_custkey GROUP BY c_custkey)"""
+# The links are paths through each bucket of customers; the SQL side takes the bucket's smallest key.
+_GROUPS = """WITH grp AS (SELECT c_custkey AS entity_id, MIN(c_custkey) OVER (
+  PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal / 2000)) AS group_id FROM customer)"""
 
 
 def _orders(spark, d):
@@ -108,7 +108,7 @@ def _(spark, d):
 # The SQL side makes the greedy choice one group at a time, largest first.
 _SPLIT = _GROUPS.replace("WITH ", "WITH RECURSIVE ", 1) + """
 , gs AS (SELECT group_id, COUNT(*) AS size FROM orders JOIN grp ON o_custkey = entity_id GROUP BY 1),
-sq AS MATERIALIZED (SELECT size, row_number() OVER (ORDER BY size DESC, md5(concat(CAST(group_id AS VARCHAR), ':42')), group_id) AS n FROM gs),
+sq AS MATERIALIZED (SELECT group_id, size, row_number() OVER (ORDER BY size DESC, md5(concat(CAST(group_id AS VARCHAR), ':42')), group_id) AS n FROM gs),
 tot AS (SELECT CAST(SUM(size) AS DOUBLE) AS t FROM gs),
 st(n, c0, c1, c2, s, size) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), -1, CAST(0 AS BIGINT)
   UNION ALL SELECT n + 1, c0 + CASE WHEN p = 0 THEN z ELSE 0 END, c1 + CASE WHEN p = 1 THEN z ELSE 0 END, c2 + CASE WHEN p = 2 THEN z ELSE 0 END, p, z FROM (
@@ -116,6 +116,10 @@ st(n, c0, c1, c2, s, size) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST
       WHEN (0.15e0 * t - c1) / (0.15e0 * t) >= (0.15e0 * t - c2) / (0.15e0 * t) THEN 1 ELSE 2 END AS p
     FROM st JOIN sq ON sq.n = st.n + 1, tot) q)
 """
+_MEMBERS = _SPLIT + """
+, members AS (SELECT o_orderkey AS case_id, o_custkey AS entity_id, s AS split
+  FROM orders JOIN grp ON o_custkey = entity_id JOIN sq USING (group_id) JOIN st ON st.n = sq.n)
+"""
 
 
 def _splits(spark, d):
@@ -136,12 +140,17 @@ def _(spark, d):
     return gr.audit_splits(_splits(spark, d)).select("split", "n_cases", r6("share"))
 
 
-@query("split_leaks", "SELECT 'case_id' AS kind, '' AS key, CAST(0 AS BIGINT) AS n_splits FROM orders WHERE 1 = 0")
+@query("split_leaks", _MEMBERS + """
+SELECT 'case_id' AS kind, CAST(case_id AS VARCHAR) AS key, COUNT(DISTINCT split) AS n_splits FROM members GROUP BY 2 HAVING COUNT(DISTINCT split) > 1
+UNION ALL
+SELECT 'entity_id', CAST(entity_id AS VARCHAR), COUNT(DISTINCT split) FROM members GROUP BY 2 HAVING COUNT(DISTINCT split) > 1""")
 def _(spark, d):
     return gr.split_leaks(_splits(spark, d))
 
 
-@query("split_members", "SELECT CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS doubled")
+@query("split_members", _MEMBERS + """
+SELECT COUNT(*) FILTER (WHERE n IS NULL) AS lost, COUNT(*) FILTER (WHERE n > 1) AS doubled
+FROM orders LEFT JOIN (SELECT case_id, COUNT(*) AS n FROM members GROUP BY 1) m ON o_orderkey = case_id""")
 def _(spark, d):
     """Cases that no split or more than one split holds; both counts must be zero."""
     splits = _splits(spark, d)

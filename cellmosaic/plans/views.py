@@ -65,10 +65,10 @@ VIEWS: dict[str, str] = {
                MIN(o_orderkey) % 4 <> 0 AS present
         FROM orders GROUP BY o_custkey, o_orderpriority""",
     "links": """
-        SELECT c_custkey AS a, m AS b FROM (
-          SELECT c_custkey, MIN(c_custkey) OVER (
-            PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal / 200)) AS m FROM customer) t
-        WHERE c_custkey <> m""",
+        SELECT a, b FROM (
+          SELECT c_custkey AS a, LAG(c_custkey) OVER (
+            PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal / 2000) ORDER BY c_acctbal, c_custkey) AS b FROM customer) t
+        WHERE b IS NOT NULL""",
     "doc_cases": """
         SELECT doc_id AS case_id, source AS entity_id, lang AS dataset, lang AS subset,
                md5(text) AS content_md5, md5(concat(lang, ':', text)) AS file_md5 FROM documents""",
