@@ -33,7 +33,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut, slices
+from .common import slices, written
 
 MIN_WORDS, WINDOW, GRAM = 50, 24, 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -81,16 +81,16 @@ def minimisers(words: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> np.
 
 
 def suffixes(docs: DataFrame, min_words: int, window: int, gram: int) -> DataFrame:
-    """``uid, doc_id, row, pos, core, around`` of every kept suffix with a whole core, and one row per document
-    (``pos`` -1, ``core`` its number of words).  ``row`` is a hash of the text."""
+    """``uid, doc_id, pos, core, around`` of every kept suffix with a whole core, and one row per document
+    (``pos`` -1, ``core`` its number of words).  ``uid`` tells rows with one doc_id apart."""
     size = min_words - window + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, 2 << 20):
-                uids, ids, marks, places, cores, arounds = [], [], [], [], [], []
-                for doc_id, text, row in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()), part.column(2).to_pylist()):
+                uids, ids, places, cores, arounds = [], [], [], [], []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary())):
                     words = word_hashes(text.as_py())
                     at = minimisers(words, gram, window)
                     at = at[at + size <= len(words)]
@@ -99,21 +99,18 @@ def suffixes(docs: DataFrame, min_words: int, window: int, gram: int) -> DataFra
                     around = run_hashes(padded, size + 2 * window)[at] if len(at) else np.empty(0, np.uint64)
                     uids.append(np.full(len(at) + 1, uid))
                     ids += [doc_id] * (len(at) + 1)
-                    marks.append(np.full(len(at) + 1, row))
                     places.append(np.concatenate([[-1], at]))
                     cores.append(np.concatenate([[np.int64(len(words))], core.view(np.int64)]))
                     arounds.append(np.concatenate([[np.int64(0)], around.view(np.int64)]))
                     uid += 1
                 if uids:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(uids), pa.int64()), pa.array(ids, pa.int64()), pa.array(np.concatenate(marks), pa.int64()),
-                         pa.array(np.concatenate(places), pa.int64()), pa.array(np.concatenate(cores), pa.int64()), pa.array(np.concatenate(arounds), pa.int64())],
-                        ["uid", "doc_id", "row", "pos", "core", "around"],
+                        [pa.array(np.concatenate(uids), pa.int64()), pa.array(ids, pa.int64()), pa.array(np.concatenate(places), pa.int64()), pa.array(np.concatenate(cores), pa.int64()), pa.array(np.concatenate(arounds), pa.int64())],
+                        ["uid", "doc_id", "pos", "core", "around"],
                     )
 
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("row"))
-    return rows.mapInArrow(run, "uid long, doc_id long, row long, pos long, core long, around long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "uid long, doc_id long, pos long, core long, around long")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, min_words: int, window: int, gram: int) -> DataFrame:
@@ -128,6 +125,9 @@ def _contexts(docs: DataFrame, wanted: DataFrame, min_words: int, window: int, g
                     words = word_hashes(text.as_py())
                     padded = np.concatenate([np.zeros(window, np.uint64), words, np.zeros(window, np.uint64)])
                     at = np.array(places, np.int64)
+                    at = at[at + size <= len(words)]  # rows with one doc_id share their places
+                    if not len(at):
+                        continue
                     cores.append(run_hashes(words, size)[at].view(np.int64))
                     arounds.append(run_hashes(padded, size + 2 * window)[at].view(np.int64))
                     steps = np.arange(window)
@@ -141,10 +141,11 @@ def _contexts(docs: DataFrame, wanted: DataFrame, min_words: int, window: int, g
                         [pa.array(np.concatenate(cores)), pa.array(np.concatenate(arounds)), *lists], ["core", "around", "before", "after"]
                     )
 
-    per_doc = wanted.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("places"))
-    text = F.col("text").cast("string")
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("_d"), text.alias("text"), F.xxhash64(text).alias("_r"))
-    joined = rows.join(per_doc, (F.col("_d") == F.col("doc_id")) & (F.col("_r") == F.col("row"))).select("text", "places")
+    per_doc = wanted.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    rows = docs.where("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("string").alias("text")
+    )
+    joined = rows.join(per_doc, F.col("_d") == F.col("doc_id")).select("text", "places")
     return joined.mapInArrow(run, "core long, around long, before array<long>, after array<long>").dropDuplicates(["core", "around"])
 
 
@@ -176,14 +177,16 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WI
     size = min_words - window + 1
     if not gram <= size:
         raise ValueError("min_words must exceed the window by the length of a gram at least")
-    found = cut(suffixes(docs, min_words, window, gram))
+    # Written as Parquet: ids repeat and places ascend, so a suffix takes little more than its two hashes.
+    found = written(suffixes(docs, min_words, window, gram), "suffixes")
     documents = found.where("pos < 0").select("uid", "doc_id", F.col("core").alias("n_words"))
     kept = found.where("pos >= 0 and doc_id is not null")
     several = kept.groupBy("core").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("core")
-    folded = cut(
-        kept.join(several, "core").groupBy("core", "around").agg(
-            (F.min("doc_id") < F.max("doc_id")).alias("copied"), F.min(F.struct("doc_id", "row", "pos")).alias("one")
-        )
+    meeting = written(kept.join(several, "core"), "meeting")
+    folded = written(
+        meeting.groupBy("core", "around").agg(
+            (F.min("doc_id") < F.max("doc_id")).alias("copied"), F.min(F.struct("doc_id", "pos")).alias("one")
+        ), "surroundings",
     )
     contexts = _contexts(docs, folded.select("one.*"), min_words, window, gram)
     reach = _longest(_longest(contexts, "after", "right"), "before", "left").select("core", "around", "right", "left")
@@ -193,7 +196,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WI
         F.when(F.col("copied"), F.lit(window)).otherwise(F.coalesce("left", F.lit(0))).alias("left"),
         F.when(F.col("copied"), F.lit(window)).otherwise(F.coalesce("right", F.lit(0))).alias("right"),
     )
-    spans = kept.join(extents, ["core", "around"]).groupBy("uid").agg(
+    spans = meeting.join(extents, ["core", "around"]).groupBy("uid").agg(
         F.sort_array(F.collect_set(F.struct(
             F.greatest(F.col("pos") - F.col("left"), F.lit(0)).alias("start"),
             (F.col("pos") + size - 1 + F.col("right")).alias("end"),
