@@ -26,7 +26,7 @@ from .common import slices
 
 MARK = "▁"
 #: Words whose ids, and pairs whose admissibility, a task remembers; those of the generation before stay at hand.
-MEMORY = 250_000
+MEMORY = 150_000
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 BPE = 2
@@ -131,7 +131,7 @@ class Vocabulary:
         stood side by side until the merge that was undone; had their own merge come first
         (a better score, or the same further left), the two pieces would not have come about.
         """
-        if len(self.pairs) >= 4 * MEMORY:
+        if len(self.pairs) >= 2 * MEMORY:
             self.pairs.clear()
         known = self.halves(piece)[0] != -2
         if known and before >= 0:
