@@ -181,7 +181,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WI
     found = written(suffixes(docs, min_words, window, gram), "suffixes")
     documents = found.where("pos < 0").select("uid", "doc_id", F.col("core").alias("n_words"))
     kept = found.where("pos >= 0 and doc_id is not null")
-    several = kept.groupBy("core").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("core")
+    # A table of its own, so that the join can split a core that a large part of all suffixes share.
+    several = written(
+        kept.groupBy("core").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("core"), "cores"
+    )
     meeting = written(kept.join(several, "core"), "meeting")
     folded = written(
         meeting.groupBy("core", "around").agg(
