@@ -38,6 +38,8 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th "
     "thead tr ul".split()
 )
+# Elements that stand in a head; any other one, and text, ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CONTAINERS = frozenset("article main section div body td blockquote".split())
 # Words in class and id names that mark menus, notices, adverts and reader comments.
 MARKED = re.compile(
@@ -62,11 +64,12 @@ _DIGITS = re.compile(r"\d+")
 class Page:
     """Text pieces of a page in order, each with the open element it stands in."""
 
-    __slots__ = ("pieces", "tag", "path", "parent", "skip")
+    __slots__ = ("pieces", "tag", "path", "parent", "skip", "html", "body")
 
     def __init__(self, source: str):
         self.tag, self.path, self.parent, self.skip = ["#"], [""], [-1], [False]
         self.pieces: list[tuple[int, str, bool]] = []
+        self.html = self.body = 0
         self._read(source)
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
@@ -95,6 +98,8 @@ class Page:
             token = _TOKEN.search(source, at)
             end = token.start() if token else len(source)
             if end > at:
+                if source[at:end].strip("\ufeff \t\n\r\f"):
+                    self._begin_body(stack)
                 self.pieces.append((stack[-1], html.unescape(source[at:end]), fresh))
                 fresh = False
             if not token:
@@ -109,6 +114,11 @@ class Page:
                 continue
             while len(stack) > 1 and tag in ENDS.get(self.tag[stack[-1]], ()):
                 stack.pop()
+            if tag in ("html", "head", "body", "frameset"):
+                self._frame(stack, tag, token.group(3))
+                continue
+            if tag not in HEAD:
+                self._begin_body(stack)
             if tag in BLOCKS and tag != "br":
                 self._end_paragraph(stack)
             if tag in RAW:
@@ -118,6 +128,29 @@ class Page:
                 # The element of a self-closed tag is opened too, as browsers do.
                 stack.append(self._open(stack[-1], tag, token.group(3)))
 
+    def _frame(self, stack: list[int], tag: str, attributes: str) -> None:
+        """Open html, head or body; each but the head is there once, as in browsers, and nothing but it goes into a head."""
+        if tag == "html":
+            if not self.html:
+                self.html = self._open(stack[-1], tag, attributes)
+                stack.append(self.html)
+        elif not self.body:
+            if self.tag[stack[-1]] == "head":
+                stack.pop()
+            if not self.html:
+                self._frame(stack, "html", "")
+            node = self._open(self.html, tag, attributes)
+            stack.append(node)
+            if tag != "head":
+                self.body = node
+
+    def _begin_body(self, stack: list[int]) -> None:
+        """What cannot stand in a head ends an open one and stands in the body, whose tags are optional."""
+        if self.tag[stack[-1]] in ("#", "html", "head"):
+            self._frame(stack, "body", "")
+            if stack[-1] != self.body:
+                stack.append(self.body)
+
     def _end_paragraph(self, stack: list[int]) -> None:
         """A block ends an open paragraph, also through inline elements left open in it."""
         for k in range(len(stack) - 1, 0, -1):

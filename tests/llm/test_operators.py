@@ -274,6 +274,19 @@ def test_html_extraction(spark):
     assert html_extraction.main_text(spark.createDataFrame([], "page_id long, url string, html string, host string, path string")).count() == 0
 
 
+def test_optional_head_and_body_tags_may_be_left_out():
+    inner = "<div class=post><p>First words of it.<p>Second words.</div>"
+    whole = f"<!DOCTYPE html><html><head><title>t</title></head><body>{inner}</body></html>"
+    pages = [
+        whole, whole.replace("</head>", ""), whole.replace("</head><body>", ""), whole.replace("<body>", "").replace("</body>", ""),
+        f"\ufeff<title>t</title><meta charset=utf-8>{inner}", whole.replace("</head><body>", "</head>\n<body><head>"),
+    ]
+    for page in pages:
+        assert html_extraction.vote(page) == "/html/body/div.post"
+        assert html_extraction.extract(page, []) == "First words of it. Second words."
+    assert html_extraction.extract("<head><title>t</title>Loose text<div>x</div><p>and more of it", []) == "Loose text x and more of it"
+
+
 # 7 -------------------------------------------------------------------------------------------
 
 
