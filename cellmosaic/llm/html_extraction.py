@@ -1,7 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 1. Every page scores its own containers: block elements gain the length of the running text
-   directly in their paragraphs, headings and lists, and lose what sits in links.
+   directly in their paragraphs, headings and lists, and lose what sits in links.  From the best
+   one the page climbs to the next container out that adds notably more running text than links.
 2. The generalised tag-class path of the best container (numbers replaced, positions left
    out) is the page's vote; votes are counted per host in Spark, and a host is represented
    by its winning path.  Hosts with few pages fall back to the paths of all hosts together.
@@ -25,14 +26,16 @@ from .common import cut, slices
 
 #: Up to so many hosts (of 253 characters, with paths of some 2,000) the winning paths go to every executor, beyond it the join shuffles.
 BROADCAST_HOSTS = 10_000
+#: A container out is taken for the best one if it has so many times the running text, outside links.
+NOTABLY = 1.1
 #: A host's own consensus counts from this many voting pages on.
 MIN_VOTES = 3
 
 # Fixed values of HTML: elements without an end tag, elements whose content is not markup,
 # elements that never hold main text, and elements that start a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object select math canvas".split())
-BOILERPLATE = frozenset("nav header footer aside form button dialog menu head figcaption".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object select canvas".split())
+BOILERPLATE = frozenset("nav header footer aside form button dialog menu head".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th "
@@ -191,9 +194,36 @@ class Page:
                 up = self.parent[up]
         return out
 
+    def _amounts(self) -> dict[int, list[int]]:
+        """Characters of all unskipped text under every container, outside links and in them."""
+        out: dict[int, list[int]] = {}
+        for node, text, _ in self.pieces:
+            size, up, linked, around = len(text.strip()), node, 0, []
+            if self.skip[node] or not size:
+                continue
+            while up > 0:
+                linked |= self.tag[up] == "a"
+                if self.tag[up] in CONTAINERS:
+                    around.append(up)
+                up = self.parent[up]
+            for up in around:
+                out.setdefault(up, [0, 0])[linked] += size
+        return out
+
     def best(self) -> int:
+        """The container with the best score, or the ones around it that hold more of the text; an article or main is whole."""
         found = self.scores()
-        return max(found, key=lambda n: (found[n], -n)) if found else 0
+        if not found:
+            return 0
+        best = max(found, key=lambda n: (found[n], -n))
+        amounts, up = self._amounts(), best
+        while up > 0 and self.tag[best] not in ("article", "main"):
+            up = self.parent[up]
+            if up in amounts:
+                plain, linked = (a - b for a, b in zip(amounts[up], amounts[best]))
+                if plain > linked and amounts[up][0] >= NOTABLY * amounts[best][0]:
+                    best = up
+        return best
 
     def text(self, roots: frozenset[int]) -> str:
         """Text under ``roots``: white space inside a block made one space, blocks joined by one space."""

@@ -287,6 +287,19 @@ def test_optional_head_and_body_tags_may_be_left_out():
     assert html_extraction.extract("<head><title>t</title>Loose text<div>x</div><p>and more of it", []) == "Loose text x and more of it"
 
 
+def test_text_in_several_blocks_is_kept_whole():
+    words = "Running words of the page that say something. "
+    page = "<html><body><nav>Menu</nav><div class=wrap>{}</div><div class=more>{}</div><footer>f</footer></body></html>"
+    links = "<a href=/x>Another page</a> " * 30
+    lead, body, quote = words * 3, words * 9, words * 12
+    assert html_extraction.extract(page.format(f"<div class=lead><p>{lead}</div><div class=body><p>{body}</div>", links), []) == " ".join([*lead.split(), *body.split()])
+    nested = page.format(f"<div class=lead><p>{lead}</div><div class=body><p>{body}<blockquote><p>{quote}</blockquote></div>", links)
+    assert html_extraction.vote(nested) == "/html/body/div.wrap"
+    assert html_extraction.extract(nested, []) == " ".join([*lead.split(), *body.split(), *quote.split()])
+    figure = f"<article><p>{body}<figure><img src=x><figcaption>A caption</figcaption></figure><p>Sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> here</article>"
+    assert html_extraction.extract(page.format(figure, words), []) == " ".join([*body.split(), "A caption Sum x+y here"])
+
+
 # 7 -------------------------------------------------------------------------------------------
 
 
