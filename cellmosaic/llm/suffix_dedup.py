@@ -12,15 +12,14 @@ place among its first ``window`` that is followed by ``core`` words of the passa
    another document go on;
 2. suffixes with equal surroundings (``window`` words before, ``window`` words after the core)
    fold into one;
-3. within a core, the folded suffixes are sorted by what follows, and by what precedes read
-   backwards; neighbours in these orders give each suffix its longest match to the right
-   and to the left;
-4. a suffix covers its core and both extensions.  Overlapping spans of a document are
-   merged, and merged spans of ``min_words`` or more are the result.
-
-All words of every passage of ``min_words`` words that stands in two documents are covered,
-and every word that is covered lies in a run of at least ``core`` words of which another
-document has the core.
+3. every folded suffix names the ``min_words`` words from each of the ``window`` places up to its
+   own by a hash; a hash is shared if suffixes of two documents name it.  These are aggregated
+   sums and joins on the hash: no suffix is compared with others one by one;
+4. a suffix covers its shared runs, which all hold its core.  Overlapping and touching spans of a
+   document are merged.
+
+So the result is every word of a passage of ``min_words`` words that stands in two documents, and
+no other: a shared passage has a kept place among its first ``window`` words, and that place names it.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import slices, written
 
@@ -113,58 +112,50 @@ def suffixes(docs: DataFrame, min_words: int, window: int, gram: int) -> DataFra
     return rows.mapInArrow(run, "uid long, doc_id long, pos long, core long, around long")
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, min_words: int, window: int, gram: int) -> DataFrame:
-    """``core, around, after, before`` of one suffix per folded surrounding: the next and the previous word hashes."""
+def _runs(docs: DataFrame, folded: DataFrame, min_words: int, window: int) -> DataFrame:
+    """``around, lo, hi, runs`` of every folded suffix: hashes of the ``min_words`` words that start 0 to ``window - 1``
+    words before it, NULL where they pass an end of the text."""
     size = min_words - window + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2 << 20):
-                cores, arounds, befores, afters = [], [], [], []
-                for text, places in zip(part.column(0).cast(pa.binary()), part.column(1).to_pylist()):
+            for part in slices(batch, 1 << 20):
+                arounds, los, his, found, empty = [], [], [], [], []
+                lists = part.column(2)
+                for text, lo, places in zip(part.column(0).cast(pa.binary()), part.column(1).to_pylist(), lists):
                     words = word_hashes(text.as_py())
                     padded = np.concatenate([np.zeros(window, np.uint64), words, np.zeros(window, np.uint64)])
-                    at = np.array(places, np.int64)
-                    at = at[at + size <= len(words)]  # rows with one doc_id share their places
+                    around = run_hashes(padded, size + 2 * window).view(np.int64)
+                    at, want, hi = (np.array(places.values.field(k), np.int64) for k in range(3))
+                    # Rows with one doc_id share their places; the surroundings tell which are this row's.
+                    own = at + size <= len(words)
+                    own[own] = around[at[own]] == want[own]
+                    at = at[own]
                     if not len(at):
                         continue
-                    cores.append(run_hashes(words, size)[at].view(np.int64))
-                    arounds.append(run_hashes(padded, size + 2 * window)[at].view(np.int64))
-                    steps = np.arange(window)
-                    befores.append(padded[(at + window - 1)[:, None] - steps].view(np.int64))
-                    afters.append(padded[(at + window + size)[:, None] + steps].view(np.int64))
-                if cores:
-                    n = sum(len(c) for c in cores)
-                    offsets = pa.array(np.arange(n + 1) * window, pa.int32())
-                    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).ravel(), pa.int64())) for x in (befores, afters)]
+                    whole = run_hashes(words, min_words).view(np.int64)
+                    starts = at[:, None] - np.arange(window)
+                    outside = (starts < 0) | (starts >= len(whole))
+                    arounds.append(want[own])
+                    los.append(np.full(len(at), lo))
+                    his.append(hi[own])
+                    found.append((whole if len(whole) else np.zeros(1, np.int64))[np.where(outside, 0, starts)].ravel())
+                    empty.append(outside.ravel())
+                if arounds:
+                    n = sum(len(x) for x in arounds)
+                    runs = pa.ListArray.from_arrays(
+                        pa.array(np.arange(n + 1) * window, pa.int32()), pa.array(np.concatenate(found), pa.int64(), mask=np.concatenate(empty))
+                    )
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(cores)), pa.array(np.concatenate(arounds)), *lists], ["core", "around", "before", "after"]
+                        [pa.array(np.concatenate(x), pa.int64()) for x in (arounds, los, his)] + [runs], ["around", "lo", "hi", "runs"]
                     )
 
-    per_doc = wanted.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    per_doc = folded.groupBy("lo").agg(F.sort_array(F.collect_list(F.struct("pos", "around", "hi"))).alias("places"))
     rows = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("string").alias("text")
     )
-    joined = rows.join(per_doc, F.col("_d") == F.col("doc_id")).select("text", "places")
-    return joined.mapInArrow(run, "core long, around long, before array<long>, after array<long>").dropDuplicates(["core", "around"])
-
-
-def _shared(a: Column, b: Column) -> Column:
-    """Length of the common beginning of two equally long lists; 0 where one is NULL.  Zeros (no word) match nothing."""
-    miss = F.array_position(F.zip_with(a, b, lambda x, y: (x == y) & (x != 0)), False)
-    return F.coalesce(F.when(miss == 0, F.size(a)).otherwise(miss - 1), F.lit(0)).cast("long")
-
-
-def _longest(rows: DataFrame, side: str, name: str) -> DataFrame:
-    """Add the longest match of ``side`` with any other row of the core: neighbours in sorted order have it.
-
-    Rows whose first word differs cannot match, so a core falls apart by first word.
-    """
-    near = Window.partitionBy("core", F.get(side, F.lit(0))).orderBy(side, "around")
-    previous, following = F.lag(side).over(near), F.lead(side).over(near)
-    return rows.withColumns({"_p": previous, "_n": following}).withColumn(
-        name, F.greatest(_shared(F.col(side), F.col("_p")), _shared(F.col(side), F.col("_n")))
-    ).drop("_p", "_n")
+    joined = rows.join(per_doc, F.col("_d") == F.col("lo")).select("text", "lo", "places")
+    return joined.mapInArrow(run, "around long, lo long, hi long, runs array<long>")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -187,28 +178,31 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WI
     )
     meeting = written(kept.join(several, "core"), "meeting")
     folded = written(
-        meeting.groupBy("core", "around").agg(
-            (F.min("doc_id") < F.max("doc_id")).alias("copied"), F.min(F.struct("doc_id", "pos")).alias("one")
+        meeting.groupBy("around").agg(F.min(F.struct("doc_id", "pos")).alias("one"), F.max("doc_id").alias("hi")).select(
+            "around", F.col("one.doc_id").alias("lo"), F.col("one.pos").alias("pos"), "hi"
         ), "surroundings",
     )
-    contexts = _contexts(docs, folded.select("one.*"), min_words, window, gram)
-    reach = _longest(_longest(contexts, "after", "right"), "before", "left").select("core", "around", "right", "left")
-    # Surroundings that two documents share match as far as they go.
-    extents = folded.select("core", "around", "copied").join(reach, ["core", "around"], "left").select(
-        "core", "around",
-        F.when(F.col("copied"), F.lit(window)).otherwise(F.coalesce("left", F.lit(0))).alias("left"),
-        F.when(F.col("copied"), F.lit(window)).otherwise(F.coalesce("right", F.lit(0))).alias("right"),
+    runs = written(_runs(docs, folded, min_words, window), "runs")
+    named = runs.select("around", "lo", "hi", F.posexplode("runs").alias("back", "run")).where("run is not null")
+    # Tables of their own, so that the joins can split a run or a surrounding that a large part of all suffixes share.
+    shared = written(named.groupBy("run").agg(F.min("lo").alias("_a"), F.max("hi").alias("_b")).where("_a < _b").select("run"), "shared")
+    # Of surroundings that two documents have, every run within the text is shared.
+    copied = F.col("lo") < F.col("hi")
+    met = named.where(~copied).select("around", "back", "run").join(shared, "run").groupBy("around").agg(
+        F.max("back").cast("long").alias("first"), F.min("back").cast("long").alias("last")
+    )
+    same = runs.where(copied).select("around", F.posexplode("runs").alias("back", "run")).where("run is not null").groupBy("around").agg(
+        F.max("back").cast("long").alias("first"), F.min("back").cast("long").alias("last")
     )
-    spans = meeting.join(extents, ["core", "around"]).groupBy("uid").agg(
+    extents = written(met.unionByName(same), "extents")
+    spans = meeting.join(extents, "around").groupBy("uid").agg(
         F.sort_array(F.collect_set(F.struct(
-            F.greatest(F.col("pos") - F.col("left"), F.lit(0)).alias("start"),
-            (F.col("pos") + size - 1 + F.col("right")).alias("end"),
+            (F.col("pos") - F.col("first")).alias("start"), (F.col("pos") - F.col("last") + (min_words - 1)).alias("end")
         ))).alias("spans")
     )
     rows = documents.join(spans, "uid", "left").select("doc_id", "n_words", _merged(F.col("spans"), F.col("n_words")).alias("spans"))
-    long_ones = F.filter("spans", lambda x: x["end"] - x["start"] + 1 >= min_words)
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return rows.select("doc_id", "n_words", F.coalesce(long_ones, none).alias("spans")).select(
+    return rows.select("doc_id", "n_words", F.coalesce("spans", none).alias("spans")).select(
         "doc_id", "n_words",
         F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"] + 1).alias("n_repeated"), "spans",
     )

@@ -442,3 +442,28 @@ def test_repeated_passages_against_all_windows(spark, odd, empty):
             assert must[r.doc_id] <= words <= may[r.doc_id]
     assert {r.doc_id for r in got if r.spans} == {i for i, c in must.items() if c}
     assert suffix_dedup.repeated_spans(odd).count() == 14 and suffix_dedup.repeated_spans(empty).count() == 0
+
+
+def test_fragments_that_touch_are_no_repeat(spark):
+    rnd = random.Random(12)
+    rows, fresh = [], lambda n: [f"w{rnd.getrandbits(40)}" for _ in range(n)]
+    for i in range(0, 120, 3):
+        # two fragments that touch or overlap, each shared with another document; some passages of 50 and more among them
+        text = fresh(130)
+        a, n, m = rnd.randint(0, 40), rnd.choice([27, 30, 40, 49, 49, 50, 60]), rnd.choice([27, 35, 40, 49, 49, 51])
+        b = a + n - rnd.choice([0, 0, 5, 20])
+        rows += [(i, text), (i + 1, fresh(9) + text[a : a + n] + fresh(30)), (i + 2, fresh(30) + text[b : b + m] + fresh(9))]
+    inner = fresh(55)
+    rows += [(300, fresh(5) + inner + fresh(5) + inner + fresh(5)), (301, fresh(20)), (302, fresh(30)), (303, rows[0][1][:30])]  # repeats within one document only
+    rows += [(301, inner[:40] + fresh(9)), (304, inner[:49])]
+    boiler = fresh(60)
+    rows += [(400 + i, fresh(24) + boiler + fresh(24)) for i in range(40)]
+    where = {}
+    for i, w in rows:
+        for s in range(len(w) - 49):
+            where.setdefault(tuple(w[s : s + 50]), set()).add(i)
+    cover = lambda w: {p for s in range(len(w) - 49) if len(where[tuple(w[s : s + 50])]) > 1 for p in range(s, s + 50)}
+    got = suffix_dedup.repeated_spans(spark.createDataFrame([(i, " ".join(w), "en", "s") for i, w in rows], DOCS)).collect()
+    found = sorted((r.doc_id, r.n_words, sorted({p for s in r.spans for p in range(s.start, s.end + 1)})) for r in got)
+    assert found == sorted((i, len(w), sorted(cover(w))) for i, w in rows)
+    assert {i for i, _, c in found if c and i < 300} and [i for i, _, c in found if not c and i < 300 and i % 3 == 0]
