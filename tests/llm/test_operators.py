@@ -467,3 +467,8 @@ def test_fragments_that_touch_are_no_repeat(spark):
     found = sorted((r.doc_id, r.n_words, sorted({p for s in r.spans for p in range(s.start, s.end + 1)})) for r in got)
     assert found == sorted((i, len(w), sorted(cover(w))) for i, w in rows)
     assert {i for i, _, c in found if c and i < 300} and [i for i, _, c in found if not c and i < 300 and i % 3 == 0]
+
+
+def test_no_core_is_sorted_in_one_task(docs):
+    plan = suffix_dedup.repeated_spans(docs)._jdf.queryExecution().toString()
+    assert "Window" not in plan
