@@ -138,7 +138,11 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Rows without an id cannot be named as duplicates and stay.
     """
-    found = near_duplicates(docs, max_bits)
+    return one_per_component(docs, near_duplicates(docs, max_bits))
+
+
+def one_per_component(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``docs`` without those that ``found`` (``doc_id, component_id``) places in a component of a smaller id."""
     kept = packed(without_ids(docs, found.where("doc_id <> component_id").select("doc_id")))
     with_id = kept.where("_id is not null").dropDuplicates(["_id"])
     return with_id.unionByName(kept.where("_id is null")).select("_all.*")
