@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_rules import REACH, WEIGHTS, rules
+
 QUALITY_RULES = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '*') AS ref, coalesce(text, '') AS text FROM documents),
 a1 AS (SELECT *, regexp_replace(text, '[a-z]+', '', 'g') AS s1 FROM d),
@@ -104,3 +106,51 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
   n_hit IS NOT NULL AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def license_scan() -> str:
+    """The licence scan with the same table of rules; nested detections are compared pair by pair."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    mark = lambda s: quoted(s.replace("\x01", "<").replace("\x02", ">"))
+    values = ",\n".join(
+        f"({r.rule},{quoted(r.label)},{r.priority},{str(r.base).lower()},{quoted(r.keyword)},{mark(r.pattern)})" for r in rules()
+    )
+    weights = " ".join(f"WHEN {k} THEN {w}" for k, w in WEIGHTS.items())
+    return rf"""
+WITH r(rule, label, priority, base, keyword, pattern) AS (VALUES {values}),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+    lambda x: x <> '') AS ws FROM documents
+),
+w AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+k AS (SELECT * FROM w WHERE word IN (SELECT keyword FROM r)),
+around AS (
+  SELECT k.rid, k.p, k.word, array_to_string(list_concat(ws[greatest(k.p - {REACH}, 1) : k.p - 1], ['<' || word || '>'], ws[k.p + 1 : k.p + {REACH}]), ' ') AS s
+  FROM k JOIN d USING (rid)
+),
+m AS (
+  SELECT rid, p, rule, label, priority, base, trim(regexp_extract(s, pattern, 0)) AS x FROM around JOIN r ON word = keyword
+),
+f AS (
+  SELECT *, p - 1 - len(string_split(split_part(x, '<', 1), ' ')) + 1 AS a, p - 1 - len(string_split(split_part(x, '<', 1), ' ')) + 1 + len(string_split(x, ' ')) AS b
+  FROM m WHERE x <> ''
+),
+kept AS (
+  SELECT * FROM f WHERE NOT base AND NOT EXISTS (
+    SELECT 1 FROM f g WHERE g.rid = f.rid AND NOT g.base AND (g.rule <> f.rule OR g.a <> f.a OR g.b <> f.b) AND (
+      (g.a <= f.a AND g.b >= f.b AND (g.priority > f.priority OR g.priority = f.priority AND (g.a < f.a OR g.b > f.b OR g.rule < f.rule)))
+      OR (g.a >= f.a AND g.b <= f.b AND g.priority > f.priority)))
+),
+b AS (
+  SELECT rid, count(*) AS n_base, min(a) AS first_word, max(a) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM f WHERE base GROUP BY rid
+),
+l AS (
+  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(CASE priority {weights} END) AS score
+  FROM (SELECT * FROM kept UNION ALL SELECT * FROM f WHERE base) GROUP BY rid
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN l USING (rid)
+"""

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_extraction, language_id, line_dedup, oracles, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from . import decontamination, html_extraction, language_id, license_scan, line_dedup, oracles, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from .common import SPACE, table
 from .registry import QUERIES, SQL, query
 
@@ -75,3 +75,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
+@query("op11_license_scan", oracles.license_scan())
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("found")
