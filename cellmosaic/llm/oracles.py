@@ -154,3 +154,67 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, la
   coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM d LEFT JOIN b USING (rid) LEFT JOIN l USING (rid)
 """
+
+MERKLE_MANIFEST = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+),
+langs AS (
+  SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) AS k FROM (SELECT DISTINCT lang FROM documents)
+),
+d AS (
+  SELECT documents.*, langs.k, CAST(doc_id AS VARCHAR) AS id,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c))),
+      lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])) AS crc
+  FROM documents JOIN langs ON documents.lang IS NOT DISTINCT FROM langs.lang, crc_table
+),
+head AS (
+  SELECT k, doc_id, crc, text, low, coalesce(strlen(id) || ':' || id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS x FROM d
+),
+digest AS (
+  SELECT k, doc_id, sha256(x || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(x || CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN coalesce(strlen(low) || ':' || low, '-')
+      ELSE coalesce(strlen(text) || ':' || text, '-') END) AS tampered
+  FROM head
+),
+leaf AS (
+  SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY k) AS n
+  FROM digest
+),
+low_tree(level, k, p, n, h) AS (
+  SELECT 0, k, p, n, leaf FROM leaf
+  UNION ALL
+  SELECT level + 1, k, p // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY p)) FROM low_tree WHERE n > 1 GROUP BY level, k, p // 8, n
+),
+subroot AS (SELECT k, h, level FROM low_tree WHERE n = 1),
+high_tree(level, p, n, h) AS (
+  SELECT 0, k - 1, (SELECT count(*) FROM langs), h FROM subroot
+  UNION ALL
+  SELECT level + 1, p // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY p)) FROM high_tree WHERE n > 1 GROUP BY level, p // 8, n
+),
+own_step AS (
+  SELECT rid, t.level AS step, t.p, t.h, leaf.p // CAST(pow(8, t.level) AS BIGINT) AS mine
+  FROM leaf JOIN low_tree t ON t.k = leaf.k AND t.n > 1 AND t.p // 8 = leaf.p // CAST(pow(8, t.level + 1) AS BIGINT)
+),
+top_step AS (
+  SELECT rid, 100 + t.level AS step, t.p, t.h, (k - 1) // CAST(pow(8, t.level) AS BIGINT) AS mine
+  FROM leaf JOIN high_tree t ON t.n > 1 AND t.p // 8 = (k - 1) // CAST(pow(8, t.level + 1) AS BIGINT)
+),
+step AS (
+  SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY step) AS s, coalesce(string_agg(h, '' ORDER BY p) FILTER (WHERE p < mine), '') AS l,
+    coalesce(string_agg(h, '' ORDER BY p) FILTER (WHERE p > mine), '') AS r
+  FROM (SELECT * FROM own_step UNION ALL SELECT * FROM top_step) GROUP BY rid, step
+),
+fold(rid, s, h) AS (
+  SELECT rid, 0, tampered FROM leaf
+  UNION ALL
+  SELECT fold.rid, fold.s + 1, sha256(l || h || r) FROM fold JOIN step ON step.rid = fold.rid AND step.s = fold.s + 1
+),
+proof AS (SELECT rid, string_agg(l || r, '' ORDER BY s) AS proof, max(s) AS s FROM step GROUP BY rid),
+root AS (SELECT h FROM high_tree WHERE n = 1)
+SELECT doc_id, leaf, subroot.h AS subroot, root.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, fold.h AS folded_root, fold.h = root.h AS verified
+FROM leaf JOIN subroot USING (k) LEFT JOIN proof USING (rid) JOIN fold ON fold.rid = leaf.rid AND fold.s = coalesce(proof.s, 0), root
+"""
