@@ -218,3 +218,37 @@ root AS (SELECT h FROM high_tree WHERE n = 1)
 SELECT doc_id, leaf, subroot.h AS subroot, root.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, fold.h AS folded_root, fold.h = root.h AS verified
 FROM leaf JOIN subroot USING (k) LEFT JOIN proof USING (rid) JOIN fold ON fold.rid = leaf.rid AND fold.s = coalesce(proof.s, 0), root
 """
+
+
+def vector_codes() -> str:
+    """The vector codes with every distance evaluated."""
+    rounds = "".join(f"""
+a{r} AS (
+  SELECT rid, part, min(list_sum(list_transform(range(1, len(v) + 1), lambda k: (v[k] - c[k]) * (v[k] - c[k]))) * 256 + e) AS x
+  FROM parts JOIN b{r} USING (part) GROUP BY rid, part
+),""" + (f"""
+m{r} AS (
+  SELECT part, e, list(CAST(m AS BIGINT) ORDER BY k) AS c FROM (
+    SELECT part, x % 256 AS e, k, floor(sum(v[k]) / count(*)) AS m
+    FROM a{r} JOIN parts USING (rid, part), (SELECT unnest(range(1, 1 + (SELECT max(len(v)) FROM parts))) AS k) GROUP BY part, x % 256, k
+  ) GROUP BY part, e
+),
+b{r + 1} AS (SELECT b{r}.part, b{r}.e, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (part, e)),""" if r < 4 else "") for r in range(5))
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rid, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS (
+  SELECT rid, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS v FROM kept, (SELECT unnest(range(4)) AS part)
+),
+b0 AS (SELECT part, rid AS e, v AS c FROM parts WHERE rid < 256),{rounds}
+coded AS (
+  SELECT rid, string_agg(printf('%02x', x % 256), '' ORDER BY part) AS code, CAST(sum(x // 256) AS BIGINT) AS error FROM a4 GROUP BY rid
+),
+labels AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM kept JOIN coded USING (rid) GROUP BY label),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM kept JOIN coded USING (rid) JOIN labels ON kept.label IS NOT DISTINCT FROM labels.label, books
+"""

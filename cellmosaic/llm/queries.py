@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_extraction, language_id, license_scan, line_dedup, merkle_manifest, oracles, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from . import decontamination, html_extraction, language_id, license_scan, line_dedup, merkle_manifest, oracles, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, vector_codes
 from .common import SPACE, table
 from .registry import QUERIES, SQL, query
 
@@ -85,3 +85,8 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_merkle_manifest", oracles.MERKLE_MANIFEST)
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents")).drop("lang", "proof")
+
+
+@query("op12_vector_codes", oracles.vector_codes())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
