@@ -192,6 +192,8 @@ def encode(vectors: DataFrame) -> tuple[DataFrame, Codebooks]:
     """
     rows, dim = integers(vectors)
     books = first_entries(rows, dim)
+    if not dim:  # nothing is kept
+        return rows.select("vec_id", "label", F.lit("").alias("code"), F.lit(0).cast("long").alias("error")), books
     pivots = choose_pivots(books)
     stored = written(with_pivot_distances(rows, pivots), "vectors")
     for _ in range(ROUNDS):
