@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import MIN_CELLS, break_even, dice, finite, struct_max
 from ..functions.runtime import cut
-from .filters import apply_decisions, drop_small, label_classes
+from .contacts import PRED, ContactGraph, contact_graph, score_edits
+from .filters import ORACLES, oracle_fates, threshold_of, with_decisions
 from .matching import score_cases
 from .ranking import exact_percentiles, ranked, running_totals
 
@@ -304,20 +305,12 @@ def sweep_sizes(
 ) -> DataFrame:
     """Scores of every case at every size threshold.
 
-    The prediction is labelled once by class; each threshold keeps the cells of the regions
-    that reach it.  Composite targets change shape with the threshold and are labelled again.
+    Cells are labelled once; a threshold keeps the nodes of the contact graph that reach it.
     """
-    lab = cut(label_classes(pred, **options))
+    graph = contact_graph(pred, ref, **options)
     levels = F.array(*[F.lit(int(g)) for g in grid])
-    filtered = lab.select(
-        "case_id", "i", "j", "k", F.col("class_value").alias("value"),
-        F.explode(F.filter(levels, lambda t: t <= F.col("n_cells"))).alias("threshold"),
-    )
-    keys = ["threshold", "case_id"]
-    grid_cases = cases.select("case_id").distinct().select("case_id", F.explode(levels).alias("threshold"))
-    return score_cases(
-        filtered, ref, grid_cases, targets, min_cells=min_cells, keys=keys, variants=("threshold", levels), **options
-    )
+    kept = graph.side(PRED)[0].withColumn("threshold", F.explode(F.filter(levels, lambda t: t <= F.col("n_cells"))))
+    return score_edits(graph, kept, cases, targets, ("threshold", levels), min_cells=min_cells)
 
 
 def sweep_summary(sweep: DataFrame) -> DataFrame:
@@ -344,22 +337,25 @@ def compare_variants(
     pred: DataFrame, ref: DataFrame, cases: DataFrame, targets: Mapping[str, Iterable[int]],
     thresholds: int | Mapping[int, int], decisions: DataFrame, *, min_cells: int = MIN_CELLS, **options,
 ) -> DataFrame:
-    """Scores of the mask as it is, after the size filter and after the decisions."""
-    masks = {
-        "none": pred.select("case_id", "i", "j", "k", F.col("value").cast("int").alias("value")),
-        "size": drop_small(pred, thresholds, **options),
-        "selector": apply_decisions(pred, decisions, **options),
-    }
-    tagged = None
-    for name, mask in masks.items():
-        rows = mask.withColumn("variant", F.lit(name))
-        tagged = rows if tagged is None else tagged.unionByName(rows)
-    names = F.array(*[F.lit(n) for n in masks])
-    keys = ["variant", "case_id"]
-    return score_cases(
-        tagged, ref, cases.select("case_id").distinct().select("case_id", F.explode(names).alias("variant")),
-        targets, min_cells=min_cells, keys=keys, variants=("variant", names), **options,
-    )
+    """Scores of the mask as it is, after the size filter and after the decisions, from one contact graph."""
+    graph = contact_graph(pred, ref, **options)
+    decided = with_decisions(graph.numbered(PRED), decisions)
+    names = F.array(*[F.lit(n) for n in ("none", "size", "selector")])
+    big, keep = F.col("n_cells") >= threshold_of(thresholds), F.coalesce("keep", F.lit(True))
+    chosen = F.array(F.lit("none"), F.when(big, F.lit("size")), F.when(keep, F.lit("selector")))
+    kept = decided.withColumn("variant", F.explode(F.array_compact(chosen)))
+    return score_edits(graph, kept, cases, targets, ("variant", names), min_cells=min_cells)
+
+
+def score_oracles(
+    graph: ContactGraph, origin: DataFrame, cases: DataFrame, targets: Mapping[str, Iterable[int]], *, min_cells: int = MIN_CELLS
+) -> DataFrame:
+    """Scores of the masks of ``filters.oracle_masks`` without building them: fates are given to nodes."""
+    kept = oracle_fates(graph.numbered(PRED), origin).drop("value").select("*", F.explode("fates").alias("_f")).select(
+        "case_id", "node", "n_cells", "_f.variant", "_f.value"
+    ).where("value > 0")
+    names = F.array(*[F.lit(n) for n in ORACLES])
+    return score_edits(graph, kept, cases, targets, ("variant", names), min_cells=min_cells)
 
 
 def evaluate_masks(

@@ -46,28 +46,31 @@ def keep_decisions(regions: DataFrame, p_star: float | Column, *, floor: int = M
     return regions.withColumn("keep", (F.col("n_cells") < floor) | (F.col(posterior) >= limit))
 
 
-def apply_decisions(cells: DataFrame, decisions: DataFrame, **options) -> DataFrame:
-    """Remove rejected regions; unknown regions stay, a size that differs is an error.
+def with_decisions(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Add ``keep`` to rows with a region key; NULL where nothing is decided, an error where the size differs.
 
     ``decisions`` has ``case_id, class_value, comp_id, keep`` and, where sizes are to be
     verified, ``n_cells``.
     """
-    lab = label_classes(cells, **options)
     columns = [*CLASS_REGION, "keep"] + (["n_cells"] if "n_cells" in decisions.columns else [])
     known = decisions.select(*columns)
     if "n_cells" in columns:
         known = known.withColumnRenamed("n_cells", "_recorded")
-    joined = lab.join(known, list(CLASS_REGION), "left")
-    if "n_cells" in columns:
-        message = F.concat(
-            F.lit("component mismatch for "), F.concat_ws("/", *CLASS_REGION), F.lit(": recorded "),
-            F.col("_recorded").cast("string"), F.lit(" cells, mask has "), F.col("n_cells").cast("string"),
-        )
-        differs = F.col("_recorded").isNotNull() & (F.col("_recorded") != F.col("n_cells"))
-        joined = joined.withColumn(
-            "keep", F.when(differs, F.raise_error(message).cast("boolean")).otherwise(F.col("keep"))
-        )
-    return _as_cells(joined.where(F.coalesce("keep", F.lit(True))), ["case_id"])
+    joined = rows.join(known, list(CLASS_REGION), "left")
+    if "n_cells" not in columns:
+        return joined
+    message = F.concat(
+        F.lit("component mismatch for "), F.concat_ws("/", *CLASS_REGION), F.lit(": recorded "),
+        F.col("_recorded").cast("string"), F.lit(" cells, mask has "), F.col("n_cells").cast("string"),
+    )
+    differs = F.col("_recorded").isNotNull() & (F.col("_recorded") != F.col("n_cells"))
+    return joined.withColumn("keep", F.when(differs, F.raise_error(message).cast("boolean")).otherwise(F.col("keep"))).drop("_recorded")
+
+
+def apply_decisions(cells: DataFrame, decisions: DataFrame, **options) -> DataFrame:
+    """Remove rejected regions; unknown regions stay, a size that differs is an error."""
+    lab = label_classes(cells, **options)
+    return _as_cells(with_decisions(lab, decisions).where(F.coalesce("keep", F.lit(True))), ["case_id"])
 
 
 def apply_rename(cells: DataFrame, decisions: DataFrame, **options) -> DataFrame:
@@ -142,19 +145,22 @@ def missed_origin(ref_lab: DataFrame, pred: DataFrame, matching: Matching, *, ma
     return under_regions(ref_lab, pred, majority=majority).join(missed, list(CLASS_REGION), "left_semi")
 
 
-def oracle_masks(pred: DataFrame, pred_lab: DataFrame, origin: DataFrame) -> DataFrame:
-    """The four masks ``none``, ``relabel``, ``delete`` and ``both`` in one table, by ``variant``."""
+ORACLES = ("none", "relabel", "delete", "both")
+
+
+def oracle_fates(rows: DataFrame, origin: DataFrame) -> DataFrame:
+    """Add ``fates``: what becomes of a region's value (0: gone) under each of ``ORACLES``."""
     fate = origin.select(*CLASS_REGION, F.col("covered_by").alias("_to"))
-    cells = pred_lab.join(fate, list(CLASS_REGION), "left")
     own, to = F.col("class_value"), F.col("_to")
-    variants = F.array(
-        F.struct(F.lit("none").alias("variant"), own.alias("value")),
-        F.struct(F.lit("relabel").alias("variant"), F.when(to > 0, to).otherwise(own).alias("value")),
-        F.struct(F.lit("delete").alias("variant"), F.when(to.isNull(), own).otherwise(0).alias("value")),
-        F.struct(F.lit("both").alias("variant"), F.coalesce(to, own).alias("value")),
-    )
+    values = (own, F.when(to > 0, to).otherwise(own), F.when(to.isNull(), own).otherwise(0), F.coalesce(to, own))
+    fates = F.array(*[F.struct(F.lit(name).alias("variant"), value.alias("value")) for name, value in zip(ORACLES, values)])
+    return rows.join(fate, list(CLASS_REGION), "left").withColumn("fates", fates).drop("_to")
+
+
+def oracle_masks(pred: DataFrame, pred_lab: DataFrame, origin: DataFrame) -> DataFrame:
+    """The four masks ``none``, ``relabel``, ``delete`` and ``both`` in one table, by ``variant``."""
     return (
-        cells.select("case_id", *CELL, F.explode(variants).alias("_m"))
+        oracle_fates(pred_lab, origin).select("case_id", *CELL, F.explode("fates").alias("_m"))
         .select("case_id", *CELL, "_m.variant", "_m.value").where("value > 0")
     )
 

@@ -7,7 +7,7 @@ star contraction, which only ever sees one row per touching pair of pieces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,12 @@ def pack_cell(i: Column, j: Column, k: Column) -> Column:
     )
 
 
+def packable(c: str) -> Column:
+    """The coordinate ``c``, or an error where a packed cell cannot hold it."""
+    message = F.concat(F.lit(f"cell coordinate {c} outside 0..{(1 << _BITS) - 1}: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL")))
+    return F.when(F.col(c).between(0, (1 << _BITS) - 1), F.col(c)).otherwise(F.raise_error(message)).cast("int")
+
+
 def _merge_pieces(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest row index connected to each of ``n`` rows by the edges a-b."""
     label = np.arange(n)
@@ -61,33 +67,18 @@ def _label_tiles(group: np.ndarray, cells: np.ndarray, tile: int) -> np.ndarray:
     return _merge_pieces(code.size, np.concatenate(left), np.concatenate(right))
 
 
-def _tile_labeller(boundary: Sequence[str], tile: int):
-    """Function for ``mapInArrow``: consumes sorted rows, holds back the last open tile."""
+def changes(table: pa.Table, boundary: Sequence[str]) -> np.ndarray:
+    """1 where a row starts a new tile; rows are sorted by the boundary columns."""
+    change = np.zeros(table.num_rows, dtype=np.int64)
+    for name in boundary:
+        col = table[name].combine_chunks()
+        if table.num_rows > 1:
+            change[1:] |= pc.not_equal(col.slice(1), col.slice(0, len(col) - 1)).to_numpy(zero_copy_only=False).astype(np.int64)
+    return change
 
-    def finish(table: pa.Table) -> pa.RecordBatch:
-        change = np.zeros(table.num_rows, dtype=np.int64)
-        for name in boundary:
-            col = table[name].combine_chunks()
-            if table.num_rows > 1:
-                change[1:] |= pc.not_equal(col.slice(1), col.slice(0, len(col) - 1)).to_numpy(
-                    zero_copy_only=False
-                ).astype(np.int64)
-        cells = np.stack([table[c].to_numpy() for c in ("i", "j", "k")], axis=1).astype(np.int64)
-        fresh = np.ones(table.num_rows, dtype=bool)
-        fresh[1:] = change[1:].astype(bool) | (cells[1:] != cells[:-1]).any(axis=1)
-        if not fresh.all():  # a repeated cell counts once
-            table, cells, change = table.filter(pa.array(fresh)), cells[fresh], change[fresh]
-        group = np.cumsum(change)
-        root = _label_tiles(group, cells, tile)
-        head = root == np.arange(root.size)
-        seen = np.cumsum(head)
-        first = np.concatenate([[0], np.nonzero(change)[0]])
-        packed = (cells[:, 0] << 2 * _BITS) | (cells[:, 1] << _BITS) | cells[:, 2]
-        out = table.append_column("piece", pa.array(packed[root]))
-        out = out.append_column("n_cells", pa.array(np.bincount(root, minlength=root.size)[root]))
-        out = out.append_column("head", pa.array(head))
-        out = out.append_column("tile_id", pa.array((seen[root] - seen[first][group] + 1).astype(np.int32)))
-        return out.combine_chunks().to_batches()[0]
+
+def per_tile(boundary: Sequence[str], finish: Callable[[pa.Table], pa.RecordBatch]):
+    """Function for ``mapInArrow``: gives ``finish`` whole tiles of sorted rows, holds back the last open tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -112,15 +103,35 @@ def _tile_labeller(boundary: Sequence[str], tile: int):
     return run
 
 
+def _tile_labeller(boundary: Sequence[str], tile: int):
+    """Function for ``mapInArrow`` that labels the pieces of every tile."""
+
+    def finish(table: pa.Table) -> pa.RecordBatch:
+        change = changes(table, boundary)
+        cells = np.stack([table[c].to_numpy() for c in ("i", "j", "k")], axis=1).astype(np.int64)
+        fresh = np.ones(table.num_rows, dtype=bool)
+        fresh[1:] = change[1:].astype(bool) | (cells[1:] != cells[:-1]).any(axis=1)
+        if not fresh.all():  # a repeated cell counts once
+            table, cells, change = table.filter(pa.array(fresh)), cells[fresh], change[fresh]
+        group = np.cumsum(change)
+        root = _label_tiles(group, cells, tile)
+        head = root == np.arange(root.size)
+        seen = np.cumsum(head)
+        first = np.concatenate([[0], np.nonzero(change)[0]])
+        packed = (cells[:, 0] << 2 * _BITS) | (cells[:, 1] << _BITS) | cells[:, 2]
+        out = table.append_column("piece", pa.array(packed[root]))
+        out = out.append_column("n_cells", pa.array(np.bincount(root, minlength=root.size)[root]))
+        out = out.append_column("head", pa.array(head))
+        out = out.append_column("tile_id", pa.array((seen[root] - seen[first][group] + 1).astype(np.int32)))
+        return out.combine_chunks().to_batches()[0]
+
+    return per_tile(boundary, finish)
+
+
 def _local_pieces(cells: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
     """Pieces inside each tile; a repeated cell counts once, a cell that cannot be packed is refused."""
     boundary = [*keys, "_ti", "_tj", "_tk"]
-
-    def checked(c: str) -> Column:
-        message = F.concat(F.lit(f"cell coordinate {c} outside 0..{(1 << _BITS) - 1}: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL")))
-        return F.when(F.col(c).between(0, (1 << _BITS) - 1), F.col(c)).otherwise(F.raise_error(message)).cast("int")
-
-    tiled = cells.select(*keys, *[checked(c).alias(c) for c in ("i", "j", "k")]).select(
+    tiled = cells.select(*keys, *[packable(c).alias(c) for c in ("i", "j", "k")]).select(
         *keys, "i", "j", "k",
         *[F.floor(F.col(c) / tile).cast("int").alias(f"_t{c}") for c in ("i", "j", "k")],
     )

@@ -53,12 +53,18 @@ def match_regions(
     only scores are asked for.
     """
     keys = list(keys)
-    comp_sizes = region_sizes(pred_lab, keys)
     ref_sizes = region_sizes(ref_lab, keys).select(
         *keys, F.col("comp_id").alias("ref_id"), F.col("n_cells").alias("ref_cells")
     )
-    overlap = overlap_table(pred_lab, ref_lab, keys)
-    id_list = f"array<{pred_lab.schema['comp_id'].dataType.simpleString()}>"
+    return match_tables(region_sizes(pred_lab, keys), ref_sizes, overlap_table(pred_lab, ref_lab, keys), keys, min_cells=min_cells)
+
+
+def match_tables(
+    comp_sizes: DataFrame, ref_sizes: DataFrame, overlap: DataFrame, keys: Sequence[str], *, min_cells: int = MIN_CELLS
+) -> Matching:
+    """The matching of ``match_regions`` from the sizes of both sides and their overlap table alone."""
+    keys = list(keys)
+    id_list = f"array<{comp_sizes.schema['comp_id'].dataType.simpleString()}>"
     scored = F.col("ref_cells") >= min_cells
     by_comp = overlap.where(scored).groupBy(*keys, "comp_id").agg(
         F.sum("shared").alias("_shared"),
@@ -197,3 +203,36 @@ def score_matching(matching: Matching, grid: DataFrame, keys: Sequence[str]) ->
         *keys, dice("_p", "_r", "_s").alias("dice"), "lesion_dice", "lesions_missed", "lesions_false",
         F.col("_r").isNotNull().alias("present"),
     )
+
+
+def score_tables(
+    comps: DataFrame, refs: DataFrame, overlap: DataFrame, grid: DataFrame, keys: Sequence[str], ref_keys: Sequence[str], *,
+    min_cells: int = MIN_CELLS,
+) -> DataFrame:
+    """Case scores from region sizes and overlaps, by counting: no region is joined to another table.
+
+    ``comps`` has ``keys, n_cells`` per predicted region, ``refs`` has ``ref_keys, ref_cells`` per
+    reference region (the same for all variants that ``keys`` may add), ``overlap`` is as in ``overlap_table``.
+    Regions without a match are those that are counted and not met.
+    """
+    keys, ref_keys = list(keys), list(ref_keys)
+    scored, real = F.col("ref_cells") >= min_cells, F.col("n_cells") >= min_cells
+    comp_side = comps.groupBy(*keys).agg(F.sum("n_cells").alias("_p"), F.count_if(real).alias("_decidable"))
+    ref_side = refs.groupBy(*ref_keys).agg(F.sum("ref_cells").alias("_r"), F.count_if(scored).alias("_n"))
+    per_comp = overlap.groupBy(*keys, "comp_id").agg(F.sum("shared").alias("_shared"), F.max(real & scored).alias("_met"))
+    met_comps = per_comp.groupBy(*keys).agg(F.sum("_shared").alias("_s"), F.count_if("_met").alias("_met"))
+    per_ref = overlap.groupBy(*keys, "ref_id").agg(
+        F.max("ref_cells").alias("ref_cells"), F.sum("shared").alias("_shared"), F.sum("n_cells").alias("_other")
+    ).where(scored)
+    entry = 2.0 * F.col("_shared") / (F.col("ref_cells") + F.col("_other"))
+    met_refs = per_ref.groupBy(*keys).agg(F.sum(entry).alias("_sum"), F.count(F.lit(1)).alias("_found"))
+    rows = grid.select(*keys)
+    for side, on in ((comp_side, keys), (ref_side, ref_keys), (met_comps, keys), (met_refs, keys)):
+        rows = rows.join(side, on, "left")
+    n, found, false = (F.coalesce(F.col(c), F.lit(0)) for c in ("_n", "_found", "_decidable"))
+    false = false - F.coalesce("_met", F.lit(0))
+    return rows.select(
+        *keys, dice("_p", "_r", "_s").alias("dice"),
+        F.when(n + false == 0, F.lit(1.0)).otherwise(F.coalesce("_sum", F.lit(0.0)) / (n + false)).alias("lesion_dice"),
+        (n - found).alias("lesions_missed"), false.alias("lesions_false"), F.col("_r").isNotNull().alias("present"),
+    )

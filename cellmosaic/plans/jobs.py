@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.exprs import MIN_CELLS
 from ..functions.runtime import cut
+from ..operators.contacts import PRED, REF, contact_graph, match_nodes, nodes_under
 from ..operators.evaluation import (
-    compare_variants, detection_curve, detection_summary, distance_tradeoff, evaluate_masks, summarise,
-)
-from ..operators.filters import (
-    false_positive_origin, keep_decisions, match_classes, missed_origin, oracle_masks,
+    compare_variants, detection_curve, detection_summary, distance_tradeoff, score_oracles, summarise,
 )
+from ..operators.filters import keep_decisions
 from ..operators.modelling import Model, with_derived, with_posterior
 from ..operators.regions import region_table
 from ..sources.ledger import record_application, refuse_second
@@ -65,9 +64,11 @@ def attribute_errors(
     pred: DataFrame, ref: DataFrame, cases: DataFrame, targets: Mapping[str, Iterable[int]], *, min_cells: int = MIN_CELLS
 ) -> dict[str, DataFrame]:
     """False and missed regions with what is there instead, and the score of each oracle mask."""
-    pred_lab, ref_lab, matching = match_classes(pred, ref, min_cells=min_cells)
-    false = cut(false_positive_origin(pred_lab, ref, matching))
-    missed = cut(missed_origin(ref_lab, pred, matching))
-    masks = cut(oracle_masks(pred, pred_lab, false))
-    scores = evaluate_masks(masks, ref, cases, targets, ["none", "relabel", "delete", "both"], min_cells=min_cells)
+    graph = contact_graph(pred, ref)
+    matching = match_nodes(graph, min_cells=min_cells)
+    region = ["case_id", "class_value", "comp_id"]
+    false = cut(nodes_under(graph, PRED).join(matching.comps.where("false_positive").select(*region), region, "left_semi"))
+    lost = matching.refs.where("scored and not detected").select("case_id", "class_value", F.col("ref_id").alias("comp_id"))
+    missed = cut(nodes_under(graph, REF).join(lost, region, "left_semi"))
+    scores = score_oracles(graph, false, cases, targets, min_cells=min_cells)
     return {"false": false, "missed": missed, "scores": scores, "summary": summarise(scores, ["variant", "target"])}
