@@ -9,12 +9,15 @@ public 32k vocabulary) a path is admissible only if every two neighbours are wha
 their joined text gives; exactly one path is, so the same pass returns the library's ids.
 
 Where no piece continues a word across a space mark, a text falls apart into space-led
-words, and a task remembers the ids of the words it has met; only speed depends on that.
+words, and those into segments wherever no piece holds the two characters that meet.  A task
+remembers the ids of the words and segments it has met, up to a number of characters, and
+forgets them at its end; only speed depends on that.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -27,6 +30,8 @@ from .common import slices
 MARK = "▁"
 #: Words whose ids, and pairs whose admissibility, a task remembers; those of the generation before stay at hand.
 MEMORY = 150_000
+#: Longer words are not remembered.
+LONGEST = 40
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 BPE = 2
@@ -62,10 +67,15 @@ class Vocabulary:
             bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() if k in (NORMAL, USER) else b"" if k != UNKNOWN else " ⁇ ".encode()
             for p, k in zip(self.pieces, self.kinds)
         ]
-        self.pairs, self.memory, self.older = {}, {}, {}
+        self.inner = {a + b for p in self.id_of for a, b in zip(p, p[1:])}
+        self.forget()
         self.split: list[tuple[int, int] | None] = [None] * len(self.pieces)
         self._automaton()
 
+    def forget(self) -> None:
+        """Drop what was remembered."""
+        self.pairs, self.memory, self.older = {}, {}, {}
+
     def _automaton(self) -> None:
         """Goto, failure and output links; ``ends[s]`` is the piece that ends in state ``s`` or -1."""
         self.goto, self.ends, depth = [{}], [-1], [0]
@@ -92,9 +102,20 @@ class Vocabulary:
                 self.fail[nxt] = back if back != nxt else 0
                 self.link[nxt] = self.fail[nxt] if self.ends[self.fail[nxt]] >= 0 else self.link[self.fail[nxt]]
                 queue.append(nxt)
-        # What the output links of a state lead to, written out on first use.
+        # Steps that follow failure links, and what the output links of a state lead to, written out on first use.
+        self.step: list[dict[str, int]] = [dict(x) for x in self.goto]
         self.outputs: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.goto)
 
+    def _next(self, state: int, c: str) -> int:
+        """The state after ``c``; characters that no piece has lead to the start and are not written out."""
+        back = state
+        while back and c not in self.goto[back]:
+            back = self.fail[back]
+        back = self.goto[back].get(c, 0)
+        if c in self.goto[0] or back:
+            self.step[state][c] = back
+        return back
+
     def _output(self, state: int) -> tuple[tuple[int, int], ...]:
         """Pieces that end in a state with their lengths, longest first."""
         found, out = [], state if self.ends[state] >= 0 else self.link[state]
@@ -154,29 +175,49 @@ class Vocabulary:
 
     def viterbi(self, word: str) -> tuple[int, ...]:
         """Ids of one word in a single pass."""
+        return self._ids(word, *(self._admissible_path(word) if self.merged else self._best_path(word)))
+
+    def _admissible_path(self, word: str) -> tuple[list[int], list[int]]:
+        """Last piece and its start for every beginning of the word in a model of merged pairs.
+
+        One path at most is admissible, so the first piece that fits has the best score.
+        """
+        last, start = [-1] * (len(word) + 1), [0] * (len(word) + 1)
+        step, outputs, pairs = self.step, self.outputs, self.pairs
+        state, at = 0, 0
+        for c in word:
+            at += 1
+            nxt = step[state].get(c)
+            state = self._next(state, c) if nxt is None else nxt
+            found = outputs[state]
+            for piece, size in self._output(state) if found is None else found:
+                pair = last[at - size] << 32 | piece
+                if pairs[pair] if pair in pairs else self.admissible(last[at - size], piece):
+                    last[at], start[at] = piece, at - size
+                    break
+            else:
+                start[at] = at - 1
+        return last, start
+
+    def _best_path(self, word: str) -> tuple[list[int], list[int]]:
+        """As ``_admissible_path`` for a unigram model: every piece relaxes the score of the place where it ends."""
         low = float("-inf")
         best, last, start = [0.0] + [low] * len(word), [-1] * (len(word) + 1), [0] * (len(word) + 1)
-        goto, fail, outputs, scores, merged, pairs = self.goto, self.fail, self.outputs, self.scores, self.merged, self.pairs
+        step, outputs, scores = self.step, self.outputs, self.scores
         state = 0
         for at, c in enumerate(word, 1):
-            nxt = goto[state].get(c)
-            while nxt is None and state:
-                state = fail[state]
-                nxt = goto[state].get(c)
-            state = nxt or 0
+            nxt = step[state].get(c)
+            state = self._next(state, c) if nxt is None else nxt
             found = outputs[state]
             for piece, size in self._output(state) if found is None else found:
-                begin = at - size
-                if merged:
-                    # One path at most is admissible, so the first piece that fits has the best score.
-                    known = pairs.get(last[begin] << 32 | piece)
-                    if known or known is None and self.admissible(last[begin], piece):
-                        best[at], last[at], start[at] = best[begin] + scores[piece], piece, begin
-                        break
-                elif best[begin] + scores[piece] > best[at]:
-                    best[at], last[at], start[at] = best[begin] + scores[piece], piece, begin
+                if best[at - size] + scores[piece] > best[at]:
+                    best[at], last[at], start[at] = best[at - size] + scores[piece], piece, at - size
             if best[at] == low and c not in self.id_of:
                 best[at], last[at], start[at] = best[at - 1] - 1e6, -1, at - 1
+        return last, start
+
+    def _ids(self, word: str, last: list[int], start: list[int]) -> tuple[int, ...]:
+        """Ids along the path that ends the word; a character without a piece becomes its bytes or the unknown piece."""
         ids: list[int] = []
         at = len(word)
         while at:
@@ -189,20 +230,38 @@ class Vocabulary:
             at = start[at]
         return tuple(reversed(ids))
 
+    def _remember(self, word: str, ids: tuple[int, ...]) -> None:
+        if len(word) <= LONGEST:
+            if len(self.memory) >= MEMORY:
+                self.older, self.memory = self.memory, {}
+            self.memory[word] = ids
+
+    def _segments(self, word: str) -> tuple[int, ...]:
+        """Ids of a word: no piece holds the two characters at the border of two segments, so none is passed over."""
+        inner = self.inner
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inner]
+        if not cuts:
+            return self.viterbi(word)
+        ids: tuple[int, ...] = ()
+        for a, b in zip([0, *cuts], [*cuts, len(word)]):
+            segment = word[a:b]
+            known = self.memory.get(segment) or self.older.get(segment)
+            if known is None:
+                known = self.viterbi(segment)
+                self._remember(segment, known)
+            ids += known
+        return ids
+
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; none for an empty one."""
         if not text:
             return []
-        marked, memory, ids = (" " * self.prefix + text).replace(" ", MARK), self.memory, []
+        marked, ids = (" " * self.prefix + text).replace(" ", MARK), []
         for word in self.words.findall(marked):
-            known = memory.get(word)
+            known = self.memory.get(word)
             if known is None:
-                known = self.older.get(word) or self.viterbi(word)
-                if len(word) <= 40:
-                    if len(memory) >= MEMORY:
-                        self.older, self.memory = memory, {}
-                        memory = self.memory
-                    memory[word] = known
+                known = self.older.get(word) or (self._segments(word) if self.merged else self.viterbi(word))
+                self._remember(word, known)
             ids += known
         return ids
 
@@ -229,49 +288,38 @@ def load(path: str) -> Vocabulary:
     )
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``doc_id, text, ids`` of every row; a NULL text has NULL ids, an empty one none.
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, *, texts: bool = True) -> DataFrame:
+    """``doc_id, ids, n_tokens, decoded, same`` of every row: encoded, decoded and compared in one pass.
 
-    Repeated rows repeat; other columns are ignored; an empty table gives no rows.
+    ``same`` is false only for texts that hold the space mark itself, which decodes to a space;
+    NULL texts have NULL ids, 0 tokens and count as the same, empty ones no ids.  Without
+    ``texts`` there is no ``decoded``.  Repeated rows repeat; other columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    names = ["doc_id", "ids", "same", *["decoded"] * texts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value.encode
-        for batch in batches:
-            for part in slices(batch, 2 << 20):
-                ids = [None if t is None else encoder(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "text", "ids"]
-                )
+        codec = shared.value
+        try:
+            for batch in batches:
+                for part in slices(batch, 2 << 20):
+                    flat, ends, back, same = array("i"), [0], [], []
+                    given = part.column(1).to_pylist()
+                    for text in given:
+                        ids = codec.encode(text or "")
+                        flat.extend(ids)
+                        ends.append(len(flat))
+                        decoded = None if text is None else codec.decode(ids)
+                        same.append(decoded == text)
+                        if texts:
+                            back.append(decoded)
+                    missing = pa.array([t is None for t in given])
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=missing)
+                    columns = [part.column(0), ids, pa.array(same, pa.bool_()), *([pa.array(back, pa.string())] if texts else [])]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            codec.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
-
-
-def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Add ``decoded`` to ``doc_id, text, ids``; NULL ids give NULL."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = shared.value.decode
-        for batch in batches:
-            for part in slices(batch, 2 << 20):
-                texts = [None if x is None else decoder(x) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "text", "ids", "decoded"])
-
-    rows = encoded.select("doc_id", "text", "ids")
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
-
-
-def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``doc_id, ids, n_tokens, decoded, same`` of every row: encoded, decoded and compared.
-
-    ``same`` is false only for texts that hold the space mark itself, which decodes to a space;
-    NULL texts have NULL ids, 0 tokens and count as the same.
-    """
-    both = decode(encode(docs, vocabulary), vocabulary)
-    return both.select(
-        "doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "decoded",
-        F.col("text").eqNullSafe(F.col("decoded")).alias("same"),
-    )
+    out = rows.mapInArrow(run, "doc_id long, ids array<int>, same boolean" + ", decoded string" * texts)
+    return out.withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
