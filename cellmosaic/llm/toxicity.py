@@ -49,7 +49,7 @@ for _c, _i in _CODE.items():
     _TABLE[ord(_c)] = _i
     if len(_c.upper()) == 1:
         _TABLE[ord(_c.upper())] = _i
-_EDGE = re.compile(r"^(?:[^\w$@]|[$@]{2,})+|(?:[^\w$@]|[$@]{2,})+$")
+_SIGN, _MONEY = re.compile(r"[^\w$@]+"), re.compile(r"[$@]{2,}")
 _DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!])(?:[ ._*-]+(?:[^\W_]|[@$!])){2,}(?!\S)")
 _RUNS = re.compile(r"(.)\1*", re.S)
@@ -127,9 +127,27 @@ def restore(token: str, model: np.ndarray, spaced: bool = False) -> str:
     return "".join(reversed(out))
 
 
+def stripped(token: str) -> str:
+    """A token without the signs at its edges, in one scan; a single ``$`` or ``@`` may be a letter and stays."""
+    at, end = 0, len(token)
+    while found := _SIGN.match(token, at) or _MONEY.match(token, at):
+        at = found.end()
+    while end > at:
+        last, start = token[end - 1], end - 1
+        if last in "$@":
+            while start > at and token[start - 1] in "$@":
+                start -= 1
+            if end - start < 2:
+                break
+        elif last.isalnum() or last == "_":
+            break
+        end = start
+    return token[at:end]
+
+
 def restored(token: str, model: np.ndarray) -> str:
     """A token without its decoration; disguised ones are decoded; empty where it has no letter."""
-    core = _EDGE.sub("", token)
+    core = stripped(token)
     if core.isalpha() and not _DRAWN.search(core):
         return core
     if not any(c.isalpha() for c in core):
