@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.runtime import _ensure_checkpoint_dir, cut
 
-__all__ = ["cut", "written", "table", "crc_fold", "packed", "without_ids", "batches_of", "SPACE", "slices"]
+__all__ = ["cut", "written", "erase", "table", "crc_fold", "packed", "without_ids", "batches_of", "SPACE", "slices"]
 
 # Fixed value of the word contracts: ASCII white space, as a character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -54,6 +54,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def erase(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and that nothing reads any more; what is not there is left alone."""
+    files = df.inputFiles()
+    if files:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def packed(docs: DataFrame, *more: Column) -> DataFrame:
     """Whole rows in one column ``_all`` with ``_id``, so that no name of a column can clash; unpack with ``_all.*``."""
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("_all")

@@ -258,3 +258,53 @@ def test_merkle_manifest_with_clashing_columns(spark):
     rows = [(i, "s", "en", 1, f"T{i}", 1, "x", 2, "y", 3) for i in range(10)]
     frame = spark.createDataFrame(rows, FULL + ", key long, leaf string, pos long, h string, rank long")
     assert sorted_rows(merkle_manifest.manifest(frame).select(*COLUMNS).collect()) == sorted_rows(manifest([r[:5] for r in rows]))
+
+
+# Near-dedup stage and edges of disguised words ---------------------------------------------------
+
+
+def test_one_of_each_group_by_jaccard(spark):
+    """The stage against all pairs of five-word shingle sets at 0.8."""
+    from cellmosaic.llm import shingle_dedup
+
+    rnd, rows = random.Random(9), []
+    for i in range(40):
+        words = prose(rnd, rnd.choice([1, 3, 8, 30, 60, 200])).split()
+        rows.append((2 * i, " ".join(words), "en", "s"))
+        if i % 2:
+            words = list(words)
+            for _ in range(rnd.randint(0, 4)):
+                words[rnd.randrange(len(words))] = rnd.choice(["x", "y", "z"])
+            rows.append((2 * i + 1, " ".join(words), "en", "s"))
+    passage = prose(rnd, 60)
+    rows += [(200 + i, prose(rnd, 100) + " " + passage, "en", "s") for i in range(6)] + [(300, None, "en", "s"), (301, "", "en", "s"), (302, rows[0][1], "en", "s")]
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, root = {i: grams(t) for i, t, *_ in rows}, {i: i for i, *_ in rows}
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id for r in shingle_dedup.keep_one(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got == {i for i in root if find(i) == i} and len(got) < len(rows)
+
+
+def test_signs_at_word_edges_are_stripped_in_one_scan():
+    import time
+
+    from cellmosaic.llm import toxicity
+
+    started = time.time()
+    for n in (50, 10_000):
+        assert toxicity.stripped("x" + "$" * n + "a") == "x" + "$" * n + "a"
+        assert toxicity.stripped("x" + "$" * n) == "x" and toxicity.stripped("$" * n + "!") == ""
+    assert time.time() - started < 5
+    assert [toxicity.stripped(w) for w in ("(word)!", "a$!", "$a", "_x_", "$$a@@", "a!!$")] == ["word", "a$", "$a", "_x_", "a", "a!!$"]
