@@ -25,7 +25,6 @@ from .license_rules import REACH, WEIGHTS, Rule
 # Fixed value of the contract: what stands between words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OPEN, CLOSE = "\x01", "\x02"
-FOUND = "doc_id, n_words, detections"
 
 
 def _spaces(text: Column) -> Column:

@@ -25,7 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.ranking import ranked
-from .common import table, written
+from .common import written
 
 FANOUT = 8
 DEPTH = 3
@@ -33,7 +33,7 @@ WIDTH = FANOUT**DEPTH
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 STEP = "struct<left:string,right:string,hashed:boolean>"
 
-__all__ = ["FANOUT", "DEPTH", "manifest", "leaves", "table"]
+__all__ = ["FANOUT", "DEPTH", "manifest", "leaves"]
 
 
 def _encoded(value: Column) -> Column:
