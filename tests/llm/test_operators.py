@@ -469,6 +469,32 @@ def test_fragments_that_touch_are_no_repeat(spark):
     assert {i for i, _, c in found if c and i < 300} and [i for i, _, c in found if not c and i < 300 and i % 3 == 0]
 
 
+def test_sorted_right_sides_fall_into_intervals(spark):
+    rnd = random.Random(13)
+    # Few words, so that most rows agree with others; one core holds most rows; equal cores with other proofs stay apart.
+    rows = {(rnd.choice([5, 5, 5, 6]), rnd.choice([7, 7, 8]), tuple(rnd.choice([-3, 1, 2]) for _ in range(6))) for _ in range(900)}
+    rows |= {(c, p, w[:k] + (0,) * (6 - k)) for c, p, w in list(rows)[:60] for k in (2, 4)}
+    rows = sorted(rows)
+    rights = spark.createDataFrame([(c, p, i, list(w)) for i, (c, p, w) in enumerate(rows)], "core long, proof long, side long, after array<long>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.side: r for r in suffix_dedup.intervals(rights.repartition(8), 6).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows)
+    heads = lambda w, d: (*w[:2], w[2][:d]) if 0 not in w[2][:d] else (*w[:2], w[2])
+    for d in range(7):
+        by_id, by_words = {}, {}
+        for i, w in enumerate(rows):
+            by_id.setdefault(got[i].ids[d], []).append(i)
+            by_words.setdefault(heads(w, d), []).append(i)
+        assert sorted(by_id.values()) == sorted(by_words.values())
+    for i, w in enumerate(rows):
+        most = max(d for d in range(-1, 7) if d < 0 or any(j != i and heads(x, d) == heads(w, d) and 0 not in w[2][:d] for j, x in enumerate(rows) if x[:2] == w[:2]))
+        assert got[i].reach == most
+    assert suffix_dedup.intervals(rights.limit(0), 6).count() == 0
+
+
 def test_no_core_is_sorted_in_one_task(docs):
     plan = suffix_dedup.repeated_spans(docs)._jdf.queryExecution().toString()
     assert "Window" not in plan
