@@ -5,7 +5,7 @@ from __future__ import annotations
 from .license_rules import REACH, WEIGHTS, rules
 
 QUALITY_RULES = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '*') AS ref, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS ref, coalesce(text, '') AS text FROM documents),
 a1 AS (SELECT *, regexp_replace(text, '[a-z]+', '', 'g') AS s1 FROM d),
 a2 AS (SELECT *, regexp_replace(s1, '[\x20\x09-\x0D]+', '', 'g') AS s2 FROM a1),
 a3 AS (SELECT *, regexp_replace(s2, '[A-Z]+', '', 'g') AS s3 FROM a2),
@@ -31,14 +31,14 @@ grams AS (
 ),
 twice AS (SELECT rid, p FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS k FROM grams WHERE g IS NOT NULL) WHERE k > 1),
 covered AS (SELECT rid, count(DISTINCT p + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY rid),
-both_refs AS (SELECT rid, ref FROM d WHERE ref <> '*' UNION ALL SELECT rid, '*' FROM d),
+both_refs AS (SELECT rid, ref FROM d WHERE ref <> '' UNION ALL SELECT rid, '' FROM d),
 class_sums AS (
   SELECT b.ref, k, sum(cs[k]) AS s FROM both_refs b JOIN c USING (rid), (SELECT unnest(range(1, 8)) AS k) GROUP BY b.ref, k
 ),
 class_refs AS (SELECT ref, k, s / greatest(sum(s) OVER (PARTITION BY ref), 1) AS q FROM class_sums),
 word_sums AS (SELECT b.ref, sum(n) AS n FROM both_refs b JOIN nw USING (rid) GROUP BY b.ref),
 counted AS (
-  SELECT b.ref, lower(word) AS word, count(*) AS k FROM both_refs b JOIN w USING (rid) WHERE length(word) <= 32 GROUP BY 1, 2
+  SELECT b.ref, lower(word) AS word, count(*) AS k FROM both_refs b JOIN w USING (rid) GROUP BY 1, 2
 ),
 top AS (
   SELECT ref, word, r, k / n AS q

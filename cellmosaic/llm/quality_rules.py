@@ -13,13 +13,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, cut, written
 
 MIN_WORDS = 50
 COMMON_WORDS = 20
-#: Languages that get a reference of their own; documents of rarer ones are compared with the pooled reference.
-MAX_LANGUAGES = 512
-POOLED = "*"
+POOLED = ""
+
+
+def _ref(lang: Column) -> Column:
+    """Name of a language's reference; no language can have the name of the pooled one."""
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(POOLED))
 
 
 @dataclass(frozen=True)
@@ -98,28 +101,24 @@ def with_repeated_words(rows: DataFrame, width: int = 3) -> DataFrame:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """Language references: ``ref, classes, common, shares``, at most ``MAX_LANGUAGES`` and the pooled one.
+    """Language references: ``ref, classes, common, shares``, one for every language and the pooled one.
 
     ``classes`` are shares of the character classes; ``common`` are the most frequent words
     (lower case, ties in word order) and ``shares`` their shares of all words, the rest last.
     """
-    rows = counted(docs).select(F.coalesce("lang", F.lit(POOLED)).alias("ref"), "c", "n_words")
+    rows = counted(docs).select(_ref(F.col("lang")).alias("ref"), "c", "n_words")
     n = len(CLASSES) + 1
     totals = [F.sum(c).alias(c) for c in ("n", *[f"c{i}" for i in range(n)])]
     own = cut(rows.groupBy("ref").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n"), *[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(n)]
+        F.sum("n_words").alias("n"), *[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(n)]
     ))
-    kept = [
-        r.ref for r in own.where(F.col("ref") != POOLED)
-        .orderBy(F.desc("n_docs"), "ref").limit(MAX_LANGUAGES).select("ref").collect()
-    ]
-    # Each count goes to its language, if that is kept, and to the pooled reference.
-    both = F.array_distinct(F.array(F.when(F.col("ref").isin(kept), F.col("ref")).otherwise(F.lit(POOLED)), F.lit(POOLED)))
+    # Each count goes to its language and to the pooled reference.
+    both = F.array_distinct(F.array(F.col("ref"), F.lit(POOLED)))
     sums = own.withColumn("ref", F.explode(both)).groupBy("ref").agg(*totals)
-    lower = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(POOLED)).alias("ref"), F.lower(F.col("text").cast("string")).alias("text"))
+    lower = docs.select(_ref(F.col("lang")).alias("ref"), F.lower(F.col("text").cast("string")).alias("text"))
     words = (
         lower.select("ref", F.explode(F.split("text", f"[{SPACE}]+", -1)).alias("word")).where("word <> ''")
-        .groupBy("ref", "word").agg(F.count(F.lit(1)).alias("k")).where("length(word) <= 32")
+        .groupBy("ref", "word").agg(F.count(F.lit(1)).alias("k"))
         .withColumn("ref", F.explode(both)).groupBy("ref", "word").agg(F.sum("k").alias("k"))
     )
     rank = F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("k"), "word"))
@@ -150,20 +149,20 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Base counts, distances and verdict of every row.
 
     ``class_distance`` and ``word_distance`` are NULL where the text is under the minimum
-    length; such texts are kept unless the base rules fail.  Documents without a language, or
-    of a language without a reference, are compared with the pooled reference.  Repeated rows
+    length; such texts are kept unless the base rules fail.  Documents without a language
+    are compared with the pooled reference.  Repeated rows
     are judged alike; an empty table gives no rows; other columns are ignored.
     """
-    refs = cut(references(docs))
-    known = [r.ref for r in refs.where(F.col("ref") != POOLED).select("ref").collect()]
+    # A table, so that Spark knows its size and broadcasts it only if that is small; else rows are shuffled by language,
+    # and the join splits a language with a large part of them.
+    refs = written(references(docs), "references")
     rows = with_repeated_words(counted(docs)).select(
         "doc_id", "n_chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "c",
-        F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(POOLED)).alias("ref"),
+        _ref(F.col("lang")).alias("ref"),
         # every word between two spaces of its own, so that neighbours are found independently
         F.concat(F.lit(" "), F.array_join(F.transform("words", F.lower), "  "), F.lit(" ")).alias("spaced"),
     )
-    # The references have a proven bound: MAX_LANGUAGES + 1 rows of COMMON_WORDS words of 32 characters.
-    compared = rows.join(F.broadcast(refs), "ref")
+    compared = rows.join(refs, "ref")
     found = lambda w: (
         (F.octet_length("spaced") - F.octet_length(F.replace(F.col("spaced"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit(""))))
         / (F.octet_length(w) + 2) / F.col("n_words")

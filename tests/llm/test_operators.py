@@ -87,6 +87,22 @@ def test_quality_rules_reject_foreign_shapes_and_spare_short_ones(spark, odd, em
     assert quality_rules.judge(odd).count() == 14 and quality_rules.judge(empty).count() == 0
 
 
+def test_quality_rules_know_every_language_and_long_words(spark, tmp_path):
+    import duckdb
+
+    from cellmosaic.llm.oracles import QUALITY_RULES
+
+    rnd = random.Random(31)
+    rows = [(i, prose(rnd, 65) + f" {'q' * 50}{i % 600} " * 9, f"l{i % 600}", "s") for i in range(1200)]
+    rows += [(2000, prose(rnd, 90), "*", "s"), (2001, prose(rnd, 90), None, "s"), (2002, prose(rnd, 90), "", "s")]
+    frame = spark.createDataFrame(rows, DOCS)
+    assert quality_rules.references(frame).count() == 603
+    frame.write.parquet(f"{tmp_path}/documents")
+    want = duckdb.sql(QUALITY_RULES.replace("FROM documents", f"FROM '{tmp_path}/documents/*.parquet'"))
+    got = quality_rules.judge(frame).select(want.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 # 2 -------------------------------------------------------------------------------------------
 
 
@@ -364,6 +380,20 @@ def test_language_evidence_is_fused(spark, empty):
     assert [r.lang for r in nothing] == [None, None] and all(r.kept for r in nothing)
 
 
+def test_any_number_of_languages_and_whole_domains(spark):
+    rnd = random.Random(32)
+    words = [["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for _ in range(300)]
+    rows = [(i, " ".join(rnd.choice(words[i % 300]) for _ in range(40)), f"l{i % 300:03}", f"s{i % 300}") for i in range(3000)]
+    urls = ["http://a.x.co.uk/1", "http://b.y.co.uk/", "http://www.z.de/", "http://1.2.3.4/x", "http://z.com/"]
+    pages = spark.createDataFrame([(i, u, f"<html data-lang=xx lang=l><p>{rows[i][1]}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert [(r.domain, r.suffix) for r in language_id._page_rows(pages).orderBy("id").collect()] == [
+        ("x.co.uk", "uk"), ("y.co.uk", "uk"), ("z.de", "de"), ("1.2.3.4", ""), ("z.com", "com")
+    ]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, DOCS), pages).collect() if r.kind == "document"}
+    assert all(got[i].lang == rows[i][2] for i in got) and len(got) == 3000
+    assert language_id.declared_language('<html data-lang="xx" lang="de">') == "de" and language_id.declared_language('<html data-lang="xx">') is None
+
+
 # 9 -------------------------------------------------------------------------------------------
 
 
