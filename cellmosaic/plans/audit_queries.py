@@ -75,11 +75,21 @@ def _(spark, d):
     return out.select("id_a", "id_b", r6("similarity"))
 
 
-@query("similarity_profile", _UNIT + """
-SELECT COUNT(*) AS n_pairs, round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.99), 6) AS p99, round(max(s), 6) AS max FROM p""")
-def _(spark, d):
-    out = audit.similarity_profile(table(spark, d, "embeddings"), id_column="vec_id")
-    return out.select("n_pairs", r6("median"), r6("p99"), r6("max"))
+@query("similarity_profile", _UNIT + """,
+ring AS (SELECT vec_id, row_number() OVER (ORDER BY md5(concat(vec_id, ':0')), vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings),
+met AS (
+  SELECT least(a.vec_id, b.vec_id) AS id_a, greatest(a.vec_id, b.vec_id) AS id_b
+  FROM ring a, (SELECT unnest(range(1, 65)) AS k) o JOIN ring b ON b.i = (a.i + k) % b.n WHERE k <= (a.n - 1) // 2
+),
+h AS (SELECT CAST(floor((s + 1.0) * 1000) AS BIGINT) AS bin, count(*) AS n FROM met JOIN p USING (id_a, id_b) GROUP BY 1),
+upto AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS k FROM h)
+SELECT (SELECT count(*) FROM p) AS n_pairs, CAST(max(k) AS BIGINT) AS n_sampled,
+  round((min(bin) FILTER (WHERE upto >= 0.5 * k) + 0.5) / 1000 - 1, 6) AS median,
+  round((min(bin) FILTER (WHERE upto >= 0.99 * k) + 0.5) / 1000 - 1, 6) AS p99, (SELECT round(max(s), 6) FROM p) AS max
+FROM upto""")
+def _(spark, d):
+    out = audit.similarity_sketch(table(spark, d, "embeddings"), id_column="vec_id")
+    return out.select("n_pairs", "n_sampled", r6("median"), r6("p99"), r6("max"))
 
 
 @query("cross_entity_links", _UNIT + "SELECT DISTINCT la AS a, lb AS b FROM p WHERE s >= 0.35 AND la <> lb")

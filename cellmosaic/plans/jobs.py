@@ -35,7 +35,7 @@ def apply_job(
     force: bool = False, min_cells: int = MIN_CELLS, class_names: Mapping[int, str] | None = None,
     variance: DataFrame | None = None,
 ) -> Applied:
-    """Score a held-out split once with a fitted selector; the ledger notes it when the scores exist."""
+    """Score a held-out split once with a fitted selector; the ledger notes it when all results exist."""
     spark = pred.sparkSession
     if not force:
         refuse_second(spark, ledger, run, split, model)
@@ -49,15 +49,16 @@ def apply_job(
     before, after = (
         scores.where(F.col("variant") == v).drop("variant") for v in ("none", "selector")
     )
-    record_application(spark, ledger, run, split, model, force=force)
-    return Applied(
+    applied = Applied(
         decided,
         scores,
-        summarise(scores, ["variant", "target"]),
-        detection_summary(regions, refs, p_star, n_cases, floor=min_cells),
-        distance_tradeoff(refs, decided, before, after),
-        detection_curve(regions, refs, with_regions, [n / 100 for n in range(101)], floor=min_cells),
+        cut(summarise(scores, ["variant", "target"])),
+        cut(detection_summary(regions, refs, p_star, n_cases, floor=min_cells)),
+        cut(distance_tradeoff(refs, decided, before, after)),
+        cut(detection_curve(regions, refs, with_regions, [n / 100 for n in range(101)], floor=min_cells)),
     )
+    record_application(spark, ledger, run, split, model, force=force)
+    return applied
 
 
 def attribute_errors(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.exprs import finite
 from ..functions.schema import HISTORY
-from ..operators.modelling import Model
+from ..operators.modelling import Model, Renamer, Selector
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, *, clean: bool = True) -> DataFrame:
@@ -78,6 +78,47 @@ def load_model(spark: SparkSession, path: str) -> Model:
     return Model(**json.loads(spark.read.text(path).first().value))
 
 
+def save_selector(spark: SparkSession, selector: Selector, path: str, *, mode: str = "overwrite") -> None:
+    """Store a fitted selector: model and threshold as JSON, its tables as Parquet, one folder each."""
+    for name in ("stakes", "calibration", "validation"):
+        getattr(selector, name).write.mode(mode).parquet(f"{path}/{name}")
+    _save_json(spark, {"model": selector.model.as_dict(), "p_star": selector.p_star}, f"{path}/model", mode)
+
+
+def load_selector(spark: SparkSession, path: str) -> Selector:
+    plain = _load_json(spark, f"{path}/model")
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("stakes", "calibration", "validation")}
+    return Selector(Model(**plain["model"]), plain["p_star"], **tables)
+
+
+def save_renamer(spark: SparkSession, renamer: Renamer, path: str, *, mode: str = "overwrite") -> None:
+    """Store a fitted renamer with the model of every fold, the folds and the runner-up levels."""
+    for name in ("folds", "diagnostics"):
+        getattr(renamer, name).write.mode(mode).parquet(f"{path}/{name}")
+    plain = {
+        "model": renamer.model.as_dict(), "runner_ups": renamer.runner_ups,
+        "fold_models": {str(fold): model.as_dict() for fold, model in renamer.fold_models.items()},
+    }
+    _save_json(spark, plain, f"{path}/model", mode)
+
+
+def load_renamer(spark: SparkSession, path: str) -> Renamer:
+    plain = _load_json(spark, f"{path}/model")
+    return Renamer(
+        Model(**plain["model"]), spark.read.parquet(f"{path}/folds"),
+        {int(fold): Model(**model) for fold, model in plain["fold_models"].items()},
+        plain["runner_ups"], spark.read.parquet(f"{path}/diagnostics"),
+    )
+
+
+def _save_json(spark: SparkSession, plain: dict, path: str, mode: str) -> None:
+    spark.createDataFrame([(json.dumps(plain, sort_keys=True),)], "value string").write.mode(mode).text(path)
+
+
+def _load_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first().value)
+
+
 def guarded_write(
     df: DataFrame, path: str, *, limit: int = 0, mode: str = "overwrite", partition_by: Sequence[str] = ()
 ) -> bool:

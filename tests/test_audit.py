@@ -51,6 +51,26 @@ def test_similarity_profile_is_exact_over_blocks(spark):
     assert got["median"] == pytest.approx(np.median(values)) and got.p99 == pytest.approx(np.percentile(values, 99))
 
 
+@pytest.mark.parametrize("n, block", [(2, 8), (3, 8), (60, 13), (61, 1000), (300, 50)])
+def test_similarity_sketch_is_linear_and_near_the_percentiles(spark, n, block):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(n, 10))
+    values = np.array(list(brute(x, -2).values()))
+    got = audit.similarity_sketch(vectors(spark, x), block=block, offsets=32).first()
+    reach = min(32, (n - 1) // 2) if n > 2 else 1
+    assert got.n_pairs == values.size and got.n_sampled == (n * reach if n > 2 else 1)
+    assert got["max"] == pytest.approx(values.max())
+    if got.n_sampled == values.size:
+        for q, v in ((0.5, got["median"]), (0.99, got.p99)):
+            assert abs(np.percentile(values, 100 * q, method="inverted_cdf") - v) <= 1 / 2000 + 1e-9
+    else:
+        assert np.mean(values <= got["median"]) == pytest.approx(0.5, abs=0.02) and np.mean(values <= got.p99) == pytest.approx(0.99, abs=0.01)
+
+
+def test_similarity_sketch_of_too_few(spark):
+    assert tuple(audit.similarity_sketch(vectors(spark, np.ones((1, 4)))).first()) == (0, 0, None, None, None)
+
+
 def test_closest_cross_entity_ignores_the_threshold(spark):
     rng = np.random.default_rng(14)
     x = rng.normal(size=(30, 6))

@@ -6,6 +6,7 @@ from cellmosaic.operators.groups import split_cases
 from cellmosaic.operators.modelling import Model, available, fit_job
 from cellmosaic.operators.regions import image_feature_names
 from cellmosaic.plans.jobs import apply_job
+from cellmosaic.sources import tables
 from cellmosaic.sources.ledger import AlreadyAppliedError
 from tests.conftest import box, cell_table
 
@@ -52,7 +53,7 @@ def test_apply_job_scores_once_and_removes_the_invented_region(spark, scene, tmp
     assert run(force=True).decisions.count() == 3
 
 
-def test_fit_job_derives_the_threshold(spark):
+def test_fit_job_derives_the_threshold(spark, tmp_path):
     import numpy as np
 
     rng = np.random.default_rng(6)
@@ -77,6 +78,11 @@ def test_fit_job_derives_the_threshold(spark):
     stages = {r.stage: r for r in out.validation.collect()}
     assert set(stages) == {"before", "in_sample", "out_of_fold"}
     assert stages["before"].sensitivity == 1.0 and stages["out_of_fold"].n_fp < stages["before"].n_fp
+    tables.save_selector(spark, out, f"{tmp_path}/selector")
+    again = tables.load_selector(spark, f"{tmp_path}/selector")
+    assert (again.model, again.p_star) == (out.model, out.p_star)
+    for name in ("stakes", "calibration", "validation"):
+        assert sorted(map(repr, getattr(again, name).collect())) == sorted(map(repr, getattr(out, name).collect()))
 
 
 def test_small_helpers(spark):

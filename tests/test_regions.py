@@ -7,6 +7,7 @@ from cellmosaic.operators.geometry import make_grid
 from cellmosaic.operators.labelling import label_regions
 from cellmosaic.operators.modelling import fit_renamer, rename_decisions
 from cellmosaic.operators.ranking import exact_percentiles, ranked, running_max_before
+from cellmosaic.sources import tables
 from tests.conftest import box, mask
 
 NAMES = {1: "NETC", 2: "SNFH"}
@@ -87,7 +88,7 @@ def test_region_percentile_is_exact(spark):
     assert row.p90_prob == pytest.approx(np.percentile(want, 90))
 
 
-def test_renamer_learns_a_clear_signal(spark):
+def test_renamer_learns_a_clear_signal(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = []
     for n in range(400):
@@ -107,3 +108,8 @@ def test_renamer_learns_a_clear_signal(spark):
     assert renamer.folds.groupBy("entity_id").count().where("count > 1").isEmpty()
     routed = rename_decisions(table, renamer, out_of_fold=True)
     assert routed.count() == d.renames
+    tables.save_renamer(spark, renamer, f"{tmp_path}/renamer")
+    again = tables.load_renamer(spark, f"{tmp_path}/renamer")
+    assert (again.model, again.fold_models, again.runner_ups) == (renamer.model, renamer.fold_models, renamer.runner_ups)
+    replayed = rename_decisions(table, again, out_of_fold=True)
+    assert sorted(map(tuple, replayed.collect())) == sorted(map(tuple, routed.collect())) and again.diagnostics.first() == d
