@@ -27,6 +27,38 @@ def test_near_duplicates_are_exact(spark, threshold, pivots, block):
     assert all(r.similarity == pytest.approx(want[(r.id_a, r.id_b)]) for r in got)
 
 
+@pytest.mark.parametrize("threshold, block", [(0.99, 16), (0.9, 5), (0.99, 1000)])
+def test_hashed_near_duplicates_find_what_the_exact_ones_find(spark, threshold, block):
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(60, 24))
+    x = np.vstack([base, base[:30] + rng.normal(scale=0.05, size=(30, 24)), base[:20] + rng.normal(scale=0.3, size=(20, 24)),
+                   np.repeat(base[:1], 15, axis=0)])
+    table = vectors(spark, x)
+    found = audit.near_duplicates(table, threshold=threshold, block=block, method="lsh")
+    exact = audit.near_duplicates(table, threshold=threshold, block=block)
+    key = lambda r: (r.id_a, r.id_b, round(r.similarity, 9))
+    assert sorted(map(key, found.collect())) == sorted(map(key, exact.collect()))
+    got = audit.lsh_recall(found, exact).first()
+    assert got.n_exact == got.n_found > 15 and got.recall == 1.0
+    full = audit.near_duplicates(table, threshold=threshold, block=block, method="lsh", expand=True)
+    assert {(r.id_a, r.id_b) for r in full.collect()} == set(brute(x, threshold))
+
+
+def test_hash_plan_follows_the_number_of_vectors(spark):
+    plans = [audit.lsh_plan(n, 0.99, 1e-6) for n in (10, 10**4, 10**7, 10**10)]
+    assert [bits for bits, _ in plans] == [4, 8, 18, 28]
+    for bits, bands in plans:
+        agree = (1 - np.arccos(0.99) / np.pi) ** bits
+        assert (1 - agree) ** bands <= 1e-6 and bands < 60
+    assert audit.lsh_plan(1000, 1.0, 1e-6) == (4, 1)
+    with pytest.raises(ValueError, match="exact"):
+        audit.lsh_plan(10**10, 0.3, 1e-6)
+    with pytest.raises(ValueError, match="method"):
+        audit.near_duplicates(vectors(spark, np.eye(3)), method="other")
+    none = audit.near_duplicates(vectors(spark, np.eye(3)).limit(0), method="lsh")
+    assert none.count() == 0 and audit.lsh_recall(none, none).first().recall == 1.0
+
+
 def test_copies_hang_on_their_representative_and_expand(spark):
     rng = np.random.default_rng(12)
     base = rng.normal(size=(6, 8))
