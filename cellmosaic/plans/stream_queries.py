@@ -64,8 +64,8 @@ SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS cell, COUNT(DISTINCT use
 def _(spark, d):
     out, state = _places(spark)
     cells = _stream(spark, d).withColumn("cell", F.floor(F.col("value") / 10))
-    jobs.run_to_latest(jobs.running_occupancy(cells, ["event_type", "cell"], "user_id", delay="60 days"), out, state)
-    return spark.read.parquet(out).select("event_type", "cell", "n_cases")
+    jobs.run_to_changes(jobs.running_occupancy(cells, ["event_type", "cell"], "user_id", delay="60 days"), out, state)
+    return jobs.latest_rows(spark, out, ["event_type", "cell"]).select("event_type", "cell", "n_cases")
 
 
 @query("streaming_bursts", """

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.history import best_so_far
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, *, pattern: str = "*.parquet",
@@ -16,16 +22,6 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, *, pattern
     )
 
 
-def _earlier(spark: SparkSession, target: str, batch_id: int) -> DataFrame | None:
-    """Rows written by earlier batches; a replayed batch does not see its own output."""
-    try:
-        return spark.read.parquet(target).where(F.col("_batch") < batch_id)
-    except Exception as error:  # the table is created by the first batch
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        return None
-
-
 def _write_batch(rows: DataFrame, target: str, batch_id: int) -> None:
     """Write one batch as its own partition, replacing what an earlier attempt left."""
     (
@@ -34,17 +30,34 @@ def _write_batch(rows: DataFrame, target: str, batch_id: int) -> None:
     )
 
 
-def intake(stream: DataFrame, key: str, target: str, checkpoint: str):
-    """Append each key once to a Parquet table; a repeated batch or key adds nothing."""
+def keyed_state(spark: SparkSession) -> None:
+    """Keep stream state in RocksDB and log only its changes, so that a trigger reads and writes what its rows touch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def _first_per_batch(key: str):
+    """The first row of every key in each Arrow batch: what a busy key sends on is cut before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.table({"k": batch.column(key), "row": pa.array(range(batch.num_rows), pa.int64())})
+            yield batch.take(keys.group_by("k").aggregate([("row", "min")])["row_min"].combine_chunks())
+
+    return run
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        known = _earlier(batch.sparkSession, target, batch_id)
-        if known is not None:
-            fresh = fresh.join(known.select(key).distinct(), key, "left_anti")
-        _write_batch(fresh, target, batch_id)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+def intake(stream: DataFrame, key: str, target: str, checkpoint: str):
+    """Append each key once to a Parquet table; a repeated batch or key adds nothing, NULL counts as one key.
+
+    The keys seen are state of the stream, so a trigger looks up its own keys and never reads the
+    table.  Which of several rows of a new key stays is open.
+    """
+    keyed_state(stream.sparkSession)
+    fewer = stream.mapInArrow(_first_per_batch(key), stream.schema)
+    return fewer.dropDuplicates([key]).writeStream.format("parquet").option("path", target).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True)
 
 
 def suppress_duplicates(stream: DataFrame, key: str, *, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -65,27 +78,73 @@ def windowed_rates(stream: DataFrame, *, label: str, by: str, ts: str = "ts", de
     )
 
 
+def _beats_earlier(order: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Places of one run's rows that beat all rows of earlier orders; rows of one order do not beat each other."""
+    at = np.argsort(order, kind="stable")
+    sorted_order, top = order[at], np.maximum.accumulate(value[at])
+    start = np.searchsorted(sorted_order, sorted_order, side="left")
+    return np.sort(at[(start == 0) | (value[at] > top[start - 1])])
+
+
+def _thinned(rows: pd.DataFrame, run: str, order: str, value: str) -> pd.DataFrame:
+    """Rows that beat all rows of earlier orders of their run; the others cannot, whatever else their run holds."""
+    steps = rows.groupby([run, order], dropna=False, sort=True)[value].max().reset_index()
+    upto = steps.groupby(run, dropna=False)[value].cummax()
+    steps["_before"] = upto.groupby([steps[run]], dropna=False).shift()
+    before = rows[[run, order]].merge(steps[[run, order, "_before"]], on=[run, order], how="left")["_before"].to_numpy()
+    return rows[np.isnan(before) | (rows[value].to_numpy() > before)]
+
+
+class _Best(StatefulProcessor):
+    """Keeps the best value of a run between batches."""
+
+    def __init__(self, order: str, value: str):
+        self.names = (order, value)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", "value double")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        order, value = self.names
+        known = self.best.get()[0] if self.best.exists() else None
+        kept = None
+        for part in rows:
+            fresh = part if known is None else part[part[value] > known]
+            if len(fresh):
+                kept = fresh if kept is None else pd.concat([kept, fresh])
+                kept = kept.iloc[_beats_earlier(kept[order].to_numpy(), kept[value].to_numpy())]
+        if kept is not None:
+            self.best.update((float(kept[value].max()),))
+            yield kept
+
+    def close(self) -> None:
+        pass
+
+
 def streaming_best(stream: DataFrame, target: str, checkpoint: str, *, run: str = "run", order: str = "epoch",
                    value: str = "val_mean"):
     """Append the rows that beat every earlier row of their run; batches arrive in ``order``.
 
-    The table of improvements is itself the state: a batch is compared with the best of the
-    earlier batches, so a busy run is not gathered into one state row or task.
+    The state is one number a run.  Before the shuffle each Arrow batch is cut to the rows that
+    beat the earlier ones in it, so of a busy run only candidates travel; its task holds no more
+    than the improvements of one trigger, which are its result.  Rows without an order or a value
+    never improve; of several rows of one order each that beats all earlier orders is kept.
     """
+    keyed_state(stream.sparkSession)
+    rows = stream.select(run, order, F.col(value).cast("double").alias(value)).where(
+        F.col(order).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value)
+    )
 
-    def improve(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        flagged = best_so_far(batch.select(run, order, value), run=run, order=[F.col(order)], value=value)
-        fresh = flagged.where("is_best").select(run, order, value)
-        known = _earlier(spark, target, batch_id)
-        if known is not None:
-            best = known.groupBy(run).agg(F.max(value).alias("_best"))
-            fresh = fresh.join(best, run, "left").where(
-                F.col("_best").isNull() | (F.col(value) > F.col("_best"))
-            ).drop("_best")
-        _write_batch(fresh, target, batch_id)
+    def thin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield _thinned(part, run, order, value)
 
-    return stream.writeStream.foreachBatch(improve).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    best = rows.mapInPandas(thin, rows.schema).groupBy(run).transformWithStateInPandas(
+        _Best(order, value), rows.schema, outputMode="Append", timeMode="None"
+    )
+    return best.writeStream.outputMode("append").format("parquet").option("path", target).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True)
 
 
 def running_occupancy(stream: DataFrame, cell: list[str], case: str, *, ts: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -113,14 +172,33 @@ def run_to_table(stream: DataFrame, target: str, checkpoint: str, *, mode: str =
     query.awaitTermination()
 
 
-def run_to_latest(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Run a complete-mode aggregate and keep its last full state as a Parquet table."""
-
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+def run_to_changes(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Run an aggregate in update mode and append the rows that each trigger changed, as a partition of their own.
 
+    What a trigger writes follows its batch, not the state; :func:`latest_rows` reads the current state.
+    """
+    keyed_state(stream.sparkSession)
     query = (
-        stream.writeStream.outputMode("complete").foreachBatch(replace)
+        stream.writeStream.outputMode("update").foreachBatch(lambda batch, n: _write_batch(batch, target, n))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def latest_rows(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The last written row of every key of a table of changes."""
+    changes = spark.read.parquet(target)
+    rest = [c for c in changes.columns if c not in (*keys, "_batch")]
+    last = F.max_by(F.struct(*rest), "_batch").alias("_last")
+    return changes.groupBy(*keys).agg(last).select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
+
+
+def fold_changes(spark: SparkSession, target: str, keys: list[str], folded: str) -> None:
+    """Write the last row of every key, with its batch number, as a table of changes of its own.
+
+    A stream may go on appending to ``folded``: later batches have higher numbers.
+    """
+    changes = spark.read.parquet(target)
+    rest = [c for c in changes.columns if c not in keys]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last"))
+    last.select(*keys, *[F.col("_last")[c].alias(c) for c in rest]).repartition("_batch").write.mode("overwrite").partitionBy("_batch").parquet(folded)

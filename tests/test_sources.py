@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -130,6 +131,56 @@ def test_intake_and_best_so_far_continue_over_restarts(spark, tmp_path):
     assert got == [("a", 1), ("a", 2), ("a", 4), ("b", 1), ("c", 1)]
 
 
+def test_one_file_a_trigger_gives_what_a_batch_gives(spark, tmp_path):
+    """Best so far and intake over many triggers, ended and taken up again in between."""
+    rng = np.random.default_rng(5)
+    source, best, kept = (str(tmp_path / n) for n in ("in", "best", "kept"))
+    rows = [(None if n % 9 == 8 else "abc"[n % 3], epoch, None if n % 11 == 10 else float(rng.integers(12)) / 10 + epoch / 40, at(epoch))
+            for epoch in range(24) for n in range(5)]
+    rows.append(("a", None, 9.0, at(30)))
+    for part in (0, 1):
+        for epoch in range(12 * part, 12 * part + 12, 3):
+            drop_file(spark, source, [r for r in rows if r[1] is not None and epoch <= r[1] < epoch + 3] or rows[-1:])
+        if part:
+            drop_file(spark, source, rows[-1:])
+        for name, start in (("best", jobs.streaming_best), ("kept", jobs.intake)):
+            stream = jobs.file_stream(spark, source, SCHEMA, files_per_trigger=1)
+            if name == "best":
+                start(stream, best, str(tmp_path / "s1")).start().awaitTermination()
+            else:
+                start(stream.select("epoch"), "epoch", kept, str(tmp_path / "s2")).start().awaitTermination()
+    want, top = set(), {}
+    for epoch in range(24):
+        step = [r for r in rows if r[1] == epoch and r[2] is not None]
+        want |= {r[:3] for r in step if r[0] not in top or r[2] > top[r[0]]}
+        for r in step:
+            top[r[0]] = max(top.get(r[0], r[2]), r[2])
+    got = [tuple(r) for r in spark.read.parquet(best).select("run", "epoch", "val_mean").collect()]
+    assert set(got) == want and len({r[1] for r in want}) > 8
+    epochs = [r.epoch for r in spark.read.parquet(kept).collect()]
+    assert sorted(epochs, key=lambda e: -1 if e is None else e) == [None, *range(24)]
+
+
+def test_a_trigger_writes_the_cells_that_it_changed(spark, tmp_path):
+    source, out, state, folded = (str(tmp_path / n) for n in ("in", "out", "state", "folded"))
+
+    def run():
+        stream = jobs.file_stream(spark, source, SCHEMA, files_per_trigger=1)
+        jobs.run_to_changes(jobs.running_occupancy(stream, ["epoch"], "run"), out, state)
+
+    drop_file(spark, source, [("a", n, 0.0, at(n)) for n in range(200)])
+    run()
+    drop_file(spark, source, [("b", 3, 0.0, at(201)), ("a", 3, 0.0, at(202)), ("b", 500, 0.0, at(203)), ("b", 3, 0.0, at(204))])
+    run()
+    sizes = {r["_batch"]: r["count"] for r in spark.read.parquet(out).groupBy("_batch").count().collect()}
+    assert sorted(sizes.values()) == [2, 200]
+    want = {(n, 2 if n == 3 else 1) for n in [*range(200), 500]}
+    assert {tuple(r) for r in jobs.latest_rows(spark, out, ["epoch"]).select("epoch", "n_cases").collect()} == want
+    jobs.fold_changes(spark, out, ["epoch"], folded)
+    assert spark.read.parquet(folded).count() == 201
+    assert {tuple(r) for r in jobs.latest_rows(spark, folded, ["epoch"]).select("epoch", "n_cases").collect()} == want
+
+
 def test_late_rows_are_dropped_from_windows(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
 
