@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import CLASS_NAMES, seeded_key, struct_max
 from .geometry import CELL, downsample, zoom_linear
@@ -201,6 +201,29 @@ def average_members(probs: DataFrame) -> DataFrame:
     return probs.groupBy("case_id", *CELL, "class_value").agg(F.greatest(F.avg("p"), F.lit(1e-12)).alias("p"))
 
 
+def _per_class(make, n_classes: int, name: str) -> Column:
+    """``make`` over every place of the arrays ``p``; a place that an array lacks counts as 0."""
+    return F.array(*[make(F.coalesce(F.get("p", F.lit(c)), F.lit(0.0))) for c in range(n_classes)]).alias(name)
+
+
+def average_arrays(probs: DataFrame, n_classes: int, *, spread: bool = False) -> DataFrame:
+    """Mean over all members and flips of ``p``, one array of class probabilities per row, floored at 1e-12.
+
+    Arrays are added place by place on the map side, so a cell crosses the one shuffle once per
+    task and no row is made per class.  ``spread`` adds ``variance``, the sample variance per class
+    (0 for one row).  Rows without an array are left out.
+    """
+    aggs = [_per_class(lambda p: F.greatest(F.avg(p), F.lit(1e-12)), n_classes, "p")]
+    if spread:
+        aggs.append(_per_class(lambda p: F.coalesce(F.var_samp(p), F.lit(0.0)), n_classes, "variance"))
+    return probs.where(F.col("p").isNotNull()).groupBy("case_id", *CELL).agg(*aggs)
+
+
+def predicted_place(p: str | Column = "p") -> Column:
+    """Most probable class of an array of probabilities, the lowest class on ties."""
+    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+
+
 def predicted_class(probs: DataFrame) -> DataFrame:
     """Most probable class per cell, the lowest class value on ties; background cells are dropped."""
     best = struct_max("p", F.col("class_value"), fields=["class_value"]).alias("_b")

@@ -308,16 +308,25 @@ def _(spark, d):
 p AS (SELECT case_id, i, j, k, avg(1 - q) AS p0, avg(q * 0.6e0) AS p1, avg(q * 0.4e0) AS p2 FROM u GROUP BY 1, 2, 3, 4)
 SELECT case_id, i, j, k, round(p0, 6) AS p0, round(p1, 6) AS p1, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS value FROM p""")
 def _(spark, d):
-    mean = vol.average_members(vol.undo_flips(_probabilities(_members(spark, d)), grid_of(spark, d)))
-    wide = mean.groupBy("case_id", "i", "j", "k").agg(
-        *[F.max(F.when(F.col("class_value") == v, F.col("p"))).alias(f"p{v}") for v in (0, 1)]
+    members = _members(spark, d).select(
+        "case_id", "flip", "i", "j", "k", F.array(1.0 - F.col("q"), F.col("q") * 0.6, F.col("q") * 0.4).alias("p")
     )
-    best = vol.predicted_class(mean)
-    return wide.join(best, ["case_id", "i", "j", "k"], "left").select(
-        "case_id", "i", "j", "k", r6("p0"), r6("p1"), F.coalesce("value", F.lit(0)).alias("value")
+    mean = vol.average_arrays(vol.undo_flips(members, grid_of(spark, d)), 3)
+    return mean.select(
+        "case_id", "i", "j", "k", r6(F.col("p")[0], "p0"), r6(F.col("p")[1], "p1"), vol.predicted_place().alias("value")
     )
 
 
+@query("ensemble_long", with_views("placed") + _PASSES + """
+, u AS (SELECT case_id, CASE WHEN contains(flip, 'i') THEN 11 - i ELSE i END AS i, CASE WHEN contains(flip, 'j') THEN 11 - j ELSE j END AS j,
+  CASE WHEN contains(flip, 'k') THEN 11 - k ELSE k END AS k, q FROM members),
+p AS (SELECT case_id, i, j, k, avg(1 - q) AS p0, avg(q * 0.6e0) AS p1, avg(q * 0.4e0) AS p2 FROM u GROUP BY 1, 2, 3, 4)
+SELECT case_id, i, j, k, CASE WHEN p1 >= p2 THEN 1 ELSE 2 END AS value FROM p WHERE NOT (p0 >= p1 AND p0 >= p2)""")
+def _(spark, d):
+    mean = vol.average_members(vol.undo_flips(_probabilities(_members(spark, d)), grid_of(spark, d)))
+    return vol.predicted_class(mean)
+
+
 @query("merge_windows", with_views("placed") + """
 , w AS (SELECT case_id, i, j, k, i - CAST(l_linenumber AS INT) AS oi, j - CAST(l_quantity AS INT) % 6 AS oj, k - CAST(l_tax * 100 AS INT) % 6 AS ok,
   l_quantity / 60e0 AS p FROM placed),

@@ -64,6 +64,27 @@ def test_undoing_a_flip_averages_matching_cells(spark):
     assert [r.p for r in out] == pytest.approx([i / 10 + 0.1 for i in range(4)])
 
 
+def test_arrays_average_place_by_place_in_one_exchange(spark):
+    rng = np.random.default_rng(3)
+    p = rng.random((5, 40, 3)).round(2)
+    rows = [("a", m, c, 0, 0, p[m, c].tolist()) for m in range(5) for c in range(40)]
+    rows += [("b", 0, 0, 0, 0, [0.5]), ("b", 1, 0, 0, 0, [0.1, 0.6, 0.0]), ("b", 2, 0, 0, 0, None), ("c", 0, 0, 0, 0, [0.4, 0.4, 0.2])]
+    probs = spark.createDataFrame(rows, "case_id string, member int, i int, j int, k int, p array<double>")
+    out = vol.average_arrays(probs, 3, spread=True).withColumn("value", vol.predicted_place())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+    got = {(r.case_id, r.i): r for r in out.collect()}
+    assert len(got) == 42
+    mean, spread = p.mean(axis=0), p.var(axis=0, ddof=1)
+    for c in range(40):
+        assert np.allclose(got[("a", c)].p, np.maximum(mean[c], 1e-12)) and np.allclose(got[("a", c)].variance, spread[c])
+    assert got[("b", 0)].p == pytest.approx([0.3, 0.3, 1e-12]) and got[("c", 0)].value == 0 and got[("c", 0)].variance == [0, 0, 0]
+    long = probs.where("case_id = 'a'").select("case_id", "i", "j", "k", F.posexplode("p").alias("class_value", "p"))
+    assert {(r.i, r.value) for r in vol.predicted_class(vol.average_members(long)).collect()} == {
+        (r.i, r.value) for k, r in got.items() if k[0] == "a" and r.value > 0
+    }
+
+
 def test_ranks_and_percentiles_with_one_hot_key(spark):
     rng = np.random.default_rng(2)
     values = [("hot", n, float(v)) for n, v in enumerate(rng.normal(size=3000).round(2))] + [("cold", 1, 5.0)]
