@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import cut, slices, without_ids
@@ -99,7 +98,9 @@ def build_index(docs: DataFrame, number, wanted, width: int = WIDTH) -> DataFram
     """Postings ``uid, doc_id, term, pos, before, after`` of the wanted terms, with one row per
     document (``term`` -1, ``pos`` its number of words) so that documents without postings stay.
 
-    ``uid`` tells rows with the same doc_id apart.
+    ``uid`` is a hash of the row that, with the doc_id, tells rows apart.  It is the same whenever and
+    wherever the row is read, so indexes made for different blocks of items name the same documents;
+    rows that are equal share it, and their hits.
     """
     reach = width - 1
     steps = np.arange(1, reach + 1)
@@ -107,21 +108,19 @@ def build_index(docs: DataFrame, number, wanted, width: int = WIDTH) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.zeros(len(number.value) + 1, bool)
         keep[wanted.value + 1] = True
-        uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, 1 << 20):
                 uids, ids_of, terms, places, befores, afters, b_off, a_off = [], [], [], [], [], [], [0], [0]
-                for doc_id, ids in zip(part.column(0).to_pylist(), _numbered(part.column(1), number.value)):
+                for doc_id, uid, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), _numbered(part.column(1), number.value)):
                     padded = np.concatenate([np.full(reach, -2, np.int32), ids, np.full(reach, -2, np.int32)])
                     at = np.flatnonzero(keep[ids + 1])
-                    uids.append(np.full(len(at) + 1, uid))
+                    uids.append(np.full(len(at) + 1, uid, np.int64))
                     ids_of += [doc_id] * (len(at) + 1)
                     terms.append(np.concatenate([[_DOC_ROW], ids[at]]))
                     places.append(np.concatenate([[len(ids)], at]))
                     befores.append(padded[(at + reach)[:, None] - steps].ravel())
                     afters.append(padded[(at + reach)[:, None] + steps].ravel())
                     b_off += [b_off[-1]] + [b_off[-1] + reach * (i + 1) for i in range(len(at))]
-                    uid += 1
                 if not uids:
                     continue
                 a_off = pa.array(np.array(b_off), pa.int32())
@@ -135,7 +134,7 @@ def build_index(docs: DataFrame, number, wanted, width: int = WIDTH) -> DataFram
                     ["uid", "doc_id", "term", "pos", "before", "after"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("uid", F.xxhash64("doc_id", "text"))
     return cut(rows.mapInArrow(
         run, "uid long, doc_id long, term int, pos long, before array<int>, after array<int>"
     ))
@@ -167,7 +166,7 @@ def _anchors(occurrences: DataFrame, frequency: DataFrame, width: int) -> DataFr
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Documents ``uid, doc_id, n_words`` and matches ``uid, item_id, start, end, exact, near``.
+    """Documents ``uid, doc_id, n_words`` and matches ``uid, doc_id, item_id, start, end, exact, near``.
 
     ``start..end`` (word places, inclusive) is the run of agreeing words around an anchor;
     ``exact`` marks runs that hold a whole window.  ``near`` marks anchors with at least
@@ -198,13 +197,19 @@ def _block(spark: SparkSession, docs: DataFrame, block: DataFrame, width: int) -
     around = lambda b, a: F.array_distinct(F.concat(b, a, F.array("term")))
     common = F.size(F.array_intersect(around(F.col("item_before"), F.col("item_after")), around(F.col("before"), F.col("after"))))
     rows = joined.withColumns({"left": left, "right": right, "common": common}).select(
-        "uid", "item_id", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"),
+        "uid", "doc_id", "item_id", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"),
         (F.col("left") + 1 + F.col("right") >= F.least(F.col("n"), F.lit(width))).alias("exact"),
         (F.col("common") >= NEAR_TERMS).alias("near"),
     )
     return documents, cut(rows.where("exact or near"))
 
 
+def _with_hits(documents: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits joined to their documents; a NULL doc_id is one like any other."""
+    right = hits.withColumnsRenamed({"uid": "_u", "doc_id": "_d"})
+    return documents.join(right, (F.col("uid") == F.col("_u")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_u", "_d")
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items, spans``.
 
@@ -213,11 +218,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     that occurs twice counts once; NULL item ids are hit but not listed.
     """
     documents, found = matches(docs, items, width)
-    exact = found.where("exact").groupBy("uid").agg(
+    exact = found.where("exact").groupBy("uid", "doc_id").agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"),
         F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"),
     )
-    near = found.where("near").groupBy("uid").agg(F.count_distinct("item_id").alias("n_near_items"))
+    near = found.where("near").groupBy("uid", "doc_id").agg(F.count_distinct("item_id").alias("n_near_items"))
     covered = F.aggregate(
         "spans", F.struct(F.lit(-1).cast("long").alias("upto"), F.lit(0).cast("long").alias("n")),
         lambda s, x: F.struct(
@@ -227,7 +232,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
         lambda s: s["n"],
     )
     none = F.array().cast("array<string>")
-    return documents.join(exact, "uid", "left").join(near, "uid", "left").select(
+    return _with_hits(_with_hits(documents, exact), near).select(
         "doc_id", "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"),
         F.size(F.coalesce("ids", none)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("ids", none), ","), 256).alias("items_sha256"),
