@@ -15,6 +15,7 @@ only the few winning paths per host travel back to the pages.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ from .common import cut, slices
 
 #: Up to so many hosts (of 253 characters, with paths of some 2,000) the winning paths go to every executor, beyond it the join shuffles.
 BROADCAST_HOSTS = 10_000
+#: From this length on a path goes on from its digest.
+LONG_PATH = 2_000
 #: A container out is taken for the best one if it has so many times the running text, outside links.
 NOTABLY = 1.1
 #: A host's own consensus counts from this many voting pages on.
@@ -51,13 +54,17 @@ MARKED = re.compile(
     r"sidebar|social|sponsor\w*|subscribe|tags|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+# A paragraph or heading stands in the text: only a whole class name marks it, and these are common names of titles.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
+TITLES = frozenset("header banner masthead".split())
 # What an open element of the key ends when the next tag is one of the values (optional end tags).
 ENDS = {
     "p": BLOCKS - {"br", "option", "td", "th", "tr", "body", "html"} | {"td", "th", "tr"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
     "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"},
 }
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    # A quote opens a value only after an equals sign; anywhere else it is a character of the tag, as in browsers.
+    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _END_RAW = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
@@ -67,10 +74,12 @@ _DIGITS = re.compile(r"\d+")
 class Page:
     """Text pieces of a page in order, each with the open element it stands in."""
 
-    __slots__ = ("pieces", "tag", "path", "parent", "skip", "html", "body")
+    __slots__ = ("pieces", "tag", "path", "parent", "skip", "near", "sign", "html", "body")
 
     def __init__(self, source: str):
         self.tag, self.path, self.parent, self.skip = ["#"], [""], [-1], [False]
+        # The innermost container around an element, itself included, and -1 where an odd number of links lies between.
+        self.near, self.sign = [0], [1]
         self.pieces: list[tuple[int, str, bool]] = []
         self.html = self.body = 0
         self._read(source)
@@ -87,11 +96,21 @@ class Page:
         if name:
             step += "".join(f".{c}" for c in sorted(set(_DIGITS.sub("#", name.lower()).split())))
         self.tag.append(tag)
-        self.path.append(f"{self.path[parent]}/{step}" if len(self.path[parent]) < 2000 else self.path[parent])
+        above = self.path[parent]
+        if len(above) > LONG_PATH:
+            # Its digest stands for a long path, so deep elements keep paths of their own.
+            above = "#" + hashlib.sha256(above.encode("utf-8", "surrogatepass")).hexdigest()
+        self.path.append(f"{above}/{step}")
         self.parent.append(parent)
+        inside = tag in CONTAINERS
+        self.near.append(len(self.tag) - 1 if inside else self.near[parent])
+        self.sign.append(1 if inside else -self.sign[parent] if tag == "a" else self.sign[parent])
         skip = self.skip[parent] or tag in BOILERPLATE or hidden
         if not skip and mark and tag not in ("html", "body", "article", "main"):
-            skip = bool(MARKED.search(mark))
+            if tag in PROSE:
+                skip = any(c not in TITLES and MARKED.fullmatch(c) for c in name.lower().split())
+            else:
+                skip = bool(MARKED.search(mark))
         self.skip.append(skip)
         return len(self.tag) - 1
 
@@ -178,37 +197,28 @@ class Page:
         for node, text, _ in self.pieces:
             if self.skip[node]:
                 continue
-            weight, up = len(text.strip()), node
-            if not weight:
-                continue
-            while up > 0 and self.tag[up] not in CONTAINERS:
-                if self.tag[up] == "a":
-                    weight = -weight
-                up = self.parent[up]
-            share = 1.0
-            while up > 0 and share > 0.1:
-                if self.tag[up] in CONTAINERS:
-                    bonus = 2.5 if self.tag[up] in ("article", "main") else 1.0
-                    out[up] = out.get(up, 0.0) + share * bonus * weight
-                    share /= 2
-                up = self.parent[up]
+            weight, up, share = self.sign[node] * len(text.strip()), self.near[node], 1.0
+            while weight and up > 0 and share > 0.1:
+                bonus = 2.5 if self.tag[up] in ("article", "main") else 1.0
+                out[up] = out.get(up, 0.0) + share * bonus * weight
+                share, up = share / 2, self.near[self.parent[up]]
         return out
 
     def _amounts(self) -> dict[int, list[int]]:
         """Characters of all unskipped text under every container, outside links and in them."""
-        out: dict[int, list[int]] = {}
+        sums = [[0, 0] for _ in self.tag]
         for node, text, _ in self.pieces:
-            size, up, linked, around = len(text.strip()), node, 0, []
-            if self.skip[node] or not size:
-                continue
-            while up > 0:
-                linked |= self.tag[up] == "a"
-                if self.tag[up] in CONTAINERS:
-                    around.append(up)
-                up = self.parent[up]
-            for up in around:
-                out.setdefault(up, [0, 0])[linked] += size
-        return out
+            if not self.skip[node]:
+                sums[node][0] += len(text.strip())
+        # An element comes after the one around it, so one pass from the last carries every sum up.
+        for node in range(len(sums) - 1, 0, -1):
+            plain, linked = sums[node]
+            if self.tag[node] == "a":
+                plain, linked = 0, plain + linked
+            around = sums[self.parent[node]]
+            around[0] += plain
+            around[1] += linked
+        return {n: sums[n] for n in range(1, len(sums)) if self.tag[n] in CONTAINERS and any(sums[n])}
 
     def best(self) -> int:
         """The container with the best score, or the ones around it that hold more of the text; an article or main is whole."""
@@ -286,7 +296,7 @@ def consensus(counted: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
 
     Hosts with fewer than ``min_votes`` voting pages are absent.  The host '*' has the winner of all hosts together.
     """
-    best = F.max_by("path", F.struct(F.col("n"), -F.length("path"), F.hash("path")))
+    best = F.min_by("path", F.struct(-F.col("n"), F.length("path"), F.col("path")))
     per_host = counted.groupBy("host").agg(best.alias("path"), F.sum("n").alias("total")).where(F.col("total") >= min_votes)
     overall = counted.groupBy("path").agg(F.sum("n").alias("n")).groupBy().agg(best.alias("path")).where("path is not null")
     return per_host.select("host", "path").unionByName(overall.select(F.lit("*").alias("host"), "path"))

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 from cellmosaic.llm import (
     decontamination, html_extraction, language_id, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity,
@@ -316,6 +318,36 @@ def test_text_in_several_blocks_is_kept_whole():
     assert html_extraction.extract(page.format(figure, words), []) == " ".join([*body.split(), "A caption Sum x+y here"])
 
 
+@pytest.mark.parametrize("inside", [
+    '<p class="a"">Hello</p><p>there and "so" on</p>', "<p class='a''>Hello</p><p title='>'>there and \"so\" on</p>",
+    '<p "x>Hello</p><p a="1>2" b=3"4>there and "so" on</p>', '<h1 class="entry-header">Hello</h1><p id="tags">there and "so" on</p>',
+    '<h2 class="banner">Hello</h2><p class="lead share-price">there and "so" on</p><p class="advert">Buy</p><h3 class="related">More</h3>',
+])
+def test_markup_as_browsers_read_it(inside):
+    page = f"<html><body><div class=nav>Menu words</div><article>{inside}</article><div class='ads'>Buy this</div></body></html>"
+    assert html_extraction.extract(page, []) == 'Hello there and "so" on'
+
+
+def test_deep_pages_take_time_in_proportion_and_keep_their_paths():
+    words = "Running words of the page that say something. "
+
+    def page(depth, last):
+        return "<html><body>" + "".join(f"<div class=level>x<i><a href=x>y</a>" for _ in range(depth)) + f"<div class={last}>" + words * 900
+
+    start = time.perf_counter()
+    votes = [html_extraction.vote(page(10_000, last)) for last in ("one", "two")]
+    assert time.perf_counter() - start < 30
+    assert all(v.endswith(f"/div.{n}") and len(v) < 3000 for v, n in zip(votes, ("one", "two")))
+    assert html_extraction.extract(page(10_000, "one"), votes[:1]) == " ".join((words * 900).split())
+    assert html_extraction.extract("<article>" + "<a b='" * 2000 + ">x", []) is not None
+
+
+def test_ties_of_votes_go_to_the_shorter_and_then_the_first_path(spark):
+    rows = [("h", p, 3) for p in ("/b/long", "/z", "/c", "/d")] + [("g", "/q", 2)]
+    got = {r.host: r.path for r in html_extraction.consensus(spark.createDataFrame(rows, "host string, path string, n long")).collect()}
+    assert got == {"h": "/c", "*": "/c"}
+
+
 # 7 -------------------------------------------------------------------------------------------
 
 
@@ -412,6 +444,22 @@ def hits(text, items, width=10):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
+def test_blocks_of_items_name_the_same_documents_however_rows_are_dealt(spark, monkeypatch):
+    """Two blocks read the corpus anew, and the rows come to other tasks in another order each time."""
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 40)
+    phrase = lambda n: " ".join(f"w{n}x{k}" for k in range(12))
+    rows = [(n % 20 if n % 7 else None, f"start {n} {phrase(n)} and {phrase(n + 1)} end") for n in range(40)] * 2
+    items = spark.createDataFrame([(n, phrase(n)) for n in range(0, 40, 5)], "item_id long, text string")
+    anywhere = F.udf(lambda: random.randrange(1000), "int").asNondeterministic()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("to", anywhere()).repartition(5, "to").drop("to")
+    got = sorted(((r.doc_id, r.n_items, r.n_hit, r.n_words) for r in decontamination.contamination(docs, items).collect()), key=repr)
+    want = []
+    for doc_id, text in rows:
+        hits = [n for n in range(0, 40, 5) if phrase(n) in text]
+        want.append((doc_id, len(hits), 12 * len(hits), len(text.split())))
+    assert got == sorted(want, key=repr)
+
+
 def test_decontamination_against_brute_force(spark, odd, empty, monkeypatch):
     rnd = random.Random(7)
     items = [(i, prose(rnd, rnd.choice([3, 9, 10, 11, 25]))) for i in range(20)] + [(3, prose(rnd, 14)), (30, None), (31, "..."), (32, "the"), (33, "a a a a a a a a a a a a")]
