@@ -93,14 +93,14 @@ def _picked(texts: DataFrame, places: DataFrame, name: str) -> DataFrame:
 def entries(lines: DataFrame, max_edits: int) -> DataFrame:
     """``key, place, sketch`` of every segment of a line and of every substring that may equal one of another line.
 
-    Bit 60 of ``sketch`` tells probes (1) from segments (0).
+    Bit 60 of ``sketch`` tells probes (1) from segments (0).  A segment is also the probe of its
+    own place for lines of the same length and stands once for both.
     """
     parts, moves = max_edits + 1, []
     for i in range(parts):
-        moves.append((0, 0, i, 0))
         for shorter in range(parts):
             low, high = max(-i, shorter - (max_edits - i)), min(i, shorter + (max_edits - i))
-            moves += [(1, shorter, i, move) for move in range(low, high + 1)]
+            moves += [(int((shorter, move) != (0, 0)), shorter, i, move) for move in range(low, high + 1)]
     kinds = ("probe", "shorter", "i", "move")
     spread = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(kinds, m)]) for m in moves]))
     rows = lines.select("place", "line", "len", "sketch", spread.alias("m")).select("place", "line", "len", "sketch", "m.*")
@@ -178,11 +178,14 @@ def near_pairs(
     lines = _picked(texts, firsts, "firsts").withColumn("len", F.length("line")).where(F.col("len") >= min_chars)
     dealt_out = entries(lines.withColumn("sketch", _sketch(F.col("line"))), max_edits).repartition("key")
     # Both sides read one exchange: a segment comes before a probe in bit 60, the only one above the counts.
+    # Two segments meet from the smaller place.  No part of the condition is about one side alone, or the exchanges would differ.
     segment = dealt_out.select("key", F.col("place").alias("a"), F.col("sketch").alias("ca"))
     probe = dealt_out.select(F.col("key").alias("_k"), F.col("place").alias("b"), F.col("sketch").alias("cb"))
+    kind_a, kind_b = F.shiftright("ca", 60), F.shiftright("cb", 60)
+    meet = ((kind_a < kind_b) & (F.col("a") != F.col("b"))) | ((kind_a + kind_b == 0) & (F.col("a") < F.col("b")))
     candidates = segment.join(
         probe,
-        (F.col("key") == F.col("_k")) & (F.shiftright("ca", 60) < F.shiftright("cb", 60)) & (F.col("a") != F.col("b"))
+        (F.col("key") == F.col("_k")) & meet
         & (_letter_gap(F.col("ca"), F.col("cb")) <= 2 * max_edits),
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("place")).distinct().select(
