@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import CLASS_NAMES, COMPOSITES, MIN_CELLS
 from ..functions.runtime import cut
-from .geometry import CELL, cell_volume, depth_in_mask, distance_to_set, in_bounds, midline, mirror, shell
+from .geometry import CELL, cell_volume, distance_to_set, midline, mirror, shell_sums, with_depth
 from .labelling import label_regions, region_sizes
 from .matching import Matching, label_both, match_regions
 from .ranking import exact_percentiles, ranked
@@ -90,12 +90,12 @@ def reference_majority(stats: DataFrame, class_values: Sequence[int], *, majorit
 
 def border_mean(lab: DataFrame, probs: DataFrame, grid: DataFrame) -> DataFrame:
     """Mean own-class probability on the one-cell shell of each region; NULL without a shell."""
-    rim = in_bounds(shell(lab, REGION), grid)
-    return (
-        rim.join(probs.select("case_id", *CELL, "p"), ["case_id", *CELL], "left")
-        .groupBy(*REGION)
-        .agg(F.avg(probability(F.col("class_value"))).alias("mean_border_prob"))
-    )
+    classes = sorted(r[0] for r in lab.select("class_value").distinct().collect())
+    values = probs.select("case_id", *CELL, *[probability(c).alias(f"_p{c}") for c in classes])
+    rim = shell_sums(lab, values, REGION, [f"_p{c}" for c in classes], grid=grid)
+    own = F.coalesce(*[F.when(F.col("class_value") == c, F.col(f"_p{c}")) for c in classes], F.lit(0.0))
+    absent = F.when(F.col("class_value") == 0, F.col("n_shell") - F.col("n_met")).otherwise(0)
+    return rim.where("n_shell > 0").select(*REGION, ((own + absent) / F.col("n_shell")).alias("mean_border_prob"))
 
 
 def region_ranks(stats: DataFrame, keys: Sequence[str] = ("case_id", "class_value")) -> DataFrame:
@@ -215,10 +215,12 @@ def image_features(
         return rows.groupBy(*region).agg(*[F.avg(z(m)).alias(f"_{suffix}_{m}") for m in modalities])
 
     inside = averages(lab, "in")
-    around = averages(shell(lab, region, steps=steps).join(mask.select(*cell), cell, "left_semi"), "out")
+    scores = volume.where("_brain").join(scale, "case_id").select(*cell, *[z(m).alias(f"_out_{m}") for m in modalities])
+    rim = shell_sums(lab, scores, region, [f"_out_{m}" for m in modalities], steps=steps).where("n_met > 0")
+    around = rim.select(*region, *[(F.col(f"_out_{m}") / F.col("n_met")).alias(f"_out_{m}") for m in modalities])
     mirrored = averages(mirror(lab.select(*region, *CELL), midline(mask), grid), "mir")
     depth = (
-        lab.join(depth_in_mask(lab, mask, grid), cell).join(brain, cell, "left")
+        with_depth(lab.select(*region, *CELL).join(brain, cell, "left"), mask, grid, "_brain")
         .groupBy(*region).agg(
             F.max("depth").alias("dist_to_brain_edge_mm"),
             F.avg(F.when(F.col("_brain"), 0.0).otherwise(1.0)).alias("frac_outside_brain"),
