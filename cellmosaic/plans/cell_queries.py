@@ -264,7 +264,7 @@ SELECT case_id, value, COUNT(*) AS n_cells, CAST(SUM(i * 144 + j * 12 + k) AS BI
 FROM near n ANTI JOIN ref r USING (case_id, value, i, j, k)
 WHERE i BETWEEN 0 AND 11 AND j BETWEEN 0 AND 11 AND k BETWEEN 0 AND 11 GROUP BY 1, 2""")
 def _(spark, d):
-    out = geo.in_bounds(geo.shell(view(spark, d, "ref"), ["case_id", "value"], steps=3), grid_of(spark, d))
+    out = geo.shell(view(spark, d, "ref"), ["case_id", "value"], steps=3, grid=grid_of(spark, d))
     return out.groupBy("case_id", "value").agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum(F.expr("i * 144 + j * 12 + k")).alias("code")
     )
