@@ -219,14 +219,20 @@ def average_arrays(probs: DataFrame, n_classes: int, *, spread: bool = False) ->
     return probs.where(F.col("p").isNotNull()).groupBy("case_id", *CELL).agg(*aggs)
 
 
+def _comparable(p: str | Column) -> Column:
+    """A mean probability in units of 1e-12, so that means that differ only by the order of their sums are ties."""
+    return F.rint((F.col(p) if isinstance(p, str) else p) * 1e12)
+
+
 def predicted_place(p: str | Column = "p") -> Column:
-    """Most probable class of an array of probabilities, the lowest class on ties."""
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    """Most probable class of an array of probabilities to twelve places, the lowest class on ties."""
+    rounded = F.transform(p, _comparable)
+    return (F.array_position(rounded, F.array_max(rounded)) - 1).cast("int")
 
 
 def predicted_class(probs: DataFrame) -> DataFrame:
-    """Most probable class per cell, the lowest class value on ties; background cells are dropped."""
-    best = struct_max("p", F.col("class_value"), fields=["class_value"]).alias("_b")
+    """Most probable class per cell to twelve places, the lowest class value on ties; background cells are dropped."""
+    best = struct_max(_comparable("p"), F.col("class_value"), fields=["class_value"]).alias("_b")
     return probs.groupBy("case_id", *CELL).agg(best).select(
         "case_id", *CELL, F.col("_b.class_value").alias("value")
     ).where("value > 0")

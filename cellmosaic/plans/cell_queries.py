@@ -305,8 +305,9 @@ def _(spark, d):
 @query("ensemble_average", with_views("placed") + _PASSES + """
 , u AS (SELECT case_id, CASE WHEN contains(flip, 'i') THEN 11 - i ELSE i END AS i, CASE WHEN contains(flip, 'j') THEN 11 - j ELSE j END AS j,
   CASE WHEN contains(flip, 'k') THEN 11 - k ELSE k END AS k, q FROM members),
-p AS (SELECT case_id, i, j, k, avg(1 - q) AS p0, avg(q * 0.6e0) AS p1, avg(q * 0.4e0) AS p2 FROM u GROUP BY 1, 2, 3, 4)
-SELECT case_id, i, j, k, round(p0, 6) AS p0, round(p1, 6) AS p1, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS value FROM p""")
+p AS (SELECT case_id, i, j, k, avg(1 - q) AS p0, avg(q * 0.6e0) AS p1, avg(q * 0.4e0) AS p2 FROM u GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, round(p0, 12) AS r0, round(p1, 12) AS r1, round(p2, 12) AS r2 FROM p)
+SELECT case_id, i, j, k, round(p0, 6) AS p0, round(p1, 6) AS p1, CASE WHEN r0 >= r1 AND r0 >= r2 THEN 0 WHEN r1 >= r2 THEN 1 ELSE 2 END AS value FROM r""")
 def _(spark, d):
     members = _members(spark, d).select(
         "case_id", "flip", "i", "j", "k", F.array(1.0 - F.col("q"), F.col("q") * 0.6, F.col("q") * 0.4).alias("p")

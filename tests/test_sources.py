@@ -194,3 +194,17 @@ def test_late_rows_are_dropped_from_windows(spark, tmp_path):
     run()
     got = {r.window_start: (r.n, r.n_false) for r in spark.read.parquet(out).collect()}
     assert got == {at(0): (2, 1), at(60): (1, 0)}
+
+
+def test_means_that_differ_by_the_order_of_their_sums_are_ties(spark):
+    from cellmosaic.operators import volumes as vol
+
+    # 0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 are two doubles, whichever class has the larger one.
+    up, down = 0.1 + 0.2 + 0.3, 0.3 + 0.2 + 0.1
+    assert up != down
+    rows = [("a", 0, 0, 0, [down / 3, up / 3, 0.1]), ("a", 0, 0, 1, [0.1, up / 3, down / 3]), ("a", 0, 0, 2, [0.1, down / 3, up / 3]),
+            ("a", 0, 0, 3, [0.2, 0.2 + 1e-9, 0.1])]
+    arrays = spark.createDataFrame(rows, "case_id string, i int, j int, k int, p array<double>")
+    assert [r[0] for r in arrays.orderBy("k").select(vol.predicted_place()).collect()] == [0, 1, 1, 1]
+    long = arrays.selectExpr("case_id", "i", "j", "k", "posexplode(p) as (class_value, p)")
+    assert {r.k: r.value for r in vol.predicted_class(long).collect()} == {1: 1, 2: 1, 3: 1}
