@@ -321,7 +321,7 @@ def _(spark, d):
 @query("ensemble_long", with_views("placed") + _PASSES + """
 , u AS (SELECT case_id, CASE WHEN contains(flip, 'i') THEN 11 - i ELSE i END AS i, CASE WHEN contains(flip, 'j') THEN 11 - j ELSE j END AS j,
   CASE WHEN contains(flip, 'k') THEN 11 - k ELSE k END AS k, q FROM members),
-p AS (SELECT case_id, i, j, k, avg(1 - q) AS p0, avg(q * 0.6e0) AS p1, avg(q * 0.4e0) AS p2 FROM u GROUP BY 1, 2, 3, 4)
+p AS (SELECT case_id, i, j, k, round(avg(1 - q), 12) AS p0, round(avg(q * 0.6e0), 12) AS p1, round(avg(q * 0.4e0), 12) AS p2 FROM u GROUP BY 1, 2, 3, 4)
 SELECT case_id, i, j, k, CASE WHEN p1 >= p2 THEN 1 ELSE 2 END AS value FROM p WHERE NOT (p0 >= p1 AND p0 >= p2)""")
 def _(spark, d):
     mean = vol.average_members(vol.undo_flips(_probabilities(_members(spark, d)), grid_of(spark, d)))
