@@ -158,3 +158,25 @@ def test_published_p_star_and_gate(spark):
     a = spark.createDataFrame([("x", 0.5637), ("y", None)], schema)
     b = spark.createDataFrame([("x", 0.5598), ("y", None)], schema)
     assert gate(a, b).first().proceed and not gate(b, b).first().proceed
+
+
+def test_similarity_profile_query_looks_at_every_pair(spark):
+    from cellmosaic.plans.queries import QUERIES, SQL
+
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
+    values = np.array(list(brute(np.array([r.embedding for r in rows], float), -2).values()))
+    got = QUERIES["similarity_profile"](spark, d).first()
+    assert got.n_pairs == values.size and "n_sampled" not in got and "ring" not in SQL["similarity_profile"]
+    assert tuple(got)[1:] == pytest.approx((np.median(values), np.percentile(values, 99), values.max()), abs=1e-6)
+
+
+@pytest.mark.parametrize("n, block", [(2, 8), (3, 1), (90, 7), (1100, 300)])
+def test_similarity_profile_in_bands(spark, n, block, monkeypatch):
+    monkeypatch.setattr(audit, "_BAND", 50 * block)
+    x = np.random.default_rng(18).normal(size=(n, 6))
+    x[n // 2:] = x[: n - n // 2]  # copies: values that occur many times
+    values = np.array(list(brute(x, -2).values()))
+    got = audit.similarity_profile(vectors(spark, x), block=block, bins=50).first()
+    want = (values.size, np.median(values), np.percentile(values, 99), values.max())
+    assert tuple(got) == pytest.approx(want)
