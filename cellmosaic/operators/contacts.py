@@ -10,12 +10,17 @@ pieces, the cells that pieces of the two masks share, and the pieces on its face
 is many tiles.  All else works on these: pieces that continue across a face are one class
 region, an edit is a choice of class regions, its own regions are the components of what remains
 of the graph, and sizes and overlaps are sums.
+
+A tile without a cell on an inner face is closed: whatever an edit makes of its pieces ends in it.
+The task that holds it counts its share of the scores, and only sums leave the task; tiles
+that others continue go on as a graph.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +29,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.exprs import MIN_CELLS, struct_max, targets_of
 from ..functions.runtime import cut
 from .labelling import _BITS, DEFAULT_TILE, _merge_pieces, _numbered, changes, contract, packable, per_tile
-from .matching import CELL, Matching, case_target_grid, match_tables, score_tables
+from .matching import CELL, SCORE_SUMS, Matching, case_target_grid, finish_scores, match_tables, score_sums
 
 PRED, REF = 0, 1
-NODE, CONTACT, SHARED, FACE = range(4)
+NODE, CONTACT, SHARED, FACE, SCORE = range(5)
+#: What ``_tile_graph`` gives for every row of its output, after the key of the case.
+_TILE_ROW = "kind int, side int, value int, a long, b long, n long, home long"
 #: Edges that a task connects together before they meet the rest.
 CHUNK = 1_000_000
 #: Cells along the edge of the blocks in which edges are connected first, as a power of two.
@@ -37,7 +44,8 @@ BLOCK_BITS = 7
 @dataclass(frozen=True)
 class ContactGraph:
     """``nodes``: ``side, case_id, value, node, n_cells``; ``contacts``: ``side, case_id, a, b``;
-    ``shared``: ``case_id, pred_node, ref_node, shared``.  A node is the packed first cell of a class region."""
+    ``shared``: ``case_id, pred_node, ref_node, shared``.  A node is the packed first cell of a class region.
+    ``home`` in all three is the packed tile of a row if that tile is closed, else -1."""
 
     nodes: DataFrame
     contacts: DataFrame
@@ -64,12 +72,78 @@ def _distinct_rows(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[starts], np.diff(np.append(starts, len(order)))
 
 
-def _tile_graph(boundary: Sequence[str], tile: int):
-    """Function for ``mapInArrow``: pieces, contacts, shared cells and face pieces of every tile."""
+@dataclass
+class TileNodes:
+    """Nodes of whole closed tiles as arrays; contacts and shared cells name nodes by their row."""
+
+    group: np.ndarray
+    side: np.ndarray
+    value: np.ndarray
+    size: np.ndarray
+    contacts: tuple[np.ndarray, np.ndarray]
+    shared: tuple[np.ndarray, np.ndarray, np.ndarray]  # node of the predicted mask, of the reference, cells
+
+
+def _tile_sums(nodes: TileNodes, values: np.ndarray, wanted: Sequence[Sequence[int]], n_groups: int, min_cells: int) -> np.ndarray:
+    """``SCORE_SUMS`` by variant, target and tile.  ``values`` has a row per variant: the nodes' values, 0 for a node that is gone."""
+    n, own = len(nodes.size), np.arange(len(nodes.size))
+    x, y = nodes.contacts
+    p, r, cells = nodes.shared
+    out = np.zeros((len(values), len(wanted), n_groups, len(SCORE_SUMS)))
+
+    def total(rows: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(nodes.group[rows], None if weights is None else weights, n_groups)
+
+    for v, value in enumerate(values):
+        for t, chosen in enumerate(wanted):
+            member = np.isin(value, chosen)
+            near = member[x] & member[y]
+            root = _merge_pieces(n, x[near], y[near]) if near.any() else own
+            size = np.bincount(root[member], nodes.size[member], n)
+            head = member & (root == own)
+            comps, refs = np.flatnonzero(head & (nodes.side == PRED)), np.flatnonzero(head & (nodes.side == REF))
+            meet = member[p] & member[r]
+            mine, theirs, shared = root[p[meet]], root[r[meet]], cells[meet]
+            pair = np.unique(mine * n + theirs)
+            one, other = pair // max(1, n), pair % max(1, n)
+            met = np.unique(one[(size[one] >= min_cells) & (size[other] >= min_cells)])
+            under = np.bincount(theirs, shared, n)
+            found = refs[(size[refs] >= min_cells) & (under[refs] > 0)]
+            touching = np.bincount(other, size[one], n)
+            out[v, t] = np.stack([
+                total(comps, size[comps]), total(comps[size[comps] >= min_cells]), total(refs, size[refs]),
+                total(refs[size[refs] >= min_cells]), total(mine, shared), total(met),
+                total(found, 2.0 * under[found] / (size[found] + touching[found])), total(found),
+            ], 1)
+    return out
+
+
+def _sum_rows(sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Variant, target, tile and sums of every entry that is not empty."""
+    v, t, g = np.nonzero(sums.any(-1))
+    return v, t, g, sums[v, t, g]
+
+
+def _sums_column(values: np.ndarray, rows: int) -> pa.Array:
+    """``values`` as lists, after ``rows`` rows without any."""
+    width = len(SCORE_SUMS)
+    bounds = np.concatenate([np.zeros(rows, np.int32), np.arange(len(values) + 1, dtype=np.int32) * width])
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values.ravel()))
+
+
+def _tile_graph(
+    boundary: Sequence[str], tile: int, edits: Callable[[TileNodes], np.ndarray] | None = None,
+    wanted: Sequence[Sequence[int]] = (), min_cells: int = MIN_CELLS,
+):
+    """Function for ``mapInArrow``: pieces, contacts, shared cells and face pieces of every tile.
+
+    With ``edits``, which gives the values of the nodes in every variant of the predicted mask, closed
+    tiles give their sums by variant (``side``) and target (``value``) instead.
+    """
 
     def finish(table: pa.Table) -> pa.RecordBatch:
         change = changes(table, boundary)
-        cells = np.stack([table[c].to_numpy() for c in CELL], 1).astype(np.int64)
+        cells = cells_of = np.stack([table[c].to_numpy() for c in CELL], 1).astype(np.int64)
         side, value = table["side"].to_numpy(), table["value"].to_numpy()
         again = np.zeros(len(side), bool)
         again[1:] = (change[1:] == 0) & (cells[1:] == cells[:-1]).all(1) & (side[1:] == side[:-1])
@@ -96,8 +170,9 @@ def _tile_graph(boundary: Sequence[str], tile: int):
         alike = value[x] == value[y]
         root = _merge_pieces(len(code), x[alike], y[alike])
         piece = packed[root]
-        where = x[~alike]
-        x, y = piece[where], piece[y[~alike]]
+        x_row, y_row = x[~alike], y[~alike]
+        where = x_row
+        x, y = piece[x_row], piece[y_row]
         p, r = np.flatnonzero(side == PRED), np.flatnonzero(side == REF)
         spot = np.searchsorted(code[p], code[r])
         fits = spot < len(p)
@@ -117,19 +192,41 @@ def _tile_graph(boundary: Sequence[str], tile: int):
         for axis, shift in enumerate((2 * _BITS, _BITS, 0)):
             for role, rows in ((0, np.flatnonzero(local[:, axis] == tile - 1)), (1, np.flatnonzero((local[:, axis] == 0) & (cells[:, axis] > 0)))):
                 found.append((FACE, group[rows], side[rows], packed[rows] - (role << shift), piece[rows], 2 * axis + role, value[rows]))
+        closed = np.ones(len(first), bool)
+        for face in found[3:]:
+            closed[face[1]] = False
         kind, g, s, a, b, n, v = (
             np.concatenate([np.broadcast_to(np.asarray(f[c], np.int64), f[1].shape) for f in found]) for c in range(7)
         )
+        scores, values = [], np.zeros((0, len(SCORE_SUMS)))
+        if edits is not None:
+            stays = ~closed[g]
+            row = np.full(len(root), -1)
+            inside = heads[closed[group[heads]]]
+            row[inside] = np.arange(len(inside))
+            touch, common = closed[group[where]], closed[group[shared[0]]]
+            ends = row[root[x_row[touch]]], row[root[y_row[touch]]]
+            pairs, counts = np.unique(row[root[shared[0][common]]] * max(1, len(root)) + row[root[shared[1][common]]], return_counts=True)
+            nodes = TileNodes(
+                group[inside], side[inside], value[inside], np.bincount(root, minlength=len(root))[inside], ends,
+                (pairs // max(1, len(root)), pairs % max(1, len(root)), counts),
+            )
+            variant, target, at, values = _sum_rows(_tile_sums(nodes, edits(nodes), wanted, len(first), min_cells))
+            scores = [np.full(len(at), SCORE), at, variant, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), target]
+            kind, g, s, a, b, n, v = (np.concatenate([c[stays], c2]) for c, c2 in zip((kind, g, s, a, b, n, v), scores))
         case = table["case_id"].combine_chunks().take(pa.array(first[g]))
+        corner = cells_of[first] // tile
+        home = np.where(closed, (corner[:, 0] << 2 * _BITS) | (corner[:, 1] << _BITS) | corner[:, 2], -1)[g]
         return pa.RecordBatch.from_arrays(
-            [case, *[pa.array(c.astype(np.int32)) for c in (kind, s, v)], pa.array(a), pa.array(b), pa.array(n)], ["case_id", "kind", "side", "value", "a", "b", "n"]
+            [case, *[pa.array(c.astype(np.int32)) for c in (kind, s, v)], *[pa.array(c) for c in (a, b, n, home)], _sums_column(values, len(g) - len(values))],
+            ["case_id", "kind", "side", "value", "a", "b", "n", "home", "sums"],
         )
 
     return per_tile(boundary, finish)
 
 
-def contact_graph(pred: DataFrame, ref: DataFrame, *, tile: int = DEFAULT_TILE) -> ContactGraph:
-    """Class regions of both masks and how they meet.  A mask that gives a cell two values is refused."""
+def _met_tiles(pred: DataFrame, ref: DataFrame, tile: int, *work) -> DataFrame:
+    """What the tasks give that hold the tiles of both masks, see ``_tile_graph``."""
     cells = pred.where("value > 0").select(F.lit(PRED).alias("side"), "case_id", *CELL, "value").unionByName(
         ref.where("value > 0").select(F.lit(REF).alias("side"), "case_id", *CELL, "value")
     )
@@ -139,18 +236,28 @@ def contact_graph(pred: DataFrame, ref: DataFrame, *, tile: int = DEFAULT_TILE)
         *[packable(c).alias(c) for c in CELL], "side", F.col("value").cast("int").alias("value"),
     ).repartition(*boundary).sortWithinPartitions(*boundary, *CELL, "side", "value")
     case = cells.schema["case_id"].dataType.simpleString()
-    met = cut(placed.mapInArrow(_tile_graph(boundary, tile), f"case_id {case}, kind int, side int, value int, a long, b long, n long"))
+    return cut(placed.mapInArrow(_tile_graph(boundary, tile, *work), f"case_id {case}, {_TILE_ROW}, sums array<double>"))
+
+
+def contact_graph(pred: DataFrame, ref: DataFrame, *, tile: int = DEFAULT_TILE) -> ContactGraph:
+    """Class regions of both masks and how they meet.  A mask that gives a cell two values is refused."""
+    return _graph_of(_met_tiles(pred, ref, tile))
+
 
+def _graph_of(met: DataFrame) -> ContactGraph:
+    """Pieces that continue across a face are one region."""
     low, high = F.col("n") % 2 == 0, F.col("n") % 2 == 1
     across = cut(met.where(F.col("kind") == FACE).groupBy("side", "case_id", F.expr("n div 2").alias("axis"), F.col("a").alias("at")).agg(
         F.max(F.when(low, F.col("b"))).alias("a"), F.max(F.when(high, F.col("b"))).alias("b"),
         F.max(F.when(low, F.col("value"))).alias("va"), F.max(F.when(high, F.col("value"))).alias("vb"),
     ).where("va is not null and vb is not null").select("side", "case_id", "a", "b", (F.col("va") == F.col("vb")).alias("alike")).distinct())
-    nodes = met.where(F.col("kind") == NODE).select("side", "case_id", "value", F.col("a").alias("node"), F.col("n").alias("n_cells"))
-    contacts = met.where(F.col("kind") == CONTACT).select("side", "case_id", "a", "b").unionByName(
-        across.where("not alike").select("side", "case_id", "a", "b")
+    nodes = met.where(F.col("kind") == NODE).select("side", "case_id", "value", F.col("a").alias("node"), F.col("n").alias("n_cells"), "home")
+    contacts = met.where(F.col("kind") == CONTACT).select("side", "case_id", "a", "b", "home").unionByName(
+        across.where("not alike").select("side", "case_id", "a", "b", F.lit(-1).cast("long").alias("home"))
+    )
+    shared = met.where(F.col("kind") == SHARED).select(
+        "case_id", F.col("a").alias("pred_node"), F.col("b").alias("ref_node"), F.col("n").alias("shared"), "home"
     )
-    shared = met.where(F.col("kind") == SHARED).select("case_id", F.col("a").alias("pred_node"), F.col("b").alias("ref_node"), F.col("n").alias("shared"))
     alike = across.where("alike")
     if alike.isEmpty():  # no region continues across a face
         return ContactGraph(nodes, contacts, shared)
@@ -162,11 +269,11 @@ def contact_graph(pred: DataFrame, ref: DataFrame, *, tile: int = DEFAULT_TILE)
         return rows.join(known, on, "left").withColumn(column, F.coalesce("root", column)).drop("_side", "_case", "_node", "root")
 
     own = F.col("side")
-    nodes = rooted(nodes, "node", own).groupBy("side", "case_id", "value", "node").agg(F.sum("n_cells").alias("n_cells"))
+    nodes = rooted(nodes, "node", own).groupBy("side", "case_id", "value", "node", "home").agg(F.sum("n_cells").alias("n_cells"))
     pairs = rooted(rooted(contacts, "a", own), "b", own)
-    contacts = pairs.select("side", "case_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    contacts = pairs.select("side", "case_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "home").distinct()
     shared = rooted(rooted(shared, "pred_node", F.lit(PRED)), "ref_node", F.lit(REF))
-    shared = shared.groupBy("case_id", "pred_node", "ref_node").agg(F.sum("shared").alias("shared"))
+    shared = shared.groupBy("case_id", "pred_node", "ref_node", "home").agg(F.sum("shared").alias("shared"))
     return ContactGraph(cut(nodes), cut(contacts), cut(shared))
 
 
@@ -274,21 +381,17 @@ def target_regions(
     )
 
 
-def score_edits(
-    graph: ContactGraph, kept: DataFrame, cases: DataFrame, targets: Mapping[str, Iterable[int]],
-    variants: tuple[str, Column], *, min_cells: int = MIN_CELLS,
+def _graph_sums(
+    graph: ContactGraph, edited: DataFrame, targets: Mapping[str, Iterable[int]], variants: tuple[str, Column], min_cells: int
 ) -> DataFrame:
-    """Scores of every case, target and variant of the predicted mask.
-
-    ``kept`` has the nodes of each variant (``<variant>, case_id, node, value, n_cells``);
-    ``variants`` is the name of that column and the list of its values, so that a variant without nodes is scored too.
-    """
-    name, values = variants
+    """Sums of ``score_edits`` by joins on the graph, for regions of any extent."""
+    name, levels = variants
     keys = [name, "case_id", "target"]
     # The reference is one more variant, whose values differ from all others by their side.
     columns = ["side", name, "case_id", "node", "value", "n_cells"]
-    nodes = kept.withColumn("side", F.lit(PRED)).select(*columns).unionByName(
-        graph.nodes.where(F.col("side") == REF).withColumn(name, F.get(values, F.lit(0))).select(*columns)
+    kept = edited.drop("value").select("*", F.posexplode("values").alias("_v", "value")).where("value > 0")
+    nodes = kept.withColumns({"side": F.lit(PRED), name: F.get(levels, F.col("_v"))}).select(*columns).unionByName(
+        graph.nodes.where(F.col("side") == REF).withColumn(name, F.get(levels, F.lit(0))).select(*columns)
     )
     regions = cut(target_regions(nodes, graph.contacts, targets, ["side", name, "case_id"], ["side", "case_id"]))
     mine, theirs = regions.where(F.col("side") == PRED), regions.where(F.col("side") == REF)
@@ -300,7 +403,129 @@ def score_edits(
     overlap = pairs.groupBy(*keys, "comp_id", "ref_id").agg(
         F.sum("shared").alias("shared"), F.max("n_cells").alias("n_cells"), F.max("ref_cells").alias("ref_cells")
     )
-    grid = case_target_grid(cases.select("case_id").distinct().select("case_id", F.explode(values).alias(name)), targets, [name, "case_id"])
     comps = mine.where("head").select(*keys, "n_cells")
     refs = theirs.where("head").select("case_id", "target", F.col("n_cells").alias("ref_cells"))
-    return score_tables(comps, refs, overlap, grid, keys, ["case_id", "target"], min_cells=min_cells)
+    return score_sums(comps, refs, overlap, keys, (name, levels), min_cells=min_cells)
+
+
+def _home_scorer(n_variants: int, wanted: Sequence[Sequence[int]], min_cells: int):
+    """Function for ``mapInArrow``: sums of closed tiles from the rows of their nodes, contacts and shared cells."""
+    boundary = ["case_id", "home"]
+
+    def finish(table: pa.Table) -> pa.RecordBatch:
+        change = changes(table, boundary)
+        group, first = np.cumsum(change), np.concatenate([[0], np.flatnonzero(change)])
+        kind, side, a, b, n = (table[c].to_numpy() for c in ("kind", "side", "a", "b", "n"))
+        rows = {k: np.flatnonzero(kind == k) for k in (NODE, CONTACT, SHARED)}
+        names = np.unique(a[rows[NODE]])
+        held = (group[rows[NODE]] * 2 + side[rows[NODE]]) * len(names) + np.searchsorted(names, a[rows[NODE]])
+
+        def row(at: np.ndarray, of: np.ndarray, node: np.ndarray) -> np.ndarray:
+            return np.searchsorted(held, (group[at] * 2 + of) * len(names) + np.searchsorted(names, node))
+
+        near, common, node = rows[CONTACT], rows[SHARED], rows[NODE]
+        values = table["values"].combine_chunks().take(pa.array(node)).flatten().to_numpy().reshape(-1, n_variants).T
+        nodes = TileNodes(
+            group[node], side[node], values[0], n[node], (row(near, side[near], a[near]), row(near, side[near], b[near])),
+            (row(common, PRED, a[common]), row(common, REF, b[common]), n[common]),
+        )
+        variant, target, at, sums = _sum_rows(_tile_sums(nodes, values, wanted, len(first), min_cells))
+        case = table["case_id"].combine_chunks().take(pa.array(first[at]))
+        columns = [pa.array(variant.astype(np.int32)), pa.array(target.astype(np.int32)), _sums_column(sums, 0)]
+        return pa.RecordBatch.from_arrays([case, *columns], ["case_id", "side", "value", "sums"])
+
+    return per_tile(boundary, finish)
+
+
+def _home_sums(graph: ContactGraph, edited: DataFrame, n_variants: int, wanted: Sequence[Sequence[int]], min_cells: int) -> DataFrame:
+    """Sums of the closed tiles, whose nodes meet again in one task."""
+    columns = ["case_id", "home", "kind", "side", "a", "b", "n", "values"]
+    none, zero = F.lit(None).cast("array<int>"), F.lit(0).cast("long")
+
+    def node(rows: DataFrame, side: int, values: Column) -> DataFrame:
+        made = {"kind": F.lit(NODE), "side": F.lit(side), "a": F.col("node"), "b": zero, "n": F.col("n_cells"), "values": values.cast("array<int>")}
+        return rows.withColumns(made).select(*columns)
+
+    rows = node(edited, PRED, F.col("values")).unionByName(
+        node(graph.nodes.where(F.col("side") == REF), REF, F.array_repeat("value", n_variants))
+    ).unionByName(
+        graph.contacts.withColumns({"kind": F.lit(CONTACT), "n": zero, "values": none}).select(*columns)
+    ).unionByName(
+        graph.shared.withColumns({
+            "kind": F.lit(SHARED), "side": F.lit(PRED), "a": F.col("pred_node"), "b": F.col("ref_node"), "n": F.col("shared"), "values": none,
+        }).select(*columns)
+    ).where("home >= 0")
+    placed = rows.repartition("case_id", "home").sortWithinPartitions("case_id", "home", "kind", "side", "a")
+    case = rows.schema["case_id"].dataType.simpleString()
+    return placed.mapInArrow(_home_scorer(n_variants, wanted, min_cells), f"case_id {case}, side int, value int, sums array<double>")
+
+
+def _named_sums(rows: DataFrame, variants: tuple[str, Column], targets: Mapping[str, Iterable[int]]) -> DataFrame:
+    """Rows of a task with the names of their variant and target."""
+    name, levels = variants
+    names = F.array(*[F.lit(t) for t in targets])
+    return rows.select(
+        F.get(levels, F.col("side")).alias(name), "case_id", F.get(names, F.col("value")).alias("target"),
+        *[F.get("sums", F.lit(n)).alias(c) for n, c in enumerate(SCORE_SUMS)],
+    )
+
+
+def _finished(sums: Sequence[DataFrame], cases: DataFrame, targets: Mapping[str, Iterable[int]], variants: tuple[str, Column]) -> DataFrame:
+    name, levels = variants
+    grid = case_target_grid(cases.select("case_id").distinct().select("case_id", F.explode(levels).alias(name)), targets, [name, "case_id"])
+    return finish_scores(reduce(DataFrame.unionByName, sums), grid, [name, "case_id", "target"])
+
+
+def score_edits(
+    graph: ContactGraph, edited: DataFrame, cases: DataFrame, targets: Mapping[str, Iterable[int]],
+    variants: tuple[str, Sequence], *, min_cells: int = MIN_CELLS,
+) -> DataFrame:
+    """Scores of every case, target and variant of the predicted mask.
+
+    ``edited`` has the nodes of the predicted mask (``case_id, node, n_cells, home``) with their ``values``, one per
+    variant, 0 where the node is gone; ``variants`` is the name of the variant's column and its values.
+    """
+    levels = F.array(*[F.lit(v) for v in variants[1]])
+    wanted = [tuple(int(x) for x in values) for values in targets.values()]
+    edited = cut(edited.select("case_id", "node", "n_cells", "home", "values"))
+    sums = [_named_sums(_home_sums(graph, edited, len(variants[1]), wanted, min_cells), (variants[0], levels), targets)]
+    across = _open_part(graph)
+    if not across.nodes.isEmpty():
+        sums.append(_graph_sums(across, edited.where("home < 0").withColumn("value", F.lit(0)), targets, (variants[0], levels), min_cells))
+    return _finished(sums, cases, targets, (variants[0], levels))
+
+
+def _open_part(graph: ContactGraph) -> ContactGraph:
+    return ContactGraph(*[rows.where("home < 0") for rows in (graph.nodes, graph.contacts, graph.shared)])
+
+
+def score_masks(
+    pred: DataFrame, ref: DataFrame, cases: DataFrame, targets: Mapping[str, Iterable[int]], variants: tuple[str, Sequence],
+    edits: Callable[[TileNodes], np.ndarray], edited: Callable[[ContactGraph], DataFrame], *, min_cells: int = MIN_CELLS, tile: int = DEFAULT_TILE,
+) -> DataFrame:
+    """``score_edits`` for edits that depend on a region and what it meets: the tasks that read the cells of closed tiles score them.
+
+    ``edits`` gives the values of a closed tile's nodes by variant, ``edited`` the same for a graph of the other tiles
+    as the predicted nodes with ``values``.
+    """
+    levels = F.array(*[F.lit(v) for v in variants[1]])
+    wanted = [tuple(int(x) for x in values) for values in targets.values()]
+    met = _met_tiles(pred, ref, tile, edits, wanted, min_cells)
+    sums = [_named_sums(met.where(F.col("kind") == SCORE), (variants[0], levels), targets)]
+    rest = met.where(F.col("kind") != SCORE)
+    if not rest.isEmpty():
+        graph = _graph_of(rest)
+        sums.append(_graph_sums(graph, edited(graph), targets, (variants[0], levels), min_cells))
+    return _finished(sums, cases, targets, (variants[0], levels))
+
+
+def _as_they_are(nodes: TileNodes) -> np.ndarray:
+    return nodes.value[None, :]
+
+
+def score_as_is(pred: DataFrame, ref: DataFrame, cases: DataFrame, targets: Mapping[str, Iterable[int]], **options) -> DataFrame:
+    """Scores of the masks as they are: every region of a closed tile is made and counted where its cells are read."""
+    def edited(graph: ContactGraph) -> DataFrame:
+        return graph.side(PRED)[0].withColumn("values", F.array("value"))
+
+    return score_masks(pred, ref, cases, targets, ("_variant", (0,)), _as_they_are, edited, **options).drop("_variant")

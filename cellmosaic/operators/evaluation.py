@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import MIN_CELLS, break_even, dice, finite, struct_max
 from ..functions.runtime import cut
-from .contacts import PRED, ContactGraph, contact_graph, score_edits
+from .contacts import PRED, REF, ContactGraph, TileNodes, contact_graph, match_nodes, nodes_under, score_edits, score_masks
 from .filters import ORACLES, oracle_fates, threshold_of, with_decisions
 from .matching import score_cases
 from .ranking import exact_percentiles, ranked, running_totals
@@ -307,10 +308,16 @@ def sweep_sizes(
 
     Cells are labelled once; a threshold keeps the nodes of the contact graph that reach it.
     """
-    graph = contact_graph(pred, ref, **options)
-    levels = F.array(*[F.lit(int(g)) for g in grid])
-    kept = graph.side(PRED)[0].withColumn("threshold", F.explode(F.filter(levels, lambda t: t <= F.col("n_cells"))))
-    return score_edits(graph, kept, cases, targets, ("threshold", levels), min_cells=min_cells)
+    levels = [int(g) for g in grid]
+
+    def edits(nodes: TileNodes) -> np.ndarray:
+        return np.stack([np.where((nodes.side == REF) | (nodes.size >= t), nodes.value, 0) for t in levels])
+
+    def edited(graph: ContactGraph) -> DataFrame:
+        left = [F.when(F.col("n_cells") >= t, F.col("value")).otherwise(0) for t in levels]
+        return graph.side(PRED)[0].withColumn("values", F.array(*left))
+
+    return score_masks(pred, ref, cases, targets, ("threshold", levels), edits, edited, min_cells=min_cells, **options)
 
 
 def sweep_summary(sweep: DataFrame) -> DataFrame:
@@ -335,27 +342,59 @@ def best_thresholds(summary: DataFrame, classes: Iterable[str]) -> DataFrame:
 
 def compare_variants(
     pred: DataFrame, ref: DataFrame, cases: DataFrame, targets: Mapping[str, Iterable[int]],
-    thresholds: int | Mapping[int, int], decisions: DataFrame, *, min_cells: int = MIN_CELLS, **options,
+    thresholds: int | Mapping[int, int], decisions: DataFrame | Callable[[DataFrame], DataFrame], *, min_cells: int = MIN_CELLS, **options,
 ) -> DataFrame:
-    """Scores of the mask as it is, after the size filter and after the decisions, from one contact graph."""
+    """Scores of the mask as it is, after the size filter and after the decisions, from one contact graph.
+
+    ``decisions`` may be a function that adds ``keep`` to the regions (``case_id, class_value, comp_id, n_cells``)
+    where a region's own row decides; no region is joined to a table then.
+    """
     graph = contact_graph(pred, ref, **options)
-    decided = with_decisions(graph.numbered(PRED), decisions)
-    names = F.array(*[F.lit(n) for n in ("none", "size", "selector")])
+    regions = graph.numbered(PRED)
+    decided = decisions(regions) if callable(decisions) else with_decisions(regions, decisions)
     big, keep = F.col("n_cells") >= threshold_of(thresholds), F.coalesce("keep", F.lit(True))
-    chosen = F.array(F.lit("none"), F.when(big, F.lit("size")), F.when(keep, F.lit("selector")))
-    kept = decided.withColumn("variant", F.explode(F.array_compact(chosen)))
-    return score_edits(graph, kept, cases, targets, ("variant", names), min_cells=min_cells)
+    own = F.col("value")
+    edited = decided.withColumn("values", F.array(own, F.when(big, own).otherwise(0), F.when(keep, own).otherwise(0)))
+    return score_edits(graph, edited, cases, targets, ("variant", ("none", "size", "selector")), min_cells=min_cells)
 
 
 def score_oracles(
     graph: ContactGraph, origin: DataFrame, cases: DataFrame, targets: Mapping[str, Iterable[int]], *, min_cells: int = MIN_CELLS
 ) -> DataFrame:
     """Scores of the masks of ``filters.oracle_masks`` without building them: fates are given to nodes."""
-    kept = oracle_fates(graph.numbered(PRED), origin).drop("value").select("*", F.explode("fates").alias("_f")).select(
-        "case_id", "node", "n_cells", "_f.variant", "_f.value"
-    ).where("value > 0")
-    names = F.array(*[F.lit(n) for n in ORACLES])
-    return score_edits(graph, kept, cases, targets, ("variant", names), min_cells=min_cells)
+    return score_edits(graph, _with_fates(graph, origin), cases, targets, ("variant", ORACLES), min_cells=min_cells)
+
+
+def _with_fates(graph: ContactGraph, origin: DataFrame) -> DataFrame:
+    return oracle_fates(graph.numbered(PRED), origin).withColumn("values", F.col("fates.value"))
+
+
+def score_oracle_masks(
+    pred: DataFrame, ref: DataFrame, cases: DataFrame, targets: Mapping[str, Iterable[int]], *,
+    min_cells: int = MIN_CELLS, majority: float = 0.5, **options,
+) -> DataFrame:
+    """:func:`score_oracles` of the false positives of ``match_classes``, without their tables."""
+
+    def edits(nodes: TileNodes) -> np.ndarray:
+        n, own = len(nodes.size), nodes.value
+        p, r, cells = nodes.shared
+        hit = p[(own[p] == own[r]) & (nodes.size[r] >= min_cells)]
+        false = (nodes.side == PRED) & (nodes.size >= min_cells)
+        false[hit] = False
+        classes, called = np.unique(own[nodes.side == REF]), np.zeros(n, own.dtype)
+        votes = np.stack([np.bincount(p[own[r] == c], cells[own[r] == c], n) for c in classes]) if len(classes) else np.zeros((1, n))
+        enough = votes.sum(0) / nodes.size >= majority
+        if len(classes):
+            called[enough] = classes[votes.argmax(0)][enough]
+        renamed = np.where(false & (called > 0), called, own)
+        return np.stack([own, renamed, np.where(false, 0, own), np.where(false, called, own)])
+
+    def edited(graph: ContactGraph) -> DataFrame:
+        region = ["case_id", "class_value", "comp_id"]
+        lost = match_nodes(graph, min_cells=min_cells).comps.where("false_positive").select(*region)
+        return _with_fates(graph, cut(nodes_under(graph, PRED, majority=majority).join(lost, region, "left_semi")))
+
+    return score_masks(pred, ref, cases, targets, ("variant", ORACLES), edits, edited, min_cells=min_cells, **options)
 
 
 def evaluate_masks(

@@ -12,6 +12,9 @@ from ..functions.runtime import cut
 from .labelling import label_pieces, label_regions, region_sizes
 
 CELL = ("i", "j", "k")
+#: What regions add to the scores of a case: cells and regions that count on both sides, shared cells, predicted regions
+#: that count and meet, Dice of the reference regions found, and their number.
+SCORE_SUMS = ("pred_cells", "decidable", "ref_cells", "scored", "shared", "met", "dice_sum", "found")
 
 
 @dataclass(frozen=True)
@@ -179,6 +182,10 @@ def score_cases(
     same for all of them and is labelled once.
     """
     targets = targets or default_targets()
+    if variants is None and list(keys) == ["case_id"]:
+        from .contacts import score_as_is  # which builds on this module
+
+        return score_as_is(pred, ref, cases, targets, min_cells=min_cells, **options)
     full = [*keys, "target"]
     if variants is not None:
         ref = ref.withColumn(variants[0], F.get(variants[1], F.lit(0)))
@@ -205,34 +212,50 @@ def score_matching(matching: Matching, grid: DataFrame, keys: Sequence[str]) ->
     )
 
 
-def score_tables(
-    comps: DataFrame, refs: DataFrame, overlap: DataFrame, grid: DataFrame, keys: Sequence[str], ref_keys: Sequence[str], *,
-    min_cells: int = MIN_CELLS,
+def score_sums(
+    comps: DataFrame, refs: DataFrame, overlap: DataFrame, keys: Sequence[str], variants: tuple[str, Column], *, min_cells: int = MIN_CELLS,
 ) -> DataFrame:
-    """Case scores from region sizes and overlaps, by counting: no region is joined to another table.
+    """``SCORE_SUMS`` from region sizes and overlaps, by counting: no region is joined to another table.
 
-    ``comps`` has ``keys, n_cells`` per predicted region, ``refs`` has ``ref_keys, ref_cells`` per
-    reference region (the same for all variants that ``keys`` may add), ``overlap`` is as in ``overlap_table``.
-    Regions without a match are those that are counted and not met.
+    ``comps`` has ``keys, n_cells`` per predicted region, ``overlap`` is as in ``overlap_table``, ``refs`` has the other
+    keys and ``ref_cells`` per reference region, the same for all ``variants`` (a key and the list of its values).
     """
-    keys, ref_keys = list(keys), list(ref_keys)
+    keys = list(keys)
+    others = [k for k in keys if k != variants[0]]
     scored, real = F.col("ref_cells") >= min_cells, F.col("n_cells") >= min_cells
-    comp_side = comps.groupBy(*keys).agg(F.sum("n_cells").alias("_p"), F.count_if(real).alias("_decidable"))
-    ref_side = refs.groupBy(*ref_keys).agg(F.sum("ref_cells").alias("_r"), F.count_if(scored).alias("_n"))
-    per_comp = overlap.groupBy(*keys, "comp_id").agg(F.sum("shared").alias("_shared"), F.max(real & scored).alias("_met"))
-    met_comps = per_comp.groupBy(*keys).agg(F.sum("_shared").alias("_s"), F.count_if("_met").alias("_met"))
+    per_comp = overlap.groupBy(*keys, "comp_id").agg(F.sum("shared").alias("shared"), F.max(real & scored).alias("_met"))
     per_ref = overlap.groupBy(*keys, "ref_id").agg(
-        F.max("ref_cells").alias("ref_cells"), F.sum("shared").alias("_shared"), F.sum("n_cells").alias("_other")
+        F.max("ref_cells").alias("ref_cells"), F.sum("shared").alias("shared"), F.sum("n_cells").alias("_other")
     ).where(scored)
-    entry = 2.0 * F.col("_shared") / (F.col("ref_cells") + F.col("_other"))
-    met_refs = per_ref.groupBy(*keys).agg(F.sum(entry).alias("_sum"), F.count(F.lit(1)).alias("_found"))
-    rows = grid.select(*keys)
-    for side, on in ((comp_side, keys), (ref_side, ref_keys), (met_comps, keys), (met_refs, keys)):
-        rows = rows.join(side, on, "left")
-    n, found, false = (F.coalesce(F.col(c), F.lit(0)) for c in ("_n", "_found", "_decidable"))
-    false = false - F.coalesce("_met", F.lit(0))
+    parts = (
+        comps.groupBy(*keys).agg(F.sum("n_cells").alias("pred_cells"), F.count_if(real).alias("decidable")),
+        refs.groupBy(*others).agg(F.sum("ref_cells").alias("ref_cells"), F.count_if(scored).alias("scored"))
+        .withColumn(variants[0], F.explode(variants[1])),
+        per_comp.groupBy(*keys).agg(F.sum("shared").alias("shared"), F.count_if("_met").alias("met")),
+        per_ref.groupBy(*keys).agg(
+            F.sum(2.0 * F.col("shared") / (F.col("ref_cells") + F.col("_other"))).alias("dice_sum"), F.count(F.lit(1)).alias("found")
+        ),
+    )
+
+    def filled(part: DataFrame) -> DataFrame:
+        zero = F.lit(0.0)
+        return part.select(*keys, *[(F.col(c).cast("double") if c in part.columns else zero).alias(c) for c in SCORE_SUMS])
+
+    first, *rest = [filled(part) for part in parts]
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
+def finish_scores(sums: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Case scores of every row of ``grid`` from the ``SCORE_SUMS`` of its regions."""
+    keys = list(keys)
+    total = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SCORE_SUMS])
+    rows = grid.select(*keys).join(total, keys, "left").fillna(0.0, list(SCORE_SUMS))
+    n, found = F.col("scored"), F.col("found")
+    false = F.col("decidable") - F.col("met")
     return rows.select(
-        *keys, dice("_p", "_r", "_s").alias("dice"),
-        F.when(n + false == 0, F.lit(1.0)).otherwise(F.coalesce("_sum", F.lit(0.0)) / (n + false)).alias("lesion_dice"),
-        (n - found).alias("lesions_missed"), false.alias("lesions_false"), F.col("_r").isNotNull().alias("present"),
+        *keys, dice("pred_cells", "ref_cells", "shared").alias("dice"),
+        F.when(n + false == 0, F.lit(1.0)).otherwise(F.col("dice_sum") / (n + false)).alias("lesion_dice"),
+        (n - found).cast("long").alias("lesions_missed"), false.cast("long").alias("lesions_false"), (F.col("ref_cells") > 0).alias("present"),
     )

@@ -134,3 +134,28 @@ def test_half_of_all_cells_in_one_case_is_many_tasks(spark):
     graph = ct.contact_graph(cells, cells, tile=8)
     assert {(r.case_id, r.n_cells) for r in graph.side(ct.PRED)[0].collect()} == {("giant", 64_000)} | {(f"s{n}", 512) for n in range(60)}
     assert graph.shared.count() == 61
+
+
+SCORES = ["case_id", "target", "dice", "lesion_dice", "lesions_missed", "lesions_false", "present"]
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Small cases that one tile of 8 holds without touching its far faces, beside one over many tiles."""
+    def made(seed):
+        return {**volumes(seed, 3, edge=6), **{"big" + c: v for c, v in volumes(seed + 10, 1, edge=14, empty=False).items()}}
+    cases = spark.createDataFrame([(c,) for c in ("c0", "c1", "c2", "bigc0", "none", "absent")], "case_id string")
+    return volume_cells(spark, made(1)).cache(), volume_cells(spark, made(2)).cache(), cases
+
+
+def _decided(regions):
+    return regions.withColumn("keep", (F.col("comp_id") + F.col("n_cells")) % 3 != 0)
+
+
+def test_compare_variants_of_closed_and_open_tiles(mixed):
+    got = [rows(ev.compare_variants(*mixed, TARGETS, {1: 5, 2: 9}, _decided, min_cells=4, tile=t).select("variant", *SCORES)) for t in (32, 8, 3)]
+    assert len(got[0]) == 6 * 5 * 3
+    close(got[0], got[1])
+    close(got[0], got[2])
+    labelled = _decided(fl.match_classes(*mixed[:2], min_cells=4)[2].comps.select(*KEYS, "n_cells"))
+    close(got[0], rows(ev.compare_variants(*mixed, TARGETS, {1: 5, 2: 9}, labelled, min_cells=4, tile=8).select("variant", *SCORES)))
