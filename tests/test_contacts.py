@@ -159,3 +159,9 @@ def test_compare_variants_of_closed_and_open_tiles(mixed):
     close(got[0], got[2])
     labelled = _decided(fl.match_classes(*mixed[:2], min_cells=4)[2].comps.select(*KEYS, "n_cells"))
     close(got[0], rows(ev.compare_variants(*mixed, TARGETS, {1: 5, 2: 9}, labelled, min_cells=4, tile=8).select("variant", *SCORES)))
+
+
+def test_oracle_masks_of_closed_and_open_tiles(mixed):
+    want = rows(attribute_errors(*mixed, TARGETS, min_cells=4)["scores"].select("variant", *SCORES))
+    for t in (32, 8, 3):
+        close(rows(ev.score_oracle_masks(*mixed, TARGETS, min_cells=4, tile=t).select("variant", *SCORES)), want)
