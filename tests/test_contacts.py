@@ -165,3 +165,9 @@ def test_oracle_masks_of_closed_and_open_tiles(mixed):
     want = rows(attribute_errors(*mixed, TARGETS, min_cells=4)["scores"].select("variant", *SCORES))
     for t in (32, 8, 3):
         close(rows(ev.score_oracle_masks(*mixed, TARGETS, min_cells=4, tile=t).select("variant", *SCORES)), want)
+
+
+def test_sweep_of_closed_and_open_tiles(mixed):
+    got = [rows(ev.sweep_sizes(*mixed, TARGETS, (0, 3, 6, 10_000), min_cells=4, tile=t).select("threshold", *SCORES)) for t in (32, 8, 3)]
+    close(got[0], got[1])
+    close(got[0], got[2])
