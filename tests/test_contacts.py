@@ -171,3 +171,15 @@ def test_sweep_of_closed_and_open_tiles(mixed):
     got = [rows(ev.sweep_sizes(*mixed, TARGETS, (0, 3, 6, 10_000), min_cells=4, tile=t).select("threshold", *SCORES)) for t in (32, 8, 3)]
     close(got[0], got[1])
     close(got[0], got[2])
+
+
+def test_scores_leave_closed_tiles_as_sums(mixed):
+    pred, ref, cases = mixed
+    wanted = list(TARGETS.values())
+    met = ct._met_tiles(pred, ref, 32, ct._as_they_are, wanted, 4)
+    assert met.where(F.col("kind") != ct.SCORE).isEmpty() and met.count() <= 4 * len(TARGETS)
+    # The general way, with a key more, labels the masks of the targets cell by cell.
+    more = [d.withColumn("run", F.lit("x")) for d in mixed]
+    want = rows(mt.score_cases(*more, TARGETS, min_cells=4, keys=["run", "case_id"]).select(*SCORES))
+    for t in (32, 8, 3):
+        close(rows(mt.score_cases(*mixed, TARGETS, min_cells=4, tile=t).select(*SCORES)), want)
