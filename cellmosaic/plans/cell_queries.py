@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.runtime import dealt
 from ..operators import geometry as geo, volumes as vol
 from ..operators.matching import explode_targets, volumetric_dice
 from .registry import big, query, r6
@@ -275,9 +276,13 @@ _PASSES = """
     max(l_quantity) / 60e0 AS q FROM placed GROUP BY 1, 2, 3, 4, 5)"""
 
 
-def _members(spark, d):
+def _members(spark, d, alone=False):
+    """Members of every cell; ``alone`` deals the rows by cell first, for queries that keep every cell where it is."""
+    placed = view(spark, d, "placed")
+    if alone:
+        placed = dealt(placed.select("case_id", "i", "j", "k", "l_linenumber", "l_quantity"), placed.count(), "case_id", "i", "j", "k")
     flips = F.element_at(F.array(*[F.lit(f) for f in ("", "i", "jk", "ik")]), F.col("l_linenumber") % 4 + 1)
-    return view(spark, d, "placed").groupBy("case_id", "i", "j", "k", F.col("l_linenumber").alias("member"), flips.alias("flip")).agg(
+    return placed.groupBy("case_id", "i", "j", "k", F.col("l_linenumber").alias("member"), flips.alias("flip")).agg(
         (F.max("l_quantity") / 60.0).alias("q")
     )
 
@@ -298,7 +303,7 @@ def _probabilities(members):
   UNION ALL SELECT case_id, i, j, k, 2, q * 0.4e0 FROM members)
 SELECT case_id, i, j, k, class_value, round(COALESCE(var_samp(p), 0e0), 6) AS variance FROM p GROUP BY 1, 2, 3, 4, 5""")
 def _(spark, d):
-    out = vol.pass_variance(_probabilities(_members(spark, d)))
+    out = vol.pass_variance(_probabilities(_members(spark, d, alone=True)))
     return out.select("case_id", "i", "j", "k", "class_value", r6("variance"))
 
 
