@@ -180,3 +180,24 @@ def test_similarity_profile_in_bands(spark, n, block, monkeypatch):
     got = audit.similarity_profile(vectors(spark, x), block=block, bins=50).first()
     want = (values.size, np.median(values), np.percentile(values, 99), values.max())
     assert tuple(got) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("block", [16, 64, 5_000])
+def test_low_thresholds_meet_in_blocks_and_copy_no_more(spark, block, monkeypatch):
+    monkeypatch.setattr(audit, "_BAND", 900)
+    monkeypatch.setattr(audit, "_DEALT_ROWS", 100)
+    asked = []
+    meet = audit._block_meetings
+    monkeypatch.setattr(audit, "_block_meetings", lambda reps, blocks, total: asked.append((blocks, total)) or meet(reps, blocks, total))
+    x = np.random.default_rng(3).normal(size=(300, 12))
+    got = audit.near_duplicates(vectors(spark, x), threshold=0.1, pivots=16, block=block).collect()
+    want = brute(x, 0.1)
+    assert {(r.id_a, r.id_b) for r in got} == set(want) and len(got) == len(want)
+    assert asked == [(max(1, -(-300 // block)), 300 * (max(1, -(-300 // block)) + 1))]
+
+
+def test_tasks_of_meetings_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(audit, "_DEALT_ROWS", 50)
+    reps = vectors(spark, np.random.default_rng(4).normal(size=(400, 8))).select(F.col("case_id").alias("id"), F.col("embedding").alias("u"))
+    sent = audit._block_meetings(reps, 5, 400 * 6).applyInArrow(lambda rows: rows.select(["_h", "_a"]), "_h int, _a int")
+    assert sent.count() == 2_400 and sent.distinct().count() == 15 and sent.rdd.getNumPartitions() == 48
