@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.exprs import CLASS_NAMES, COMPOSITES, MIN_CELLS
 from ..functions.runtime import cut
 from .geometry import CELL, cell_volume, distance_to_set, midline, mirror, shell_sums, with_depth
-from .labelling import label_regions, region_sizes
+from .labelling import DEFAULT_TILE, label_regions, region_sizes
 from .matching import Matching, label_both, match_regions
 from .ranking import exact_percentiles, ranked
+from .whole_cases import predicted_regions, reference_regions, wide_cases
 
 REGION = ("case_id", "class_value", "comp_id")
 
@@ -124,19 +125,49 @@ def region_table(
     """Predicted regions and scored reference regions of every case.
 
     ``pred`` and ``ref`` have ``case_id, i, j, k, value``; ``probs`` has a ``p`` array
-    indexed by class value; ``grid`` is the case geometry.
+    indexed by class value; ``grid`` is the case geometry.  A case whose array and cells lie in
+    the first tile is measured whole in the task that holds it; other cases go by joins.
     """
-    keys = ["case_id", "class_value"]
     named = F.col("value").isin([v for v in class_names if v != 0])
     sides = [d.where(named).withColumn("class_value", F.col("value").cast("int")) for d in (pred, ref)]
-    pred_lab, ref_lab = label_both(*sides, keys, **options)
-    matching = match_regions(pred_lab, ref_lab, keys, min_cells=min_cells)
     values = sorted({0, *class_names})
     composite = set(class_names) >= {1, 2, 3}
-    mass = cut(dominant_region(pred, COMPOSITES["WT"] if composite else [v for v in values if v], **options))
+    mass = COMPOSITES["WT"] if composite else [v for v in values if v]
+    tile = options.get("tile", DEFAULT_TILE)
+    wide = cut(wide_cases(sides, grid, tile))
+    if wide.isEmpty():
+        near, shapes, parts = sides, grid, ()
+    else:
+        near, shapes = [d.join(wide, "case_id", "left_anti") for d in sides], grid.join(wide, "case_id", "left_anti")
+        far = [d if d is None else d.join(wide, "case_id", "left_semi") for d in (*sides, pred, ref, probs, grid, variance)]
+        parts = _wide_tables(*far, values, mass, class_names, min_cells, options)
+    inner = predicted_regions(near, probs, shapes, values, mass, variance=variance, min_cells=min_cells, tile=tile)
+    inner = reference_majority(runner_up(inner, values), values).drop(*[f"_under{v}" for v in values])
+    regions = _finished(inner if variance is not None else inner.withColumn("mc_mean_var", F.lit(None).cast("double")), class_names)
+    refs = _finished(reference_regions(near, shapes, values, mass, min_cells=min_cells, tile=tile), class_names)
+    if not parts:
+        return regions, refs
+    return regions.unionByName(parts[0]), refs.unionByName(parts[1])
+
+
+def _finished(rows: DataFrame, class_names: Mapping[int, str]) -> DataFrame:
+    """Regions with their physical volume, from the volume of a cell, and the name of their class."""
+    return rows.withColumns(
+        {"volume_mm3": F.col("n_cells") * F.col("_cell"), "class_name": class_name_of(class_names)}
+    ).drop("_cell")
+
+
+def _wide_tables(
+    pred_side, ref_side, pred, ref, probs, grid, variance, values, mass, class_names, min_cells, options
+) -> tuple[DataFrame, DataFrame]:
+    """Both tables of ``region_table`` by joins, for cases of any size."""
+    keys = ["case_id", "class_value"]
+    pred_lab, ref_lab = label_both(pred_side, ref_side, keys, **options)
+    matching = match_regions(pred_lab, ref_lab, keys, min_cells=min_cells)
+    target = cut(dominant_region(pred, mass, **options))
     return (
-        _region_side(pred_lab, ref, probs, grid, mass, matching, values, class_names, variance),
-        _reference_side(ref_lab, grid, mass, matching, class_names),
+        _region_side(pred_lab, ref, probs, grid, target, matching, values, class_names, variance),
+        _reference_side(ref_lab, grid, target, matching, class_names),
     )
 
 
@@ -155,9 +186,8 @@ def _region_side(pred_lab, ref, probs, grid, mass, matching: Matching, values, c
         .join(distance_to_set(pred_lab, mass, grid).withColumnRenamed("distance", "dist_to_dominant_mm"), region, "left")
         .join(matching.comps.select(*region, "matched", "matched_ref_ids", "dice_with_matched", "false_positive"), region)
         .join(grid.select("case_id", cell_volume().alias("_cell")), "case_id")
-        .withColumns({"volume_mm3": F.col("n_cells") * F.col("_cell"), "class_name": class_name_of(class_names)})
-        .drop("_cell")
     )
+    out = _finished(out, class_names)
     if variance is None:
         return out.withColumn("mc_mean_var", F.lit(None).cast("double"))
     return out.join(mean_over_regions(pred_lab, variance), region, "left")
@@ -168,12 +198,8 @@ def _reference_side(ref_lab, grid, mass, matching: Matching, class_names) -> Dat
     scored = matching.refs.where("scored")
     held = ref_lab.withColumnRenamed("comp_id", "ref_id").join(scored.select(*ids), ids, "left_semi")
     distance = distance_to_set(held, mass, grid, region=ids).withColumnRenamed("distance", "dist_to_dominant_mm")
-    return (
-        scored.join(distance, ids, "left")
-        .join(grid.select("case_id", cell_volume().alias("_cell")), "case_id")
-        .withColumns({"volume_mm3": F.col("n_cells") * F.col("_cell"), "class_name": class_name_of(class_names)})
-        .drop("_cell", "scored")
-    )
+    out = scored.join(distance, ids, "left").join(grid.select("case_id", cell_volume().alias("_cell")), "case_id")
+    return _finished(out, class_names).drop("scored")
 
 
 def image_feature_names(modalities: Sequence[str]) -> list[str]:

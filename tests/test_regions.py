@@ -134,3 +134,48 @@ def test_renamer_learns_a_clear_signal(spark, tmp_path):
     assert (again.model, again.fold_models, again.runner_ups) == (renamer.model, renamer.fold_models, renamer.runner_ups)
     replayed = rename_decisions(table, again, out_of_fold=True)
     assert sorted(map(tuple, replayed.collect())) == sorted(map(tuple, routed.collect())) and again.diagnostics.first() == d
+
+
+def _rows(table):
+    return {tuple(round(v, 9) if isinstance(v, float) else tuple(v) if isinstance(v, list) else v for v in r) for r in table.select(sorted(table.columns)).collect()}
+
+
+def _random_cases(spark, names, edge=7):
+    rng = np.random.default_rng(5)
+    cells = {n: [(c, *map(int, at), int(v)) for c in names for at, v in np.ndenumerate(rng.choice([0, 0, 1, 2, 3, 4], (edge,) * 3)) if v] for n in ("pred", "ref")}
+    masks = [spark.createDataFrame(cells[n], "case_id string, i int, j int, k int, value int") for n in ("pred", "ref")]
+    p = [(c, *map(int, at), (rng.integers(0, 64, 5) / 64).tolist()) for c in names for at in np.ndindex(edge, edge, edge) if rng.random() < 0.7]
+    # Sixty-fourths add up exactly, so equal means are equal in any order of a sum.
+    p[3] = (*p[3][:4], [0.5, None])
+    p[4] = (*p[4][:4], None)
+    var = [(*r[:4], v, float(rng.integers(0, 64)) / 64) for r in p for v in (1, 3)]
+    probs = spark.createDataFrame(p, "case_id string, i int, j int, k int, p array<double>")
+    variance = spark.createDataFrame(var, "case_id string, i int, j int, k int, class_value int, variance double")
+    return *masks, probs, make_grid(masks[0], (edge,) * 3, (1.0, 0.75, 2.5)), variance
+
+
+def test_whole_cases_equal_the_way_by_joins(spark):
+    pred, ref, probs, grid, variance = _random_cases(spark, ["a", "b", "c"])
+    # Case b is not in the array: one cell lies far beyond; case d has an array and no cells, case e no array.
+    pred = pred.unionByName(spark.createDataFrame([("b", 90, 2, 2, 1), ("e", 1, 1, 1, 1), ("a", 0, 0, 0, 9)], pred.schema))
+    grid = grid.unionByName(grid.where("case_id = 'a'").withColumn("case_id", F.lit("d")))
+    for extra in (None, variance):
+        whole = rg.region_table(pred, ref, probs, grid, variance=extra, min_cells=3)
+        joined = rg.region_table(pred, ref, probs, grid, variance=extra, min_cells=3, tile=4)
+        for a, b in zip(whole, joined):
+            assert sorted((f.name, f.dataType) for f in a.schema) == sorted((f.name, f.dataType) for f in b.schema)
+            assert len(_rows(a)) > 20 and _rows(a) == _rows(b)
+
+
+def test_region_tables_meet_masks_and_probabilities_in_one_exchange(spark, monkeypatch):
+    from cellmosaic.functions import runtime
+
+    pred, ref, probs, grid, _ = _random_cases(spark, ["a", "b", "c", "d"], 6)
+    plain = [cells.localCheckpoint() for cells in (pred, ref, probs, grid)]
+    whole = [_rows(t) for t in rg.region_table(*plain, min_cells=3)]
+    monkeypatch.setattr(runtime, "DEALT_ROWS", 100)
+    for table, rows in zip(rg.region_table(*plain, min_cells=3), whole):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan
+        assert table.rdd.getNumPartitions() == 9  # 864 cells of arrays
+        assert _rows(table) == rows
