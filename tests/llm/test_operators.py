@@ -105,6 +105,11 @@ def test_quality_rules_know_every_language_and_long_words(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
 
 
+def test_quality_rules_count_common_words_in_what_is_left_of_the_others(docs):
+    plan = quality_rules.judge(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join(filter(" in plan
+
+
 # 2 -------------------------------------------------------------------------------------------
 
 
