@@ -164,8 +164,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, *, hidden: int = 16, steps
 
 def _sample(rows: DataFrame) -> np.ndarray:
     """At most MAX_SAMPLE feature rows: those with the smallest id hashes, in that order."""
-    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SAMPLE).select("x").collect()
-    return np.array([r.x for r in few], np.float64).reshape(-1, len(FEATURES))
+    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SAMPLE).select("x").toArrow()
+    return few["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(FEATURES))
 
 
 def train(rows: DataFrame, labels: DataFrame) -> Network | None:
