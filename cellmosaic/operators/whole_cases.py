@@ -1,4 +1,4 @@
-"""Regions of cases whose array fits a tile, measured where the case's cells meet.
+"""Regions and depths of cases whose array fits a tile, measured where the case's cells meet.
 
 Such a case is bounded by its array, so a task that holds it labels both masks, matches and
 measures their regions, and gives one row per region.  Masks, probabilities and geometry meet in
@@ -362,3 +362,72 @@ def reference_regions(
 def _typed(rows: DataFrame, schema: str) -> T.StructType:
     kind = rows.schema["case_id"].dataType
     return T.StructType([T.StructField("case_id", kind), *T.StructType.fromDDL(schema).fields])
+
+
+def depths(cells: DataFrame, mask: DataFrame, grid: DataFrame) -> DataFrame:
+    """``case_id, i, j, k, depth`` of each distinct cell, see ``geometry.depth_in_mask``, for cases that fit a tile.
+
+    Both sets and the shape of a case meet in one exchange, over tasks that follow the cells of the arrays.
+    """
+
+    def finish(table: pa.Table) -> pa.RecordBatch:
+        case = np.cumsum(changes(table, ["case_id"]))
+        role = table["role"].to_numpy()
+        heads = np.flatnonzero(role == GEOMETRY)
+        first = np.concatenate([[0], np.flatnonzero(np.diff(case)) + 1])
+        geometry = np.zeros((len(first), 6))
+        geometry[case[heads]] = table["numbers"].combine_chunks().take(pa.array(heads)).flatten().to_numpy().reshape(-1, 6)
+        place = np.stack([table[c].to_numpy() for c in CELL], 1).astype(np.int64)
+        edge = np.maximum(place.max(0) + 1, geometry[:, :3].max(0).astype(np.int64))
+        step = max(1, _DENSE // int(edge.prod()))
+        rows, numbers = [], []
+        for low in range(0, len(first), step):
+            at, to = np.searchsorted(case, [low, low + step])
+            here = np.arange(at, to)
+            wanted, own = here[role[at:to] == REF], here[role[at:to] == PRED]
+            held = np.zeros((min(step, len(first) - low), *edge), bool)
+            held[(case[own] - low, *place[own].T)] = True
+            block = _depth_block(held, geometry[low : low + step])
+            spot = (case[wanted] - low, *place[wanted].T)
+            _, once = np.unique(np.ravel_multi_index(spot, held.shape), return_index=True)
+            rows.append(wanted[once])
+            numbers.append(np.where(held[spot], np.sqrt(block[spot]), 0.0)[once])
+        picked, depth = pa.array(np.concatenate(rows)), np.concatenate(numbers)
+        columns = [table[c].combine_chunks().take(picked) for c in ("case_id", *CELL)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(depth, mask=~np.isfinite(depth))], ["case_id", *CELL, "depth"])
+
+    numbers = F.array(*[F.col(c).cast("double") for c in ("ni", "nj", "nk", "si", "sj", "sk")]).alias("numbers")
+    origin = [F.lit(0).alias(c) for c in CELL]
+    none = F.lit(None).cast("array<double>").alias("numbers")
+    shapes = grid.select("case_id", *origin, F.lit(GEOMETRY).alias("role"), numbers)
+    parts = [
+        rows.select("case_id", *[F.col(c).cast("int").alias(c) for c in CELL], F.lit(role).alias("role"), none)
+        for rows, role in ((mask, PRED), (cells, REF))
+    ]
+    total = grid.agg(F.sum(F.col("ni").cast("long") * F.col("nj") * F.col("nk"))).first()[0] or 0
+    met = dealt(shapes.unionByName(parts[0]).unionByName(parts[1]), total, "case_id").sortWithinPartitions("case_id")
+    return met.mapInArrow(per_tile(["case_id"], finish), _typed(met, "i int, j int, k int, depth double"))
+
+
+def _depth_block(held: np.ndarray, geometry: np.ndarray) -> np.ndarray:
+    """Squared distance of every place to the nearest cell of the array that touches the mask from outside."""
+    near = np.zeros_like(held)
+    block = ~held
+    for axis in range(3):
+        ahead, behind = ([slice(None)] * 4 for _ in range(2))
+        ahead[axis + 1], behind[axis + 1] = slice(1, None), slice(None, -1)
+        near[tuple(ahead)] |= held[tuple(behind)]
+        near[tuple(behind)] |= held[tuple(ahead)]
+        shape = [1, 1, 1, 1]
+        shape[axis + 1] = -1
+        block &= np.arange(held.shape[axis + 1]).reshape(shape) < geometry[:, axis].reshape(-1, 1, 1, 1)
+    block = np.where(block & near, 0.0, np.inf)
+    for axis in (2, 1, 0):
+        shape = [1, 1, 1, 1]
+        shape[axis + 1] = -1
+        places, found = np.arange(block.shape[axis + 1]).reshape(shape), np.full_like(block, np.inf)
+        for s in range(block.shape[axis + 1]):
+            away = (geometry[:, 3 + axis].reshape(-1, 1, 1, 1) * (places - s)) ** 2
+            np.minimum(found, np.take(block, [s], axis + 1) + away, out=found)
+        block = found
+    return block
