@@ -201,3 +201,30 @@ def test_tasks_of_meetings_grow_in_number_with_the_rows(spark, monkeypatch):
     reps = vectors(spark, np.random.default_rng(4).normal(size=(400, 8))).select(F.col("case_id").alias("id"), F.col("embedding").alias("u"))
     sent = audit._block_meetings(reps, 5, 400 * 6).applyInArrow(lambda rows: rows.select(["_h", "_a"]), "_h int, _a int")
     assert sent.count() == 2_400 and sent.distinct().count() == 15 and sent.rdd.getNumPartitions() == 48
+
+
+def test_sketches_of_near_vectors_differ_in_few_signs():
+    assert audit._tail(2, 0.5) == pytest.approx([0.75, 0.25, 0.0])
+    assert audit.sketch_plan(1.0, 1e-9) == (1, 0)
+    for threshold, miss in ((0.99, 1e-6), (0.98, 1e-9), (0.9, 1e-6)):
+        words, apart = audit.sketch_plan(threshold, miss)
+        over = audit._tail(64 * words, np.arccos(threshold) / np.pi)
+        assert over[apart] <= miss < over[apart - 1] and 1 - audit._tail(64 * words, 0.5)[apart] <= 1e-6
+
+
+@pytest.mark.parametrize("block, checked", [(8, 20), (1000, 1 << 15)])
+def test_hashed_search_sends_no_vector_to_its_bands(spark, block, checked, monkeypatch):
+    """Vectors travel to be checked, at most twice a pair; a large cell of near copies is met block by block."""
+    rng = np.random.default_rng(22)
+    base = rng.normal(size=(200, 24))
+    x = np.vstack([base, base[:1] + rng.normal(scale=0.03, size=(40, 24)), base[50:60] + rng.normal(scale=0.03, size=(10, 24))])
+    want, moved = brute(x, 0.98), []
+    cut, dealt = audit.cut, audit._dealt
+    monkeypatch.setattr(audit, "_CHECKED", checked)
+    monkeypatch.setattr(audit, "_LISTED", 50)
+    monkeypatch.setattr(audit, "cut", lambda rows: moved.append(rows) or cut(rows))
+    monkeypatch.setattr(audit, "_dealt", lambda rows, keys, total: moved.append(rows) or dealt(rows, keys, total))
+    got = audit.near_duplicates(vectors(spark, x), threshold=0.98, block=block, method="lsh", miss=1e-9).collect()
+    assert {(r.id_a, r.id_b) for r in got} == set(want) and len(got) == len(want) > 800
+    assert all(r.similarity == pytest.approx(want[(r.id_a, r.id_b)]) for r in got)
+    assert all(rows.count() <= max(len(x), 2 * len(want)) for rows in moved if "u" in rows.columns)
