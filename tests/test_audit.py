@@ -228,3 +228,56 @@ def test_hashed_search_sends_no_vector_to_its_bands(spark, block, checked, monke
     assert {(r.id_a, r.id_b) for r in got} == set(want) and len(got) == len(want) > 800
     assert all(r.similarity == pytest.approx(want[(r.id_a, r.id_b)]) for r in got)
     assert all(rows.count() <= max(len(x), 2 * len(want)) for rows in moved if "u" in rows.columns)
+
+
+def _copied(seed):
+    """Vectors with near and with equal ones among them, in a random order, and an entity of each (``None``: none)."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(12, 8))
+    x = np.vstack([base, np.repeat(base[:4], 6, axis=0), base[4:9] + rng.normal(scale=0.02, size=(5, 8)), np.zeros((4, 8))])
+    x = x[rng.permutation(len(x))]
+    return x, [None if e == 5 else int(e) for e in rng.integers(0, 6, len(x))]
+
+
+@pytest.mark.parametrize("method", ["exact", "lsh"])
+def test_entity_links_lose_no_copy(spark, method):
+    x, entity = _copied(31)
+    of = {f"v{n:04d}": e for n, e in enumerate(entity)}
+    entities = spark.createDataFrame(list(of.items()), "case_id string, entity_id int")
+    pairs = [(of[a], of[b]) for a, b in brute(x, 0.98)]
+    want = {(a, b) for a, b in pairs if a is not None and b is not None and a != b}
+    got = audit.entity_links(vectors(spark, x), entities, threshold=0.98, pivots=4, method=method).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(want) and len(want) > 10
+    assert audit.entity_links(vectors(spark, x).limit(0), entities).count() == 0
+
+
+def test_links_of_the_query_include_those_of_copies(spark, tmp_path):
+    from cellmosaic.plans.queries import QUERIES, SQL
+
+    import duckdb
+
+    rng = np.random.default_rng(32)
+    base = rng.normal(size=(6, 16)).round(2)
+    rows = [(n, [float(v) for v in base[n % 6]], n * 7 % 11) for n in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("cross_entity_links",):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(SQL[name]).fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 15
+
+
+def test_centres_that_hardly_differ_lose_no_pair():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        x = np.vstack([3 * rng.normal(size=(1, 8)) + rng.normal(size=(10, 1)), rng.normal(size=(6, 8))])
+        x -= x.mean(1, keepdims=True)
+        x = np.unique(x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8), axis=0)
+        rows = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(list(x))], names=["id", "u"])
+        found = next(audit._placer(x, np.sqrt(2 - 2 * 0.99))([rows])).to_pydict()
+        home, present = dict(zip(found["id"], found["home"])), set(zip(found["id"], found["cell"]))
+        near = [(a, b) for a in range(len(x)) for b in range(len(x)) if a != b and x[a] @ x[b] >= 0.99]
+        assert len(near) > 2 and all((a, home[b]) in present for a, b in near)
