@@ -262,12 +262,24 @@ def test_links_of_the_query_include_those_of_copies(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
-    for name in ("cross_entity_links",):
+    for name in ("cross_entity_links", "top_cross_pairs"):
         got = QUERIES[name](spark, str(tmp_path))
         want = con.execute(SQL[name]).fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 15
 
 
+@pytest.mark.parametrize("seed, n", [(31, 20), (32, 3), (33, 1), (34, 500)])
+def test_top_cross_pairs_lose_no_copy(spark, seed, n):
+    x, entity = _copied(seed)
+    of = {f"v{k:04d}": e for k, e in enumerate(entity)}
+    entities = spark.createDataFrame(list(of.items()), "case_id string, entity_id int")
+    # Pairs of the same two vectors are equally similar, whatever the last bits say.
+    want = [(-round(s, 12), a, b) for (a, b), s in brute(x, 0.9).items() if None not in (of[a], of[b]) and of[a] != of[b]]
+    got = audit.top_cross_pairs(vectors(spark, x), entities, n=n, threshold=0.9, pivots=4).collect()
+    assert sorted((-round(r.similarity, 12), r.id_a, r.id_b) for r in got) == sorted(want)[:n] and len(want) > 30
+    assert audit.top_cross_pairs(vectors(spark, x).limit(0), entities).count() == 0
+
+
 def test_centres_that_hardly_differ_lose_no_pair():
     import pyarrow as pa
 
